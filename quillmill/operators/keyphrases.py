@@ -465,24 +465,25 @@ def squashed(term: Column) -> Column:
 def variant_links(terms: DataFrame, group_col: str) -> DataFrame:
     """(group, term, other): a term and one it contains as whole words or spells alike.
 
-    Terms are not paired with each other: each emits the runs of words inside it, and the
-    runs that are terms of the same group are links; spelling variants link to the first.
+    Terms are not paired with each other: each emits the runs of words inside it that are as
+    long as some term of its group, and the runs that are terms of the group are links;
+    spelling variants link to the first of them.
     """
-    words = F.split("term", " ")
-    n = F.size(words)
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda start: F.transform(
-                F.sequence(F.lit(1), n - start + 1),
-                lambda size: F.array_join(F.slice(words, start, size), " "),
-            ),
-        )
-    )
+    n_words = F.size(F.split("term", " "))
+    counted = terms.select(group_col, "term", n_words.alias("n_words"))
+    sizes = counted.groupBy(group_col).agg(F.collect_set("n_words").alias("sizes"))
+    counted = salted_join(counted, sizes, group_col, ["term"])
+
+    def runs(words: Column) -> Column:
+        def of_size(size: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(words) - size + 1)
+            return F.transform(starts, lambda start: F.array_join(F.slice(words, start, size), " "))
+
+        shorter = F.filter("sizes", lambda size: size < F.size(words))
+        return F.array_distinct(F.flatten(F.transform(shorter, of_size)))
+
     key = F.struct(group_col, "run").alias("key")
-    inside = terms.select(group_col, "term", F.explode(F.array_distinct(runs)).alias("run")).where(
-        F.col("run") != F.col("term")
-    )
+    inside = counted.select(group_col, "term", F.explode(bind(F.split("term", " "), runs)).alias("run"))
     known = terms.select(F.struct(group_col, F.col("term").alias("run")).alias("key"), F.col("term").alias("other"))
     contained = salted_join(inside.select(group_col, "term", key), known, "key", ["term"]).select(
         group_col, "term", "other"
@@ -511,7 +512,8 @@ def group_term_variants(
         rank = F.struct(words.alias("a"), F.length("term").alias("b"), F.col("term").alias("chosen"))
     else:
         rank = F.struct((-_rounded(F.col(score_col))).alias("a"), words.alias("b"), F.col("term").alias("chosen"))
-    nodes = terms.groupBy(group_col, "term").agg(F.min(rank).alias("label"))
+    # the terms are read many times below, and may be costly to find
+    nodes = cut_lineage(terms.groupBy(group_col, "term").agg(F.min(rank).alias("label")))
     links = variant_links(nodes.select(group_col, "term"), group_col)
     both = links.unionByName(
         links.select(group_col, F.col("other").alias("term"), F.col("term").alias("other"))
@@ -520,7 +522,7 @@ def group_term_variants(
     both = cut_lineage(
         both.distinct().select(F.struct(group_col, F.col("other").alias("term")).alias("key"), "term")
     )
-    labels = cut_lineage(nodes)
+    labels = nodes
     for _ in range(max_rounds):
         sent = salted_join(
             both, labels.select(F.struct(group_col, "term").alias("key"), "label"), "key", ["term"]

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 import pandas as pd
 
 from quillmill.functions import patterns as P
+from quillmill.functions.arrays import indexes
 from quillmill.functions.binding import bind
 from quillmill.functions.tokens import split_words
 from quillmill.operators.features import explode_tokens
@@ -142,15 +143,9 @@ def phrase_candidates(
 
     per_start = bind(
         F.col("words"),
-        lambda words: F.transform(
-            F.sequence(F.lit(0), F.size(words) - 1), lambda start: runs(words, start)
-        ),
-    )
-    return (
-        base.where(F.size("words") > 0)
-        .select(id_col, F.explode(per_start).alias("runs"))
-        .select(id_col, F.inline("runs"))
+        lambda words: F.transform(indexes(words), lambda start: runs(words, start)),
     )
+    return base.select(id_col, F.inline(F.flatten(per_start)))
 
 
 def find_entities(
@@ -279,33 +274,39 @@ def match_token_pattern(
     rows = docs.select(id_col, spaced.alias("spaced")).withColumn(
         "tokens", F.transform("spaced", lambda token: F.regexp_replace(token, trailing, ""))
     )
-    hits = []
-    for name, alternatives in patterns.items():
-        for rules in alternatives:
-
-            def fits(start: Column, rules=rules) -> Column:
-                result = F.lit(True)
-                for k, rule in enumerate(rules):
-                    result = result & _token_matches(F.get("tokens", start + k), rule)
-                return result
-
-            def span(start: Column, name=name, size=len(rules)) -> Column:
-                text = F.array_join(F.slice("spaced", start + 1, size), "")
-                return F.struct(
-                    F.lit(name).alias("name"),
-                    start.alias("start"),
-                    (start + size).alias("end"),
-                    F.regexp_replace(text, trailing, "").alias("text"),
-                )
-
-            starts = F.when(
-                F.size("tokens") >= len(rules),
-                F.sequence(F.lit(0), F.size("tokens") - len(rules)),
-            ).otherwise(F.array().cast("array<int>"))
-            hits.append(F.transform(F.filter(starts, fits), span))
+    hits = [
+        _pattern_spans(name, rules, trailing)
+        for name, alternatives in patterns.items()
+        for rules in alternatives
+    ]
     return rows.select(id_col, F.inline(F.concat(*hits)))
 
 
+def _pattern_spans(name: str, rules: list[TokenRule], trailing: str) -> Column:
+    """Array of (name, start, end, text) over the columns ``tokens`` and ``spaced``."""
+    size = len(rules)
+
+    def fits(start: Column) -> Column:
+        result = F.lit(True)
+        for k, rule in enumerate(rules):
+            result = result & _token_matches(F.get("tokens", start + k), rule)
+        return result
+
+    def span(start: Column) -> Column:
+        text = F.array_join(F.slice("spaced", start + 1, size), "")
+        return F.struct(
+            F.lit(name).alias("name"),
+            start.alias("start"),
+            (start + size).alias("end"),
+            F.regexp_replace(text, trailing, "").alias("text"),
+        )
+
+    starts = F.when(
+        F.size("tokens") >= size, F.sequence(F.lit(0), F.size("tokens") - size)
+    ).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(starts, fits), span)
+
+
 # --- triples ------------------------------------------------------------------------
 def subject_object_triples(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc, x, v, y) from annotated tokens (doc, pos, text, dep): label to last such token.

@@ -1,9 +1,8 @@
 """Spelling as a job on the distinct words of a corpus.
 
-Two words are k edits apart when k places can be picked so that, with each either
-dropped from one of the words or blanked out in both, the rest is equal. Every word
-emits the strings that arise this way; equal strings meet in an equi-join, so no word is
-compared with a word it has nothing in common with.
+Words at most k edits apart have a string in common that each reaches by dropping at most
+k letters. Every word emits these strings; words meet in an equi-join on them and are then
+measured, so no word is compared with one it has nothing in common with.
 """
 
 from __future__ import annotations
@@ -15,61 +14,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.functions.binding import bind
 from quillmill.functions.tokens import split_words
 from quillmill.operators.lexicon import join_words
 from quillmill.plans.joins import salted_join
 
-BLANKED = "*"  # no word character
-# Per number of edits: (letters dropped from the text word, from the listed word, blanked in both).
-EDIT_KINDS = {
-    1: [(1, 0, 0), (0, 1, 0), (0, 0, 1)],
-    2: [(2, 0, 0), (0, 2, 0), (1, 1, 0), (1, 0, 1), (0, 1, 1), (0, 0, 2)],
-}
+MAX_EDITS = 2
 
 
-def _cut(word: Column, place: Column, mark: str) -> Column:
-    """The word with the letter at a place (from 1) replaced by ``mark``."""
-    return F.concat(
-        F.left(word, place - 1), F.lit(mark), F.right(word, F.length(word) - place)
-    )
+def _without(word: Column, place: Column) -> Column:
+    """The word without the letter at a place (from 1)."""
+    return F.concat(F.left(word, place - 1), F.right(word, F.length(word) - place))
 
 
-def edit_strings(word: Column, dropped: int, blanked: int) -> Column:
-    """All strings left when that many letters are dropped and blanked; at most two in all."""
+def delete_variants(word: Column, edits: int) -> Column:
+    """The word and all that is left of it when up to ``edits`` (1 or 2) letters are dropped."""
     none = F.array().cast("array<string>")
-    edits = [""] * dropped + [BLANKED] * blanked
-    if not edits:
-        return F.array(word)
     length = F.length(word)
-    if len(edits) == 1:
-        places = F.sequence(F.lit(1), length)
-        cut = F.transform(places, lambda i: _cut(word, i, edits[0]))
-        return F.when(length >= 1, F.array_distinct(cut)).otherwise(none)
-
-    def pairs(later_mark: str, earlier_mark: str) -> Column:
-        # the later place goes first, so that the earlier one keeps its number
-        def with_later(j: Column) -> Column:
-            rest = _cut(word, j, later_mark)
-            return F.transform(F.sequence(F.lit(1), j - 1), lambda i: _cut(rest, i, earlier_mark))
-
-        return F.flatten(F.transform(F.sequence(F.lit(2), length), with_later))
+    one = F.transform(F.sequence(F.lit(1), length), lambda i: _without(word, i))
+    variants = [F.array(word), F.when(length >= 1, one).otherwise(none)]
+    if edits == 2:
 
-    result = pairs(edits[0], edits[1])
-    if edits[0] != edits[1]:
-        result = F.concat(result, pairs(edits[1], edits[0]))
-    return F.when(length >= 2, F.array_distinct(result)).otherwise(none)
+        def earlier(j: Column) -> Column:
+            # the later place goes first, so that the earlier one keeps its number
+            return bind(
+                _without(word, j),
+                lambda rest: F.transform(F.sequence(F.lit(1), j - 1), lambda i: _without(rest, i)),
+            )
 
-
-def edit_keys(word: Column, edits: int, listed: bool) -> Column:
-    """Array of (kind, string) keys under which words exactly ``edits`` edits apart meet."""
-    keys = []
-    for from_text, from_listed, blanked in EDIT_KINDS[edits]:
-        kind = f"{from_text}{from_listed}{blanked}"
-        strings = edit_strings(word, from_listed if listed else from_text, blanked)
-        keys.append(
-            F.transform(strings, lambda s, kind=kind: F.struct(F.lit(kind).alias("kind"), s.alias("left_over")))
-        )
-    return F.concat(*keys)
+        two = F.flatten(F.transform(F.sequence(F.lit(2), length), earlier))
+        variants.append(F.when(length >= 2, two).otherwise(none))
+    elif edits != 1:
+        raise ValueError("edits must be 1 or 2")
+    return F.array_distinct(F.concat(*variants))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -87,47 +64,47 @@ def unknown_words(counts: DataFrame, dictionary: DataFrame, keep: list[str] | No
     return unknown.join(dictionary.select("word"), "word", "left_anti")
 
 
-def _best_at(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """(word, correction): the most frequent listed word at exactly that distance.
+def near_pairs(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """Distinct (word, suggestion, freq) of words at most ``edits`` edits apart.
 
-    The dictionary keeps one best word per key before the join, so a key yields one row
-    however many listed words share it.
+    Unknown words of a length that no listed word comes near are left out first: a very long
+    one would have very many variants, and has no suggestion.
     """
-    rank = F.struct((-F.col("freq")).alias("rarity"), F.col("word").alias("correction"))
-    listed = (
-        dictionary.select(rank.alias("rank"), F.inline(edit_keys(F.col("word"), edits, listed=True)))
-        .groupBy("kind", "left_over")
-        .agg(F.min("rank").alias("rank"))
+    near = F.sequence(F.length("word") - edits, F.length("word") + edits)
+    lengths = dictionary.select(F.explode(near).alias("length")).distinct()
+    sized = unknown.withColumn("length", F.length("word")).join(lengths, "length", "left_semi")
+    # A word grows into many variants, so the words are dealt out over a given number of
+    # partitions, which is not coalesced by bytes.
+    partitions = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = sized.repartition(partitions, "word").select(
+        "word", F.explode(delete_variants(F.col("word"), edits)).alias("variant")
+    )
+    listed = dictionary.select(
+        F.col("word").alias("suggestion"),
+        "freq",
+        F.explode(delete_variants(F.col("word"), edits)).alias("variant"),
     )
-    asked = unknown.select("word", F.inline(edit_keys(F.col("word"), edits, listed=False)))
     return (
-        asked.join(listed, ["kind", "left_over"])
-        .groupBy("word")
-        .agg(F.min("rank").alias("rank"))
-        .select("word", F.col("rank.correction").alias("correction"))
+        asked.join(listed, "variant")
+        .where(F.levenshtein("word", "suggestion") <= edits)
+        .select("word", "suggestion", "freq")
+        .distinct()
     )
 
 
+def _most_frequent(pairs: DataFrame) -> DataFrame:
+    best = F.min(F.struct((-F.col("freq")).alias("rarity"), F.col("suggestion").alias("correction")))
+    return pairs.groupBy("word").agg(best.alias("best")).select("word", "best.correction")
+
+
 def corrections_by_frequency(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, correction) by (distance up to 2, frequency, alphabet).
 
     Only words without a listed word one edit away go on to two edits.
     """
-    near = _best_at(unknown, dictionary, 1)
-    rest = unknown.join(near, "word", "left_anti")
-    return near.unionByName(_best_at(rest, dictionary, 2))
-
-
-def suggestions(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Distinct (word, suggestion): listed words up to two edits away."""
-    found = []
-    for edits in EDIT_KINDS:
-        asked = unknown.select("word", F.inline(edit_keys(F.col("word"), edits, listed=False)))
-        listed = dictionary.select(
-            F.col("word").alias("suggestion"), F.inline(edit_keys(F.col("word"), edits, listed=True))
-        )
-        found.append(asked.join(listed, ["kind", "left_over"]).select("word", "suggestion"))
-    return found[0].unionByName(found[1]).distinct()
+    found = _most_frequent(near_pairs(unknown, dictionary, 1))
+    rest = unknown.join(found, "word", "left_anti")
+    return found.unionByName(_most_frequent(near_pairs(rest, dictionary, MAX_EDITS)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -139,7 +116,8 @@ def sequence_ratio(words: pd.Series, others: pd.Series) -> pd.Series:
 
 def corrections_by_similarity(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, correction): the suggestion with the highest ratio, then by alphabet."""
-    rated = suggestions(unknown, dictionary).withColumn("ratio", sequence_ratio("word", "suggestion"))
+    pairs = near_pairs(unknown, dictionary, MAX_EDITS)
+    rated = pairs.withColumn("ratio", sequence_ratio("word", "suggestion"))
     best = F.min(F.struct((-F.col("ratio")).alias("loss"), F.col("suggestion").alias("correction")))
     return rated.groupBy("word").agg(best.alias("best")).select("word", "best.correction")
 
