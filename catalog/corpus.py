@@ -118,9 +118,15 @@ def correct_spelling_similarity(spark, sf_dir):
 
 # --- entities, nouns ----------------------------------------------------------------
 FOUND = f"""{WORDS}, {values(GAZETTEER, 'gazetteer', 'phrase, label')},
-grams as (select doc_id, pos as start, n, array_to_string(w[pos + 1 : pos + n], ' ') as phrase,
-    1 + length(array_to_string(w[1 : pos], ' ')) - case when pos = 0 then 1 else 0 end as start_char
-  from words join split using (doc_id) cross join range(1, 5) as sizes(n) where pos + n <= len(w)),
+placed as (select doc_id, pos as start, word as w0, lead(word, 1) over d as w1, lead(word, 2) over d as w2,
+    lead(word, 3) over d as w3, sum(length(word) + 1) over d - length(word) - 1 as start_char
+  from words window d as (partition by doc_id order by pos)),
+grams as (
+  select doc_id, start, 1 as n, w0 as phrase, start_char from placed
+  union all select doc_id, start, 2, w0 || ' ' || w1, start_char from placed where w1 is not null
+  union all select doc_id, start, 3, w0 || ' ' || w1 || ' ' || w2, start_char from placed where w2 is not null
+  union all select doc_id, start, 4, w0 || ' ' || w1 || ' ' || w2 || ' ' || w3, start_char from placed
+    where w3 is not null),
 hits as materialized (select doc_id, start, n, phrase, label, start_char from grams join gazetteer using (phrase)),
 found as (select * from hits h where not exists (select 1 from hits o where o.doc_id = h.doc_id
   and o.start < h.start + h.n and h.start < o.start + o.n
@@ -140,10 +146,9 @@ def _map_text(name: str):
     return F.array_join(F.sort_array(entries), ",")
 
 
-# char offsets: w[1:pos] joined, plus one blank; grams over single blanks only
 @query(
     "entity_spans",
-    f"with {FOUND} select doc_id, phrase as text, start_char, start_char + length(phrase) as end_char, label from found",
+    f"with {FOUND} select doc_id, phrase as text, cast(start_char as bigint) as start_char, cast(start_char as bigint) + length(phrase) as end_char, label from found",
 )
 def entity_spans(spark, sf_dir):
     spans = L.entity_spans(clean_docs(spark, sf_dir), gazetteer(spark))

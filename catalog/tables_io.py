@@ -60,14 +60,10 @@ def scan_json_records(spark, sf_dir):
     """Files with one array of records each, as many as the mails have partitions."""
     path = new_path(spark, "mails")
     records = mails(spark, sf_dir).select(F.to_json(F.struct("From", "To", "Date", "Subject")).alias("value"))
-    wrapped = (
-        records.withColumn("file", F.spark_partition_id())
-        .withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(64)))
-        .groupBy("file", "slice")
-        .agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("value")), F.lit("]")).alias("value"))
-    )
-    # one array per file: every (file, slice) pair becomes its own folder
-    wrapped.write.partitionBy("file", "slice").text(path)
+    # one array per file, and a file for each partition of the events: no array outgrows one
+    in_file = F.concat(F.lit("["), F.concat_ws(",", F.collect_list("value")), F.lit("]"))
+    wrapped = records.groupBy(F.spark_partition_id().alias("file")).agg(in_file.alias("value"))
+    wrapped.write.partitionBy("file").text(path)
     found = IN.scan_json_records(spark, path)
     return found.select(F.col("From").alias("sender"), F.col("Date").alias("date"), F.col("Subject").alias("subject"))
 

@@ -9,19 +9,21 @@ from quillmill.functions.binding import bind
 
 ColumnLike = Column | str
 
-# Date shapes met in mail headers once the weekday is gone.
-MAIL_DATE_FORMATS = [
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy HH:mm Z",
-    "MMM d HH:mm:ss yyyy z",
-    "MMM d HH:mm:ss yyyy Z",
-    "MMM d HH:mm:ss yyyy",
-    "yyyy-MM-dd HH:mm:ssXXX",
-    "yyyy-MM-dd HH:mm:ss",
+# Date shapes met in mail headers once the weekday is gone, with the pattern
+# that reads them. A shape is tested first: a failed parse costs far more than a match.
+_DAY, _TIME, _ZONE = r"\d{1,2} [A-Z][a-z]{2} \d{4}", r"\d{2}:\d{2}:\d{2}", r"[+-]\d{4}"
+MAIL_DATE_SHAPES = [
+    (rf"^{_DAY} {_TIME} {_ZONE}$", "d MMM yyyy HH:mm:ss Z"),
+    (rf"^{_DAY} {_TIME} [A-Z]+$", "d MMM yyyy HH:mm:ss z"),
+    (rf"^{_DAY} {_TIME}$", "d MMM yyyy HH:mm:ss"),
+    (rf"^{_DAY} \d{{2}}:\d{{2}} {_ZONE}$", "d MMM yyyy HH:mm Z"),
+    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}} [A-Z]+$", "MMM d HH:mm:ss yyyy z"),
+    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}} {_ZONE}$", "MMM d HH:mm:ss yyyy Z"),
+    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}}$", "MMM d HH:mm:ss yyyy"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}[+-]\d{{2}}:\d{{2}}$", "yyyy-MM-dd HH:mm:ssXXX"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}$", "yyyy-MM-dd HH:mm:ss"),
 ]
-STRICT_SHAPE = r"^[A-Z][a-z]{2}, +\d{1,2} [A-Z][a-z]{2} +\d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"
+STRICT_SHAPE = rf"^[A-Z][a-z]{{2}}, +\d{{1,2}} [A-Z][a-z]{{2}} +\d{{4}} {_TIME} {_ZONE}$"
 
 
 def _col(column: ColumnLike) -> Column:
@@ -54,15 +56,16 @@ def parse_mail_date(text: ColumnLike, strict: bool = False, errors: str = "coerc
     column = _col(text)
     plain = F.regexp_replace(column, r"^\s*(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", "")
     plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
+    def read(date: Column) -> Column:
+        stamp = F.lit(None).cast("timestamp")
+        for shape, pattern in reversed(MAIL_DATE_SHAPES):
+            parsed = F.try_to_timestamp(date, F.lit(pattern))
+            stamp = F.when(date.rlike(shape), parsed).otherwise(stamp)
+        return stamp
+
+    stamp = bind(plain, read)
     if strict:
-        stamp = F.when(
-            column.rlike(STRICT_SHAPE), F.try_to_timestamp(plain, F.lit(MAIL_DATE_FORMATS[0]))
-        )
-    else:
-        stamp = bind(
-            plain,
-            lambda date: F.coalesce(*[F.try_to_timestamp(date, F.lit(f)) for f in MAIL_DATE_FORMATS]),
-        )
+        stamp = F.when(column.rlike(STRICT_SHAPE), stamp)
     if errors == "coerce":
         return stamp
     if errors == "raise":

@@ -12,6 +12,8 @@ import unicodedata
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 DIGIT = r"\p{Nd}"
+# The same white space, spelled out for trimming.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Words of two or more characters, as the usual count vectorisers cut them.
 TOKEN = rf"[{WORD}]{{2,}}"

@@ -26,6 +26,25 @@ def _head(text: ColumnLike, null_token: str | None) -> Column:
     return column if null_token is None else F.coalesce(column, F.lit(null_token))
 
 
+def _only_where(column: Column, needed, change) -> Column:
+    """``change(text)`` for texts that need it; a cheap test spares all others the work."""
+    return bind(column, lambda text: F.when(needed(text), change(text)).otherwise(text))
+
+
+def _has(*marks: str):
+    def test(text: Column) -> Column:
+        found = F.contains(text, F.lit(marks[0]))
+        for mark in marks[1:]:
+            found = found | F.contains(text, F.lit(mark))
+        return found
+
+    return test
+
+
+def _not_ascii(text: Column) -> Column:
+    return F.length(text) != F.octet_length(text)
+
+
 def remove_html(text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "native") -> Column:
     """Text nodes of a page, each stripped, joined by a blank.
 
@@ -37,15 +56,23 @@ def remove_html(text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "native")
         return _html_parser_udf(column)
     if mode != "native":
         raise ValueError(f"unknown mode {mode!r}: use 'native' or 'parser'")
-    column = F.regexp_replace(column, P.HTML_HIDDEN, P.TEXT_BREAK)
-    column = F.regexp_replace(column, P.HTML_TAG, P.TEXT_BREAK)
-    for entity, character in P.HTML_ENTITIES:
-        column = F.replace(column, F.lit(entity), F.lit(character))
-    edges = rf"^[{P.SPACE}]+|[{P.SPACE}]+$"
-    nodes = F.transform(
-        F.split(column, P.TEXT_BREAK), lambda node: F.regexp_replace(node, edges, "")
+
+    def text_nodes(page: Column) -> Column:
+        page = F.regexp_replace(page, P.HTML_HIDDEN, P.TEXT_BREAK)
+        page = F.regexp_replace(page, P.HTML_TAG, P.TEXT_BREAK)
+        for entity, character in P.HTML_ENTITIES:
+            page = F.replace(page, F.lit(entity), F.lit(character))
+        nodes = F.transform(F.split(page, P.TEXT_BREAK), _strip)
+        return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
+
+    return bind(
+        column,
+        lambda page: F.when(_has("<", "&", P.TEXT_BREAK)(page), text_nodes(page)).otherwise(_strip(page)),
     )
-    return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
+
+
+def _strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(P.SPACES))
 
 
 def _page_text(page: str) -> str:
@@ -93,10 +120,14 @@ def remove_accented_chars(
         column = _decompose_udf(column)
     elif mode != "latin":
         raise ValueError(f"unknown mode {mode!r}: use 'latin' or 'unicode'")
-    column = F.translate(column, P.ACCENTS_FROM, P.ACCENTS_TO)
-    for letter, spelling in P.LETTER_SPELLINGS.items():
-        column = F.replace(column, F.lit(letter), F.lit(spelling))
-    return column
+
+    def plain(text: Column) -> Column:
+        text = F.translate(text, P.ACCENTS_FROM, P.ACCENTS_TO)
+        for letter, spelling in P.LETTER_SPELLINGS.items():
+            text = F.replace(text, F.lit(letter), F.lit(spelling))
+        return text
+
+    return _only_where(column, _not_ascii, plain)
 
 
 @F.pandas_udf(T.StringType())
@@ -107,12 +138,12 @@ def _decompose_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def remove_tabs(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """Tab, carriage return and line feed to a blank."""
-    return F.translate(_head(text, null_token), "\t\r\n", "   ")
+    return F.regexp_replace(_head(text, null_token), "[\t\r\n]", " ")
 
 
 def remove_blanks(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """Runs of blanks to one blank."""
-    return F.regexp_replace(_head(text, null_token), " +", " ")
+    return F.regexp_replace(_head(text, null_token), " {2,}", " ")
 
 
 def remove_digits(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
@@ -142,7 +173,11 @@ def remove_special_characters(
 
 def ascii_to_string(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """Drop everything outside ASCII, and question marks with it."""
-    return F.regexp_replace(_head(text, null_token), P.NOT_ASCII_OR_QUESTION, "")
+    return bind(
+        _head(text, null_token),
+        lambda text: F.when(_not_ascii(text), F.regexp_replace(text, P.NOT_ASCII_OR_QUESTION, ""))
+        .otherwise(F.replace(text, F.lit("?"), F.lit(""))),
+    )
 
 
 def to_lower(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
@@ -151,12 +186,16 @@ def to_lower(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
 
 def remove_url(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """Drop scheme://host/path; a host without a scheme stays."""
-    return F.regexp_replace(_head(text, null_token), P.URL, "")
+    return _only_where(
+        _head(text, null_token), _has("://"), lambda text: F.regexp_replace(text, P.URL, "")
+    )
 
 
 def remove_email_address(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """Drop addresses; the pattern knows lower case only."""
-    return F.regexp_replace(_head(text, null_token), P.EMAIL, "")
+    return _only_where(
+        _head(text, null_token), _has("@"), lambda text: F.regexp_replace(text, P.EMAIL, "")
+    )
 
 
 def get_email_address(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
@@ -195,12 +234,11 @@ def expand_contractions(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """``don't`` to ``do not`` and so on; texts without an apostrophe pass untouched."""
 
     def expand(value: Column) -> Column:
-        expanded = value
         for pattern, replacement in contraction_rules():
-            expanded = F.regexp_replace(expanded, pattern, replacement)
-        return F.when(value.rlike("['’]"), expanded).otherwise(value)
+            value = F.regexp_replace(value, pattern, replacement)
+        return value
 
-    return bind(_head(text, null_token), expand)
+    return _only_where(_head(text, null_token), _has("'", "’"), expand)
 
 
 def clean_text(text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "native") -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.functions import patterns as P
+from quillmill.functions.arrays import indexes
+from quillmill.functions.binding import bind
 
 ColumnLike = Column | str
 
@@ -32,9 +34,11 @@ def split_words(text: ColumnLike) -> Column:
 
 def ngrams(tokens: ColumnLike, n: int) -> Column:
     """n neighbouring tokens joined by a blank; empty for shorter texts."""
-    column = _col(tokens)
     if n == 1:
-        return column
-    starts = F.sequence(F.lit(1), F.size(column) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(column, i, n), " "))
-    return F.when(F.size(column) >= n, grams).otherwise(F.array().cast("array<string>"))
+        return _col(tokens)
+
+    def grams(tokens: Column) -> Column:
+        starts = F.filter(indexes(tokens), lambda i: i + n <= F.size(tokens))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+
+    return bind(_col(tokens), grams)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions import patterns as P
 from quillmill.functions import text as X
 from quillmill.operators.tables import flag_prefix, pick_full_text
 
@@ -39,12 +40,20 @@ def select_posts(raw: DataFrame, lang: str = "en") -> DataFrame:
     )
 
 
-def clean_posts(posts: DataFrame, mode: str = "native") -> DataFrame:
-    """Hashtags, mentions, addresses and the cleaned text of each post."""
+def clean_posts(
+    posts: DataFrame, mode: str = "native", null_token: str | None = P.NULL_TOKEN
+) -> DataFrame:
+    """Hashtags, mentions, addresses and the cleaned text of each post.
+
+    A missing text reads as ``null_token``; with ``null_token=None`` its post is left out. That
+    is tested on the text itself: a filter on the cleaned text would clean every text twice.
+    """
+    if null_token is None:
+        posts = posts.where(F.col("tweet_text").isNotNull())
     return posts.select(
         "*",
-        X.get_hashtag("tweet_text").alias("hashtag"),
-        X.get_mention("tweet_text").alias("mention"),
-        X.get_email_address("tweet_text").alias("emails"),
-        X.clean_text("tweet_text", mode=mode).alias("clean_tweet_text"),
-    ).where(F.col("clean_tweet_text").isNotNull())
+        X.get_hashtag("tweet_text", null_token).alias("hashtag"),
+        X.get_mention("tweet_text", null_token).alias("mention"),
+        X.get_email_address("tweet_text", null_token).alias("emails"),
+        X.clean_text("tweet_text", null_token, mode).alias("clean_tweet_text"),
+    )
