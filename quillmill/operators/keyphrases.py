@@ -402,8 +402,12 @@ def keyphrases_sgrank(
     if not use_idf:
         weighted = F.transform(terms, lambda term: _candidate(term, sgrank_weight(term)))
         return phrase_rows(docs, sgrank_phrases(weighted, **rule), id_col)
+    term = F.col("term")
     rows = docs.select(id_col, F.explode(terms).alias("term")).select(
-        id_col, F.col("term.gram").alias("gram"), "term"
+        id_col,
+        term["gram"].alias("gram"),
+        sgrank_weight(term).alias("own_weight"),
+        term["positions"].alias("positions"),
     )
     df = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     n_docs = docs.agg(F.count_distinct(id_col).alias("n_docs"))
@@ -411,12 +415,17 @@ def keyphrases_sgrank(
         "gram", (F.log((1 + F.col("n_docs")) / (1 + F.col("n"))) + 1).alias("idf")
     )
     found = salted_join(rows, idf, "gram", [id_col], counts=df)
-    candidate = _candidate(F.col("term"), sgrank_weight(F.col("term")) * F.col("idf"))
+    weight = F.col("own_weight") * F.col("idf")
     # Ranking costs far more than its input is large: a given number of partitions, which is
     # not coalesced by bytes.
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = found.select(id_col, candidate.alias("candidate")).repartition(partitions, id_col)
-    grouped = spread.groupBy(id_col).agg(F.collect_list("candidate").alias("weighted"))
+    spread = found.select(id_col, "gram", weight.alias("weight"), "positions").repartition(
+        partitions, id_col
+    )
+    candidate = F.struct(
+        (-_rounded(F.col("weight"))).alias("key"), "gram", "weight", "positions"
+    )
+    grouped = spread.groupBy(id_col).agg(F.collect_list(candidate).alias("weighted"))
     return phrase_rows(grouped, sgrank_phrases(F.col("weighted"), **rule), id_col)
 
 
