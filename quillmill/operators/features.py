@@ -14,6 +14,7 @@ from quillmill.functions.text import quick_preprocess
 from quillmill.functions.tokens import ngrams, split_words, tokenize_words
 from quillmill.plans.ids import with_dense_ids
 from quillmill.plans.joins import salted_join
+from quillmill.plans.storage import cut_lineage
 
 MAX_DENSE_TERMS = 2_000
 
@@ -79,12 +80,8 @@ def document_frequency(bag: DataFrame) -> DataFrame:
 
 def idf_smooth(bag: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1; ``n_docs`` is one row (n_docs)."""
-    return (
-        document_frequency(bag)
-        .join(F.broadcast(n_docs))  # one row: the number of documents
-        .withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-        .drop("n_docs")
-    )
+    idf = F.log((1 + n_docs.scalar()) / (1 + F.col("df"))) + 1
+    return document_frequency(bag).withColumn("idf", idf)
 
 
 def count_docs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -101,16 +98,19 @@ def tf_idf(
     """
     bag = bag_of_words(docs, n, id_col=id_col, text_col=text_col)
     if use_idf:
-        idf = idf_smooth(bag, count_docs(docs, id_col))
+        # a row per term, read twice by the join: cheaper written once than counted twice
+        idf = cut_lineage(idf_smooth(bag, count_docs(docs, id_col)))
         counts = idf.select("term", F.col("df").alias("n"))
         weighted = salted_join(bag, idf.select("term", "idf"), "term", [id_col], counts=counts)
         weighted = weighted.withColumn("weight", F.col("count") * F.col("idf"))
     else:
         weighted = bag.withColumn("weight", F.col("count").cast("double"))
     weighted = weighted.select(id_col, "term", "weight")
-    norms = weighted.groupBy(id_col).agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-        F.count(F.lit(1)).alias("n"),
+    norms = cut_lineage(
+        weighted.groupBy(id_col).agg(
+            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+            F.count(F.lit(1)).alias("n"),
+        )
     )
     scaled = salted_join(
         weighted, norms.select(id_col, "norm"), id_col, ["term"], counts=norms.select(id_col, "n")
@@ -121,7 +121,7 @@ def tf_idf(
 def matrix_shape(docs: DataFrame, bag: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row (docs, terms); documents without a known term count as well."""
     terms = bag.agg(F.count_distinct("term").alias("terms"))
-    return docs.agg(F.count_distinct(id_col).alias("docs")).join(terms)
+    return docs.agg(F.count_distinct(id_col).alias("docs")).withColumn("terms", terms.scalar())
 
 
 def vocab_size(bag: DataFrame, approximate: bool = False) -> DataFrame:

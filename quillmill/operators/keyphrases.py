@@ -409,11 +409,10 @@ def keyphrases_sgrank(
         sgrank_weight(term).alias("own_weight"),
         term["positions"].alias("positions"),
     )
-    df = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # read twice below, and far smaller than the texts it takes to count them
+    df = cut_lineage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     n_docs = docs.agg(F.count_distinct(id_col).alias("n_docs"))
-    idf = df.join(F.broadcast(n_docs)).select(  # one row: the number of documents
-        "gram", (F.log((1 + F.col("n_docs")) / (1 + F.col("n"))) + 1).alias("idf")
-    )
+    idf = df.select("gram", (F.log((1 + n_docs.scalar()) / (1 + F.col("n"))) + 1).alias("idf"))
     found = salted_join(rows, idf, "gram", [id_col], counts=df)
     weight = F.col("own_weight") * F.col("idf")
     # Ranking costs far more than its input is large: a given number of partitions, which is

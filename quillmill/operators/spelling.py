@@ -18,6 +18,7 @@ from quillmill.functions.binding import bind
 from quillmill.functions.tokens import split_words
 from quillmill.operators.lexicon import join_words
 from quillmill.plans.joins import salted_join
+from quillmill.plans.storage import cut_lineage
 
 MAX_EDITS = 2
 
@@ -137,7 +138,8 @@ def correct_spelling(
     methods = {"frequency": corrections_by_frequency, "similarity": corrections_by_similarity}
     if method not in methods:
         raise ValueError(f"unknown method {method!r}: use 'frequency' or 'similarity'")
-    counts = word_counts(docs, text_col)
+    # the distinct words are read many times below; the texts are read once more, at the end
+    counts = cut_lineage(word_counts(docs, text_col))
     corrections = methods[method](unknown_words(counts, dictionary, keep), dictionary)
     words = docs.select(id_col, F.posexplode_outer(split_words(text_col)).alias("pos", "word"))
     mapped = salted_join(words, corrections, "word", [id_col, "pos"], "left", counts=counts)

@@ -60,21 +60,24 @@ def mean_vector(
 ) -> DataFrame:
     """(doc, vector): the mean over all tokens of a text, unknown tokens counting as zeros.
 
-    Tokens are counted per text first, so each (text, word) pair meets its vector once,
-    and the sums are combined before the shuffle.
+    Tokens are counted per text first, so each (text, word) pair meets its vector once;
+    unknown ones carry no vector and only count. Sums are combined before the shuffle.
     """
     bag = docs.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(
         F.count(F.lit(1)).alias("count")
     )
     table = vectors.select(F.col("word").alias("term"), "vector")
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    weighted = salted_join(bag, table, "term", [id_col], "left").select(
-        id_col,
-        array_to_vector(F.coalesce("vector", zeros)).alias("vector"),
-        F.col("count").cast("double").alias("count"),
+    known = salted_join(bag, table, "term", [id_col]).select(
+        id_col, array_to_vector("vector").alias("vector"), F.col("count").cast("double").alias("count")
+    )
+    weighted_sum = Summarizer.metrics("sum").summary(F.col("vector"), F.col("count"))
+    sums = known.groupBy(id_col).agg(weighted_sum.alias("s")).select(
+        id_col, vector_to_array("s.sum").alias("total")
     )
-    mean = Summarizer.mean(F.col("vector"), F.col("count"))
-    return weighted.groupBy(id_col).agg(vector_to_array(mean).alias("vector"))
+    sizes = docs.groupBy(id_col).agg(F.sum(F.size(tokens)).alias("size")).where(F.col("size") > 0)
+    total = F.coalesce("total", F.array_repeat(F.lit(0.0), dim))
+    mean = F.transform(total, lambda x: x / F.col("size"))
+    return sizes.join(sums, id_col, "left").select(id_col, mean.alias("vector"))
 
 
 def _dot(a: Column, b: Column) -> Column:
