@@ -45,6 +45,13 @@ def _html() -> str:
     return f"array_join(filter({nodes}, node -> node <> ''), ' ')"
 
 
+def _contractions() -> str:
+    expanded = _chain("word", contraction_rules(), _replace_all)
+    marked = f"contains(word, {literal(chr(39))}) or contains(word, '’')"
+    word = f"case when {marked} then {expanded} else word end"
+    return f"array_join(transform(split(x, ' '), word -> {word}), ' ')"
+
+
 def _lemma() -> str:
     listed = " ".join(f"when {literal(form)} then {literal(lemma)}" for form, lemma in IRREGULAR_LEMMAS.items())
     kept = ", ".join(literal(word) for word in KEPT_FORMS)
@@ -73,7 +80,7 @@ def function_bodies() -> dict[str, tuple[str, str]]:
         "to_lower_udf": "lower(x)",
         "remove_url_udf": _replace_all("x", P.URL),
         "remove_email_address_udf": _replace_all("x", P.EMAIL),
-        "expand_contractions_udf": _chain("x", contraction_rules(), _replace_all),
+        "expand_contractions_udf": _contractions(),
         "get_base_word_udf": _lemma(),
     }
     lists = {

@@ -233,12 +233,20 @@ def contraction_rules() -> list[tuple[str, str]]:
 def expand_contractions(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """``don't`` to ``do not`` and so on; texts without an apostrophe pass untouched."""
 
-    def expand(value: Column) -> Column:
+    apostrophe = _has("'", "’")
+
+    def expand(word: Column) -> Column:
+        expanded = word
         for pattern, replacement in contraction_rules():
-            value = F.regexp_replace(value, pattern, replacement)
-        return value
+            expanded = F.regexp_replace(expanded, pattern, replacement)
+        return F.when(apostrophe(word), expanded).otherwise(word)
 
-    return _only_where(_head(text, null_token), _has("'", "’"), expand)
+    # no rule looks across a blank, so only the words that have an apostrophe are searched
+    return _only_where(
+        _head(text, null_token),
+        apostrophe,
+        lambda text: F.array_join(F.transform(F.split(text, " "), expand), " "),
+    )
 
 
 def clean_text(text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "native") -> Column:
