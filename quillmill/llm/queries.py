@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import mixing, pieces, simhash, tokens
+from quillmill.llm import merkle, mixing, pieces, sharding, simhash, tokens
 from quillmill.llm.tables import given
 
 
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(given(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(given(spark, sf_dir, "documents"))
 
 
+def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_documents(given(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(given(spark, sf_dir, "documents"))
 
@@ -28,6 +36,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     plan.__name__: plan
-    for plan in (op5_simhash_near_dedup, op7_token_counts, op8_source_mix, op9_sentencepiece)
+    for plan in (
+        op4_balanced_shards,
+        op5_simhash_near_dedup,
+        op6_merkle_fingerprints,
+        op7_token_counts,
+        op8_source_mix,
+        op9_sentencepiece,
+    )
 }
 SQL: dict[str, str] = {"op8_source_mix": mixing.SQL}
