@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import embeddings, merkle, mixing, pieces, sharding, simhash, tokens
+from quillmill.llm import embeddings, merkle, mixing, pieces, sharding, simhash, tokens, toxicity
 from quillmill.llm.tables import given
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(given(spark, sf_dir, "embeddings"))
 
@@ -41,6 +45,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     plan.__name__: plan
     for plan in (
+        op1_toxicity,
         op2_embedding_near_dedup,
         op4_balanced_shards,
         op5_simhash_near_dedup,
