@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import embeddings, merkle, mixing, pieces, sharding, simhash, tokens, toxicity
+from quillmill.llm import embeddings, merkle, mixing, pieces, sharding, simhash, suffixes, tokens, toxicity
 from quillmill.llm.tables import given
 
 
@@ -18,6 +18,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(given(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.measure_repeats(given(spark, sf_dir, "documents"))
+
+
 def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(given(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for plan in (
         op1_toxicity,
         op2_embedding_near_dedup,
+        op3_suffix_dedup,
         op4_balanced_shards,
         op5_simhash_near_dedup,
         op6_merkle_fingerprints,
