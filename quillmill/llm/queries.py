@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import embeddings, merkle, mixing, pieces, sharding, simhash, suffixes, tokens, toxicity
+from quillmill.llm import embeddings, extraction, merkle, mixing, pieces, sharding, simhash, suffixes, tokens, toxicity
 from quillmill.llm.tables import given
 
 
@@ -46,6 +46,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(given(spark, sf_dir, "documents"), digest=True)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(given(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     plan.__name__: plan
     for plan in (
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_token_counts,
         op8_source_mix,
         op9_sentencepiece,
+        op10_html_text,
     )
 }
 SQL: dict[str, str] = {"op8_source_mix": mixing.SQL}
