@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.components import components, local_roots
+from quillmill.plans.components import components, local_roots
 from quillmill.llm.tables import batches_mapped, stored
 from quillmill.plans.ids import with_dense_ids
 from quillmill.plans.shipping import ship

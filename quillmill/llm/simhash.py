@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.components import components, local_roots
+from quillmill.plans.components import components, local_roots
 from quillmill.llm.tables import batches_mapped, stored
 
 SHINGLE = 3
