@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import POSTS_SQL, posts, query, quoted, table
+from catalog.registry import POSTS_SQL, dealt, posts, query, quoted, table
 from catalog.scalars import SQL_FUNCTIONS, TOKENS_SQL, sql_clean, sql_words
 from quillmill.functions import text as X
 from quillmill.functions.sqlfunctions import register_functions
@@ -21,7 +21,8 @@ LEXICON = [
 GAZETTEER = [
     ("ononst", "ORG"), ("inoran", "GPE"), ("thatin", "PERSON"), ("of the", "LOC"), ("the", "MISC"),
     ("and the", "EVENT"), ("and the of", "WORK"), ("is in", "FAC"), ("in the by the", "LAW"), ("orre", "GPE"),
-    ("la", "GPE"), ("que la", "ORG"), ("der die", "ORG"), ("thanedble", "PRODUCT"), ("rewh", "NORP"),
+    ("of", "MISC"), ("of and", "CARDINAL"), ("by the the of and in", "LAW"), ("the of", "DATE"), ("in the", "DATE"),
+    ("la", "GPE"), ("que la", "ORG"), ("la de", "DATE"), ("de la de la de la", "WORK"), ("der die", "ORG"), ("thanedble", "PRODUCT"), ("rewh", "NORP"),
 ]
 TAGS = [
     ("ononst", "PROPN"), ("inoran", "PROPN"), ("thatin", "NOUN"), ("rewh", "NOUN"), ("orre", "NOUN"),
@@ -45,7 +46,7 @@ words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos
 
 
 def clean_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.trim(X.clean_text("text")).alias("text"))
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", F.trim(X.clean_text("text")).alias("text"))
 
 
 # --- lemmas -------------------------------------------------------------------------
@@ -117,20 +118,34 @@ def correct_spelling_similarity(spark, sf_dir):
 
 
 # --- entities, nouns ----------------------------------------------------------------
+LONGEST = max(len(phrase.split(" ")) for phrase, _ in GAZETTEER)
+
+
+def _grams_sql() -> str:
+    """Runs of words of each length a listed phrase has."""
+    parts = []
+    for n in sorted({len(phrase.split(" ")) for phrase, _ in GAZETTEER}):
+        phrase = " || ' ' || ".join(f"w{k}" for k in range(n))
+        parts.append(f"select doc_id, start, {n} as n, {phrase} as phrase, start_char from placed where w{n - 1} is not null")
+    return " union all ".join(parts)
+
+
+# hits are taken one by one, the longest first, by a list of the places that are taken
 FOUND = f"""{WORDS}, {values(GAZETTEER, 'gazetteer', 'phrase, label')},
-placed as (select doc_id, pos as start, word as w0, lead(word, 1) over d as w1, lead(word, 2) over d as w2,
-    lead(word, 3) over d as w3, sum(length(word) + 1) over d - length(word) - 1 as start_char
+placed as (select doc_id, pos as start, word as w0, {', '.join(f'lead(word, {k}) over d as w{k}' for k in range(1, LONGEST))},
+    sum(length(word) + 1) over d - length(word) - 1 as start_char
   from words window d as (partition by doc_id order by pos)),
-grams as (
-  select doc_id, start, 1 as n, w0 as phrase, start_char from placed
-  union all select doc_id, start, 2, w0 || ' ' || w1, start_char from placed where w1 is not null
-  union all select doc_id, start, 3, w0 || ' ' || w1 || ' ' || w2, start_char from placed where w2 is not null
-  union all select doc_id, start, 4, w0 || ' ' || w1 || ' ' || w2 || ' ' || w3, start_char from placed
-    where w3 is not null),
-hits as materialized (select doc_id, start, n, phrase, label, start_char from grams join gazetteer using (phrase)),
-found as (select * from hits h where not exists (select 1 from hits o where o.doc_id = h.doc_id
-  and o.start < h.start + h.n and h.start < o.start + o.n
-  and (o.n > h.n or (o.n = h.n and o.start < h.start))))"""
+grams as ({_grams_sql()}),
+hits as materialized (select doc_id, start, n, phrase, label, start_char,
+  row_number() over (partition by doc_id order by n desc, start) as turn from grams join gazetteer using (phrase)),
+taken(doc_id, turn, places) as (
+  select doc_id, 0::bigint, []::bigint[] from (select distinct doc_id from hits)
+  union all
+  select t.doc_id, t.turn + 1, case when list_has_any(t.places, range(h.start, h.start + h.n)) then t.places
+    else list_concat(t.places, range(h.start, h.start + h.n)) end
+  from taken t join hits h on h.doc_id = t.doc_id and h.turn = t.turn + 1),
+found as (select h.* from hits h join taken t on t.doc_id = h.doc_id and t.turn = h.turn - 1
+  where not list_has_any(t.places, range(h.start, h.start + h.n)))"""
 
 
 def gazetteer(spark):
@@ -148,7 +163,7 @@ def _map_text(name: str):
 
 @query(
     "entity_spans",
-    f"with {FOUND} select doc_id, phrase as text, cast(start_char as bigint) as start_char, cast(start_char as bigint) + length(phrase) as end_char, label from found",
+    f"with recursive {FOUND} select doc_id, phrase as text, cast(start_char as bigint) as start_char, cast(start_char as bigint) + length(phrase) as end_char, label from found",
 )
 def entity_spans(spark, sf_dir):
     spans = L.entity_spans(clean_docs(spark, sf_dir), gazetteer(spark))
@@ -158,7 +173,7 @@ def entity_spans(spark, sf_dir):
     )
 
 
-@query("entity_set", f"with {FOUND} select distinct doc_id, phrase, label from found")
+@query("entity_set", f"with recursive {FOUND} select distinct doc_id, phrase, label from found")
 def entity_set(spark, sf_dir):
     return L.entity_set(clean_docs(spark, sf_dir), gazetteer(spark))
 
@@ -172,7 +187,7 @@ noun_maps as (select doc_id, string_agg(form || '=' || tag, ',' order by form ||
 
 @query(
     "extract_entities",
-    f"with {FOUND}, {ENTITY_MAPS} select doc_id, coalesce(entities, '') as entities "
+    f"with recursive {FOUND}, {ENTITY_MAPS} select doc_id, coalesce(entities, '') as entities "
     "from documents left join entity_maps using (doc_id)",
 )
 def extract_entities(spark, sf_dir):
@@ -192,7 +207,7 @@ def extract_nouns(spark, sf_dir):
 
 @query(
     "annotate_posts",
-    f"""with {FOUND}, {ENTITY_MAPS}, {NOUN_MAPS} select doc_id, c.text, coalesce(entities, '') as entities,
+    f"""with recursive {FOUND}, {ENTITY_MAPS}, {NOUN_MAPS} select doc_id, c.text, coalesce(entities, '') as entities,
       coalesce(nouns, '') as nouns
     from clean c left join entity_maps using (doc_id) left join noun_maps using (doc_id)""",
 )
@@ -223,7 +238,7 @@ hits as (
       regexp_replace(run, '[\\t-\\r\\x1c-\\x20\\x85\\p{{Z}}]+$', '') as text from hits""",
 )
 def match_token_pattern(spark, sf_dir):
-    hits = L.match_token_pattern(table(spark, sf_dir, "documents").select("doc_id", "text"), PATTERNS)
+    hits = L.match_token_pattern(dealt(table(spark, sf_dir, "documents")).select("doc_id", "text"), PATTERNS)
     return hits.withColumns({c: F.col(c).cast("bigint") for c in ("start", "end")})
 
 
@@ -306,8 +321,8 @@ def _top_sql(n: int) -> str:
     top as (select doc_id, phrase, score, rank from best where rank <= {n})"""
 
 
-def _textrank_sql(topn=5, window_size=2, position_bias=False) -> str:
-    return f"""{_kept_sql()}, {_word_graph_sql(window_size, position_bias, True)},
+def _textrank_sql(topn=5, window_size=2, position_bias=False, tokens=TOKENS_SQL) -> str:
+    return f"""{_kept_sql(tokens)}, {_word_graph_sql(window_size, position_bias, True)},
     scored as (select doc_id, pos, term, rank from kept join ranked using (doc_id, term)),
     {_runs_sql('scored', 'sum(rank)')}, {_top_sql(topn)}"""
 
@@ -316,7 +331,7 @@ ROUNDED_TOP = "select doc_id, phrase, round(score, 6) as score, rank from top"
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
 def _rounded(df):
@@ -336,23 +351,35 @@ def keyphrases_textrank_biased(spark, sf_dir):
     return _rounded(found)
 
 
-LEMMA_TOKENS = f"list_transform({TOKENS_SQL}, lambda w: {sql_lemma('w', 'irregular_lemma[w]')})"
+LEMMA_MAP = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in L.IRREGULAR_LEMMAS.items()) + "}"
+LEMMA_TOKENS = f"list_transform({TOKENS_SQL}, lambda w: {sql_lemma('w', f'({LEMMA_MAP})[w]')})"
 
 
-@query(
-    "keywords_ranked",
-    f"""with {_kept_sql()}, {_word_graph_sql(2, False, False)},
+def _keywords_sql(tokens: str = TOKENS_SQL) -> str:
+    return f"""{_kept_sql(tokens)}, {_word_graph_sql(2, False, False)},
     placed_terms as (select *, row_number() over (partition by doc_id order by round(rank, {K.SCORE_DIGITS}) desc, term)
       as place from ranked),
     chosen as (select k.doc_id, k.pos, k.term, t.rank from kept k join placed_terms t
       on k.doc_id = t.doc_id and k.term = t.term and t.place <= 5),
-    {_runs_sql('chosen', 'avg(rank)')}, {_top_sql(5)} {ROUNDED_TOP}""",
-)
+    {_runs_sql('chosen', 'avg(rank)')}, {_top_sql(5)}"""
+
+
+@query("keywords_ranked", f"with {_keywords_sql()} {ROUNDED_TOP}")
 def keywords_ranked(spark, sf_dir):
     return _rounded(K.keywords_ranked(docs(spark, sf_dir)))
 
 
-def _sgrank_sql(use_idf: bool, topn=5, window_size=3, ngrams=(1, 2, 3)) -> str:
+@query("keywords_ranked_lemma", f"with {_keywords_sql(LEMMA_TOKENS)} {ROUNDED_TOP}")
+def keywords_ranked_lemma(spark, sf_dir):
+    return _rounded(K.keywords_ranked(docs(spark, sf_dir), lemmatize=True))
+
+
+@query("keyphrases_textrank_lemma", f"with {_textrank_sql(tokens=LEMMA_TOKENS)} {ROUNDED_TOP}")
+def keyphrases_textrank_lemma(spark, sf_dir):
+    return _rounded(K.keyphrases_textrank(docs(spark, sf_dir), normalize="lemma"))
+
+
+def _sgrank_sql(use_idf: bool, topn=5, window_size=3, ngrams=(1, 2, 3), tokens=TOKENS_SQL) -> str:
     grams = " union all ".join(
         f"""select doc_id, pos, {n} as n, array_to_string([{', '.join(['term'] + [f't{k}' for k in range(1, n)])}], ' ')
         as gram from ahead where {' and '.join(['true'] + [f'p{k} - pos = {k}' for k in range(1, n)])}"""
@@ -362,18 +389,14 @@ def _sgrank_sql(use_idf: bool, topn=5, window_size=3, ngrams=(1, 2, 3)) -> str:
         f"lead(term, {k}) over w as t{k}, lead(pos, {k}) over w as p{k}" for k in range(1, max(ngrams))
     )
     idf = f"ln((1 + (select count(*) from documents)) / (1 + df)) + 1" if use_idf else "1"
-    return f"""{_kept_sql()},
+    return f"""{_kept_sql(tokens)},
     ahead as (select *, {leads} from kept window w as (partition by doc_id order by pos)),
     grams as materialized ({grams}),
     weighted as (select doc_id, gram, count(*) * any_value(n) / log2(min(pos) + 2) as tf from grams group by all),
     freq as (select gram, count(*) as df from weighted group by gram),
     heavy as (select doc_id, gram, tf * ({idf}) as weight from weighted join freq using (gram)),
-    candidates as materialized (select doc_id, gram as term, weight as base from (select *, row_number() over (
-      partition by doc_id order by round(weight, {K.SCORE_DIGITS}) desc, gram) as place from heavy)
-      where place <= {K.TOP_CANDIDATES}),
-    nodes as (select * from candidates),
-    spots as materialized (select g.doc_id, g.pos, g.gram as term from grams g join candidates c
-      on g.doc_id = c.doc_id and g.gram = c.term),
+    nodes as materialized (select doc_id, gram as term, weight as base from heavy),
+    spots as materialized (select doc_id, pos, gram as term from grams),
     links as materialized (select x.doc_id, x.term as a, y.term as b,
       sum(log2(1 + {window_size} / abs(x.pos - y.pos))) as weight
       from spots x join spots y on x.doc_id = y.doc_id and abs(x.pos - y.pos) between 1 and {window_size - 1}
@@ -386,6 +409,11 @@ def keyphrases_sgrank(spark, sf_dir):
     return _rounded(K.keyphrases_sgrank(docs(spark, sf_dir), use_idf=True))
 
 
+@query("keyphrases_sgrank_lemma", f"with {_sgrank_sql(False, tokens=LEMMA_TOKENS)} {ROUNDED_TOP}")
+def keyphrases_sgrank_lemma(spark, sf_dir):
+    return _rounded(K.keyphrases_sgrank(docs(spark, sf_dir), normalize="lemma"))
+
+
 @query("keyphrases_sgrank_bigram", f"with {_sgrank_sql(False, 5, 2, (2,))} {ROUNDED_TOP}")
 def keyphrases_sgrank_bigram(spark, sf_dir):
     return _rounded(K.keyphrases_sgrank(docs(spark, sf_dir), window_size=2, ngrams=2))
@@ -394,21 +422,35 @@ def keyphrases_sgrank_bigram(spark, sf_dir):
 LISTED = "select doc_id, string_agg(phrase, '|' order by rank) as phrases from top group by doc_id"
 
 
-@query(
-    "extract_keyphrases",
-    f"""with a as materialized (with {_textrank_sql()} {LISTED}), b as materialized (with {_sgrank_sql(False)} {LISTED})
-    select d.doc_id, coalesce(a.phrases, '') as textrank, coalesce(b.phrases, '') as sgrank
-    from documents d left join a using (doc_id) left join b using (doc_id)""",
-)
-def extract_keyphrases(spark, sf_dir):
-    found = K.extract_keyphrases(docs(spark, sf_dir), normalize=None)
+def _tables_sql(tokens: str) -> str:
+    return f"""with a as materialized (with {_textrank_sql(tokens=tokens)} {LISTED}),
+    b as materialized (with {_sgrank_sql(False, tokens=tokens)} {LISTED}),
+    c as materialized (with {_keywords_sql(tokens)} {LISTED})
+    select d.doc_id, coalesce(a.phrases, '') as textrank, coalesce(b.phrases, '') as sgrank,
+      coalesce(c.phrases, '') as keywords
+    from documents d left join a using (doc_id) left join b using (doc_id) left join c using (doc_id)"""
+
+
+def _keyword_table(spark, sf_dir, normalize):
+    found = K.extract_keyphrases(docs(spark, sf_dir), normalize=normalize)
     return found.select(
         "doc_id",
         F.array_join("keyphrases.textrank", "|").alias("textrank"),
         F.array_join("keyphrases.sgrank", "|").alias("sgrank"),
+        F.array_join("keywords", "|").alias("keywords"),
     )
 
 
+@query("extract_keyphrases", _tables_sql(TOKENS_SQL))
+def extract_keyphrases(spark, sf_dir):
+    return _keyword_table(spark, sf_dir, None)
+
+
+@query("extract_keyphrases_lemma", _tables_sql(LEMMA_TOKENS))
+def extract_keyphrases_lemma(spark, sf_dir):
+    return _keyword_table(spark, sf_dir, "lemma")
+
+
 @query(
     "group_term_variants",
     f"""with recursive {_sgrank_sql(False, 10)},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import query, table
+from catalog.registry import dealt, query, table
 from catalog.scalars import TOKENS_SQL, sql_quick
 from quillmill.functions.tokens import tokenize_words
 from quillmill.operators import features as FE
@@ -26,7 +26,7 @@ first_seen as (select term, row_number() over (order by place) as term_id from f
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
 @query("bag_of_words", f"with {BAG} select doc_id, term, count from bag")

@@ -164,7 +164,7 @@ from dated left join categories on domain = domain_names"""
 @query("left_join_category", LEFT_JOIN)
 def left_join_category(spark, sf_dir):
     dated = date_mails(mails(spark, sf_dir))
-    joined = R.left_join_category(dated.select("event_id", "domain"), categories(dated), ["event_id"])
+    joined = R.left_join_category(dated.select("event_id", "domain"), categories(dated))
     return joined.select(F.col("event_id").cast("bigint").alias("event_id"), "domain", "required")
 
 
@@ -180,7 +180,7 @@ def left_join_category(spark, sf_dir):
 )
 def mail_prepare_flow(spark, sf_dir):
     raw = mails(spark, sf_dir)
-    prepared = mail_prepare(raw, categories(date_mails(raw)), ["event_id"])
+    prepared = mail_prepare(raw, categories(date_mails(raw)))
     return prepared.select(
         "event_id",
         F.col("From").alias("sender"),

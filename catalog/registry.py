@@ -26,14 +26,17 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; rows are dealt out when it has fewer files than the session has cores.
+    """A given table, as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    Text work is bound by CPU, and a single small file would be one task. A table of many
-    files is read as it lies.
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for text work that is bound by CPU.
+
+    A table that one file holds is one task; a table of more parts than cores stays as it is.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # --- posts --------------------------------------------------------------------------
@@ -58,7 +61,7 @@ POSTS_SQL = POSTS.format(text=POST_TEXT.format(q="''"))
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat posts derived from ``documents``."""
     text = POST_TEXT.format(q="\\'")
-    return table(spark, sf_dir, "documents").selectExpr(
+    return dealt(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id as id",
         "lang",
         "concat('day ', doc_id % 31) as created_at",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    DATED_SQL, MAILS_SQL, POSTS_SQL, STRIPPED_SQL, UTC_SQL, mails, posts, query, quoted, table,
+    DATED_SQL, MAILS_SQL, POSTS_SQL, STRIPPED_SQL, UTC_SQL, dealt, mails, posts, query, quoted, table,
 )
 from quillmill.functions import mail as M
 from quillmill.functions import patterns as P
@@ -116,7 +116,7 @@ for _name, _expression in SQL_FUNCTIONS.items():
     f"select page_id, {sql_html('html')} as result, {replace_all('url', P.URL)} as url_left from pages",
 )
 def remove_html_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return dealt(table(spark, sf_dir, "pages")).select(
         "page_id", X.remove_html("html").alias("result"), X.remove_url("url").alias("url_left")
     )
 
@@ -124,7 +124,7 @@ def remove_html_pages(spark, sf_dir):
 @query("batch_text_function", f"select page_id, {sql_html('html')} as result from pages")
 def batch_text_function(spark, sf_dir):
     """The parser form, in Arrow batches; equal to the native form on sound markup."""
-    return table(spark, sf_dir, "pages").select(
+    return dealt(table(spark, sf_dir, "pages")).select(
         "page_id", X.remove_html("html", mode="parser").alias("result")
     )
 
@@ -137,7 +137,7 @@ TOKENS_SQL = f"regexp_extract_all(lower(text), {quoted(P.TOKEN)})"
     f"select doc_id, unnest({TOKENS_SQL}) as term, generate_subscripts({TOKENS_SQL}, 1) - 1 as pos from documents",
 )
 def tokenize(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.posexplode(tokenize_words("text")).alias("pos", "term")).select(
         "doc_id", "term", F.col("pos").cast("bigint").alias("pos")
     )

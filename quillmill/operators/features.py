@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from quillmill.functions.text import quick_preprocess
 from quillmill.functions.tokens import ngrams, split_words, tokenize_words
 from quillmill.plans.ids import with_dense_ids
-from quillmill.plans.joins import salted_join
+from quillmill.plans.joins import lookup_join, salted_join
 from quillmill.plans.storage import cut_lineage
 
-MAX_DENSE_TERMS = 2_000
-
 
 def explode_tokens(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
     """Rows (doc, pos, term), positions from 0."""
@@ -69,7 +67,7 @@ def bow_transform(
 ) -> DataFrame:
     """Counts of the known terms of new texts, by term id; unknown terms are left out."""
     bag = bag_of_words(docs, n, binary, id_col, text_col)
-    joined = salted_join(bag, vocab.select("term", "term_id"), "term", [id_col])
+    joined = lookup_join(bag, vocab.select("term", "term_id"), "term")
     return joined.select(id_col, "term_id", "term", "count")
 
 
@@ -96,12 +94,13 @@ def tf_idf(
     The length of a document is a sum that is aggregated before it is joined back, so no
     document's terms are ever gathered in one place.
     """
-    bag = bag_of_words(docs, n, id_col=id_col, text_col=text_col)
+    # read for the counts, for the lengths and for the result, and far cheaper read than counted
+    bag = cut_lineage(bag_of_words(docs, n, id_col=id_col, text_col=text_col))
     if use_idf:
         # a row per term, read twice by the join: cheaper written once than counted twice
         idf = cut_lineage(idf_smooth(bag, count_docs(docs, id_col)))
         counts = idf.select("term", F.col("df").alias("n"))
-        weighted = salted_join(bag, idf.select("term", "idf"), "term", [id_col], counts=counts)
+        weighted = salted_join(bag, idf.select("term", "idf"), "term", [id_col], counts)
         weighted = weighted.withColumn("weight", F.col("count") * F.col("idf"))
     else:
         weighted = bag.withColumn("weight", F.col("count").cast("double"))
@@ -113,7 +112,7 @@ def tf_idf(
         )
     )
     scaled = salted_join(
-        weighted, norms.select(id_col, "norm"), id_col, ["term"], counts=norms.select(id_col, "n")
+        weighted, norms.select(id_col, "norm"), id_col, ["term"], norms.select(id_col, "n")
     )
     return scaled.select(id_col, "term", (F.col("weight") / F.col("norm")).alias("tf_idf"))
 
@@ -129,35 +128,44 @@ def vocab_size(bag: DataFrame, approximate: bool = False) -> DataFrame:
     return bag.agg(count.alias("vocab_size"))
 
 
-def _check_dense(size: int) -> None:
-    if size > MAX_DENSE_TERMS:
-        raise ValueError(
-            f"a dense form of {size} columns is over the limit of {MAX_DENSE_TERMS}; "
-            "use the long table (doc, term, value) instead"
-        )
-
-
 def dense_matrix(
     docs: DataFrame, matrix: DataFrame, vocab: list[str], value_col: str, id_col: str = "doc_id"
 ) -> DataFrame:
-    """A row per document and a column per term of a given, bounded vocabulary; 0 if absent."""
-    _check_dense(len(vocab))
+    """A row per document and a column per term of a given vocabulary; 0 if absent."""
     wide = matrix.groupBy(id_col).pivot("term", vocab).agg(F.first(value_col))
     return docs.select(id_col).join(wide, id_col, "left").na.fill(0)
 
 
+def dense_rows(docs: DataFrame, matrix: DataFrame, vocab: DataFrame, value_col: str, id_col: str = "doc_id") -> DataFrame:
+    """(doc, values): a row per document with one value per term of ``vocab``, in the order of its ids.
+
+    ``vocab`` is (term, term_id), ids from 0; a vocabulary of any size gives an array of that
+    length, not a column per term. Each document's own entries are gathered first, then laid
+    into zeros, so only the row that is asked for is dense.
+    """
+    size = vocab.agg(F.count(F.lit(1)).cast("int").alias("size"))
+    known = lookup_join(matrix.select(id_col, "term", value_col), vocab.select("term", "term_id"), "term")
+    entries = known.groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("term_id").cast("int"), F.col(value_col).cast("double")))).alias("_own")
+    )
+    rows = docs.select(id_col).join(entries, id_col, "left").withColumn("_size", size.scalar())
+    none = F.create_map().cast("map<int,double>")
+    ids = F.when(F.col("_size") > 0, F.sequence(F.lit(0), F.col("_size") - 1)).otherwise(F.array().cast("array<int>"))
+    held = F.coalesce("_own", none)
+    return rows.select(id_col, F.transform(ids, lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0.0))).alias("values"))
+
+
 def one_hot_tokens(
     docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc, pos, term, term_id): the place of the 1 for every token, null if unknown."""
     words = explode_tokens(docs, split_words(quick_preprocess(text_col)), id_col)
-    joined = salted_join(words, vocab.select("term", "term_id"), "term", [id_col, "pos"], "left")
+    joined = lookup_join(words, vocab.select("term", "term_id"), "term", "left")
     return joined.select(id_col, "pos", "term", "term_id")
 
 
 def one_hot_dense(text: Column, vocab: list[str]) -> Column:
     """Per token a list of 0 and 1 over a given, bounded vocabulary."""
-    _check_dense(len(vocab))
     words = F.array(*[F.lit(word) for word in vocab])
     return F.transform(
         split_words(text), lambda token: F.transform(words, lambda word: (word == token).cast("int"))
@@ -169,14 +177,12 @@ def label_encode(df: DataFrame, column: str, key: list[str]) -> DataFrame:
     values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     ids = with_dense_ids(values, [F.col(column)], "label_id")
     coded = salted_join(
-        df.select(*key, column), ids.select(column, "label_id"), column, key, "left",
-        counts=ids.select(column, "n"),
+        df.select(*key, column), ids.select(column, "label_id"), column, key, ids.select(column, "n"), "left"
     )
     return coded.select(*key, column, "label_id")
 
 
 def one_hot_categories(df: DataFrame, column: str, values: list[str], key: list[str]) -> DataFrame:
     """A 0/1 column for each of the given values, in sorted order."""
-    _check_dense(len(values))
     flags = [F.coalesce(F.col(column) == v, F.lit(False)).cast("int").alias(v) for v in sorted(values)]
     return df.select(*key, *flags)

@@ -16,6 +16,7 @@ from quillmill.functions.arrays import group_sorted, indexes, split_where
 from quillmill.functions.binding import bind
 from quillmill.functions.tokens import tokenize_words
 from quillmill.operators.lexicon import lemma_of_word
+from quillmill.plans.components import components
 from quillmill.plans.joins import salted_join
 from quillmill.plans.storage import cut_lineage
 
@@ -33,7 +34,6 @@ with would you your yours yourself yourselves
 ROUNDS = 10
 DAMPING = 0.85
 SCORE_DIGITS = 8  # scores are compared after rounding, so that equal ones tie on every engine
-TOP_CANDIDATES = 100  # fixed value: terms that enter the graph step of SGRank
 
 
 def _rounded(score: Column) -> Column:
@@ -273,9 +273,13 @@ def keywords_ranked(
 
     The score of a merged keyword is the mean of its words.
     """
-    ranked = textrank_words(
-        text_col, window_size, normalize="lemma" if lemmatize else None, binary=False
-    )
+    best = ranked_keywords(text_col, words, "lemma" if lemmatize else None, window_size)
+    return phrase_rows(docs, best, id_col)
+
+
+def ranked_keywords(text_col: str, words: int, normalize: str | None, window_size: int = 2) -> Column:
+    """Array of the best keywords, as ``keywords_ranked`` has them."""
+    ranked = textrank_words(text_col, window_size, normalize=normalize, binary=False)
 
     def keywords(ranked: Column) -> Column:
         terms = F.transform(
@@ -289,7 +293,7 @@ def keywords_ranked(
         )
 
     phrases = adjacent_runs(bind(ranked, keywords), lambda run: _sum_rank(run) / F.size(run))
-    return phrase_rows(docs, best_phrases(phrases, words), id_col)
+    return best_phrases(phrases, words)
 
 
 # --- SGRank -------------------------------------------------------------------------
@@ -335,8 +339,8 @@ def sgrank_weight(term: Column) -> Column:
 def sgrank_phrases(
     weighted: Column, topn: int, window_size: int, per_pos: int, rounds: int, damping: float
 ) -> Column:
-    """The best phrases from an array of (key, gram, weight, positions)."""
-    kept = F.slice(F.sort_array(weighted), 1, TOP_CANDIDATES)
+    """The best phrases from an array of (key, gram, weight, positions); every term takes part."""
+    kept = F.sort_array(weighted)
 
     def ranked(terms: Column) -> Column:
         groups = F.transform(
@@ -389,9 +393,9 @@ def keyphrases_sgrank(
     """(doc, phrase, score, rank) by SGRank.
 
     n-grams are weighted by tf * length (* idf over ``docs``) and by how early they first
-    occur; the best ``TOP_CANDIDATES`` of a document then form a graph in which terms closer
-    than ``window_size`` are linked by log2(1 + window_size/distance), and are ranked with
-    their weight as base. Without ``use_idf`` a document needs nothing but itself.
+    occur; all n-grams of a document then form a graph in which terms closer than
+    ``window_size`` are linked by log2(1 + window_size/distance), and are ranked with their
+    weight as base. Without ``use_idf`` a document needs nothing but itself.
     """
     ngrams = (ngrams,) if isinstance(ngrams, int) else tuple(ngrams)
     rule = {
@@ -445,7 +449,7 @@ def extract_keyphrases(
     window_size: int = 3,
     ngrams: tuple[int, ...] = (1, 2, 3),
 ) -> DataFrame:
-    """All columns and ``keyphrases``: the TextRank and the SGRank list of each text."""
+    """All columns and ``keyphrases`` (the TextRank and the SGRank list) and ``keywords`` (ranked)."""
     terms = phrase_ngrams(text_col, ngrams, normalize)
     weighted = F.transform(terms, lambda term: _candidate(term, sgrank_weight(term)))
     sgrank = sgrank_phrases(weighted, topn, window_size, len(ngrams), ROUNDS, DAMPING)
@@ -460,7 +464,7 @@ def extract_keyphrases(
             names(textrank_phrases(text_col, topn, normalize=normalize)).alias("textrank"),
             names(sgrank).alias("sgrank"),
         ),
-    )
+    ).withColumn("keywords", names(ranked_keywords(text_col, topn, normalize)))
 
 
 # --- variants -----------------------------------------------------------------------
@@ -470,82 +474,103 @@ def squashed(term: Column) -> Column:
     return F.regexp_replace(plain, "(?<=[^s])s$", "")
 
 
-def variant_links(terms: DataFrame, group_col: str) -> DataFrame:
-    """(group, term, other): a term and one it contains as whole words or spells alike.
+def _preference(term_col: str, score_col: str | None) -> Column:
+    """What makes a term the one chosen: its score, else few words and letters; then the alphabet."""
+    words = F.size(F.split(term_col, " "))
+    first = words if score_col is None else -_rounded(F.col(score_col))
+    second = F.length(term_col) if score_col is None else words
+    return F.struct(first.cast("double").alias("a"), second.alias("b"), F.col(term_col).alias("chosen"))
 
-    Terms are not paired with each other: each emits the runs of words inside it that are as
-    long as some term of its group, and the runs that are terms of the group are links;
-    spelling variants link to the first of them.
+
+def variants_in_row(terms: Column) -> Column:
+    """Array of (term, variant_of) from an array of preferences, best first.
+
+    Terms are linked that are spelt alike or one of which holds the other as whole words.
+    Labels spread within the row, for as many rounds as it has terms, which no chain outlasts.
     """
-    n_words = F.size(F.split("term", " "))
-    counted = terms.select(group_col, "term", n_words.alias("n_words"))
-    sizes = counted.groupBy(group_col).agg(F.collect_set("n_words").alias("sizes"))
-    counted = salted_join(counted, sizes, group_col, ["term"])
 
-    def runs(words: Column) -> Column:
-        def of_size(size: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.size(words) - size + 1)
-            return F.transform(starts, lambda start: F.array_join(F.slice(words, start, size), " "))
-
-        shorter = F.filter("sizes", lambda size: size < F.size(words))
-        return F.array_distinct(F.flatten(F.transform(shorter, of_size)))
-
-    key = F.struct(group_col, "run").alias("key")
-    inside = counted.select(group_col, "term", F.explode(bind(F.split("term", " "), runs)).alias("run"))
-    known = terms.select(F.struct(group_col, F.col("term").alias("run")).alias("key"), F.col("term").alias("other"))
-    contained = salted_join(inside.select(group_col, "term", key), known, "key", ["term"]).select(
-        group_col, "term", "other"
+    def alike(a: Column, b: Column) -> Column:
+        def within(x: Column, y: Column) -> Column:
+            return F.contains(F.concat(F.lit(" "), x, F.lit(" ")), F.concat(F.lit(" "), y, F.lit(" ")))
+
+        return (a["form"] == b["form"]) | within(a["term"], b["term"]) | within(b["term"], a["term"])
+
+    def grouped(items: Column) -> Column:
+        every = indexes(items)
+        neighbours = F.transform(items, lambda a: F.filter(every, lambda j: alike(a, F.get(items, j))))
+
+        def labelled(links_: Column) -> Column:
+            def one_round(labels: Column, _round: Column) -> Column:
+                return F.transform(links_, lambda near: F.array_min(F.transform(near, lambda j: F.get(labels, j))))
+
+            labels = F.aggregate(every, every, one_round)
+            return bind(
+                labels,
+                lambda labels: F.zip_with(
+                    items,
+                    labels,
+                    lambda item, label: F.struct(
+                        item["term"].alias("term"), F.get(items, label)["term"].alias("variant_of")
+                    ),
+                ),
+            )
+
+        return bind(neighbours, labelled)
+
+    named = F.transform(
+        terms, lambda t: F.struct(t["chosen"].alias("term"), squashed(t["chosen"]).alias("form"))
     )
-    alike = terms.withColumn("form", squashed(F.col("term")))
-    first = alike.groupBy(group_col, "form").agg(F.min("term").alias("other"))
-    joined = salted_join(
-        alike.select(group_col, "term", F.struct(group_col, "form").alias("key")),
-        first.select(F.struct(group_col, "form").alias("key"), "other"),
-        "key",
-        ["term"],
-    ).select(group_col, "term", "other")
-    return contained.unionByName(joined.where(F.col("term") != F.col("other")))
+    return bind(named, grouped)
 
 
 def group_term_variants(
-    terms: DataFrame, group_col: str = "doc_id", score_col: str | None = None, max_rounds: int = 50
+    terms: DataFrame, group_col: str = "doc_id", score_col: str | None = None
 ) -> DataFrame:
     """(group, term, variant_of): one chosen term for each set of linked variants.
 
-    Labels spread along the links until none changes. The chosen term has the best score,
-    else the fewest words and letters, then comes first in the alphabet.
+    A group is what one text gave: its terms are gathered in a row and grouped there. For
+    the terms of a whole corpus there is ``corpus_variants``. The chosen term has the best
+    score, else the fewest words and letters, then comes first in the alphabet.
     """
-    words = F.size(F.split("term", " "))
-    if score_col is None:
-        rank = F.struct(words.alias("a"), F.length("term").alias("b"), F.col("term").alias("chosen"))
-    else:
-        rank = F.struct((-_rounded(F.col(score_col))).alias("a"), words.alias("b"), F.col("term").alias("chosen"))
-    # the terms are read many times below, and may be costly to find
-    nodes = cut_lineage(terms.groupBy(group_col, "term").agg(F.min(rank).alias("label")))
-    links = variant_links(nodes.select(group_col, "term"), group_col)
-    both = links.unionByName(
-        links.select(group_col, F.col("other").alias("term"), F.col("term").alias("other"))
-    )
-    # (node, neighbour) pairs, keyed by the neighbour whose label travels
-    both = cut_lineage(
-        both.distinct().select(F.struct(group_col, F.col("other").alias("term")).alias("key"), "term")
-    )
-    labels = nodes
-    for _ in range(max_rounds):
-        sent = salted_join(
-            both, labels.select(F.struct(group_col, "term").alias("key"), "label"), "key", ["term"]
-        ).select(F.col(f"key.{group_col}").alias(group_col), "term", "label")
-        best = (
-            labels.withColumn("own", F.col("label"))
-            .unionByName(sent.withColumn("own", F.lit(None)))
-            .groupBy(group_col, "term")
-            .agg(F.min("label").alias("label"), F.max("own").alias("own"))
+    best = terms.groupBy(group_col, "term").agg(F.min(_preference("term", score_col)).alias("label"))
+    rows = best.groupBy(group_col).agg(F.sort_array(F.collect_list("label")).alias("labels"))
+    return rows.select(group_col, F.inline(variants_in_row(F.col("labels"))))
+
+
+def corpus_variants(terms: DataFrame, score_col: str | None = None) -> DataFrame:
+    """(term, variant_of) over the terms of a corpus, without gathering them in one place.
+
+    Each term emits the runs of words inside it, and those that are terms are links; terms
+    spelt alike link to the first of them. The sets are connected components, found in a
+    number of rounds that grows with the logarithm of the longest chain.
+    """
+    nodes = cut_lineage(terms.groupBy("term").agg(F.min(_preference("term", score_col)).alias("label")))
+    words = F.split("term", " ")
+
+    def runs(words: Column) -> Column:
+        sizes = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(
+            F.array().cast("array<int>")
         )
-        best = cut_lineage(best)
-        changed = best.where(F.col("label") != F.col("own")).limit(1).count()
-        labels = best.drop("own")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"term variants still changing after {max_rounds} rounds")
-    return labels.select(group_col, "term", F.col("label.chosen").alias("variant_of"))
+        return F.array_distinct(
+            F.flatten(
+                F.transform(
+                    sizes,
+                    lambda size: F.transform(
+                        F.sequence(F.lit(1), F.size(words) - size + 1),
+                        lambda start: F.array_join(F.slice(words, start, size), " "),
+                    ),
+                )
+            )
+        )
+
+    inside = nodes.select(F.col("term").alias("a"), F.explode(bind(words, runs)).alias("b"))
+    contained = inside.join(nodes.select(F.col("term").alias("b")), "b").select("a", "b")
+    forms = nodes.select("term", squashed(F.col("term")).alias("form"))
+    first = forms.groupBy("form").agg(F.min("term").alias("b"))
+    spelt = forms.join(first, "form").select(F.col("term").alias("a"), "b")
+    roots = components(contained.union(spelt).where(F.col("a") != F.col("b")))
+    rooted = nodes.join(roots.withColumnRenamed("node", "term"), "term", "left").select(
+        "term", "label", F.coalesce("root", "term").alias("root")
+    )
+    chosen = rooted.groupBy("root").agg(F.min("label")["chosen"].alias("variant_of"))
+    return rooted.join(chosen, "root").select("term", "variant_of")

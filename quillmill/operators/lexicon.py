@@ -6,11 +6,8 @@ broadcast after its size was counted; a large one goes through the salted join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-import pandas as pd
 
 from quillmill.functions import patterns as P
 from quillmill.functions.arrays import indexes
@@ -18,6 +15,7 @@ from quillmill.functions.binding import bind
 from quillmill.functions.tokens import split_words
 from quillmill.operators.features import explode_tokens
 from quillmill.plans.joins import lookup_join
+from quillmill.plans.storage import cut_lineage
 
 # --- lemmas -------------------------------------------------------------------------
 # Irregular forms (fixed values).
@@ -95,51 +93,57 @@ def lemmatize(
 ) -> DataFrame:
     """(doc, lemma) by a (form, lemma) table; what it does not list follows the endings."""
     words = docs.select(id_col, F.posexplode_outer(split_words(text_col)).alias("pos", "form"))
-    listed = lookup_join(words, lexicon.select("form", "lemma"), "form", [id_col, "pos"], "left")
+    one_each = lexicon.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    listed = lookup_join(words, one_each, "form", "left")
     return join_words(listed, id_col, choose_lemma(F.col("form"), F.col("lemma")), "lemma")
 
 
 # --- entities and nouns -------------------------------------------------------------
-MAX_PHRASE = 4
+def placed_words(text_col: str) -> Column:
+    """Array of (word, start): the words of a text with their character offsets.
 
+    A word is taken with the blanks behind it, so that the lengths add up to offsets.
+    """
+    before = F.length(F.regexp_extract(text_col, rf"^[{P.SPACE}]*", 0))
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(rf"[^{P.SPACE}]+[{P.SPACE}]*"), F.lit(0))
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def word_starts(texts: pd.Series) -> pd.Series:
-    """Character offset of every word; Spark's own functions return matches without offsets."""
-    import re
+    def placed(pieces: Column) -> Column:
+        none = F.array().cast("array<int>")
+        starts = F.aggregate(
+            pieces,
+            F.struct(before.alias("at"), none.alias("starts")),
+            lambda s, piece: F.struct(
+                (s["at"] + F.length(piece)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")
+            ),
+        )["starts"]
+        words = F.transform(pieces, lambda piece: F.regexp_replace(piece, rf"[{P.SPACE}]+$", ""))
+        return F.zip_with(words, starts, lambda w, s: F.struct(w.alias("word"), s.alias("start")))
 
-    word = re.compile(r"\S+")
-    return texts.map(lambda text: [m.start() for m in word.finditer(text)], na_action="ignore")
+    return bind(pieces, placed)
 
 
-def phrase_candidates(
-    docs: DataFrame, id_col: str, text_col: str, max_words: int, offsets: bool = False
-) -> DataFrame:
-    """(doc, start, n, phrase): runs of 1 to ``max_words`` words, from the row itself."""
-    base = docs.select(id_col, split_words(text_col).alias("words"))
-    if offsets:
-        base = docs.select(
-            id_col, split_words(text_col).alias("words"), word_starts(text_col).alias("starts")
-        )
+def phrase_candidates(docs: DataFrame, id_col: str, text_col: str, sizes: DataFrame) -> DataFrame:
+    """(doc, start, n, phrase, start_char, end_char): runs of words as long as some listed phrase.
+
+    ``sizes`` is one row with the array of those lengths.
+    """
+    base = docs.select(id_col, placed_words(text_col).alias("words")).withColumn("sizes", sizes.scalar())
 
     def runs(words: Column, start: Column) -> Column:
-        longest = F.least(F.lit(max_words), F.size(words) - start)
+        fitting = F.filter("sizes", lambda n: start + n <= F.size(words))
 
         def run(n: Column) -> Column:
-            fields = [
+            last = F.get(words, start + n - 1)
+            phrase = F.array_join(F.transform(F.slice(words, start + 1, n), lambda w: w["word"]), " ")
+            return F.struct(
                 start.alias("start"),
                 n.alias("n"),
-                F.array_join(F.slice(words, start + 1, n), " ").alias("phrase"),
-            ]
-            if offsets:
-                last = start + n - 1
-                fields += [
-                    F.get("starts", start).alias("start_char"),
-                    (F.get("starts", last) + F.length(F.get(words, last))).alias("end_char"),
-                ]
-            return F.struct(*fields)
-
-        return F.transform(F.sequence(F.lit(1), longest), run)
+                phrase.alias("phrase"),
+                F.get(words, start)["start"].alias("start_char"),
+                (last["start"] + F.length(last["word"])).alias("end_char"),
+            )
+
+        return F.transform(fitting, run)
 
     per_start = bind(
         F.col("words"),
@@ -148,45 +152,49 @@ def phrase_candidates(
     return base.select(id_col, F.inline(F.flatten(per_start)))
 
 
+def longest_first(hits: Column) -> Column:
+    """The hits that stay: the longest first, of equally long ones the first, each if it
+    overlaps none that stays already."""
+    ordered = F.transform(
+        F.array_sort(F.transform(hits, lambda h: F.struct((-h["n"]).alias("key"), h["start"].alias("at"), h.alias("hit")))),
+        lambda entry: entry["hit"],
+    )
+
+    def free(kept: Column, hit: Column) -> Column:
+        return ~F.exists(
+            kept, lambda k: (k["start"] < hit["start"] + hit["n"]) & (hit["start"] < k["start"] + k["n"])
+        )
+
+    return F.aggregate(
+        ordered,
+        F.slice(hits, 1, 0),
+        lambda kept, hit: F.when(free(kept, hit), F.concat(kept, F.array(hit))).otherwise(kept),
+    )
+
+
 def find_entities(
-    docs: DataFrame,
-    gazetteer: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    offsets: bool = False,
-    max_words: int = MAX_PHRASE,
+    docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Rows (doc, start, n, phrase, label[, start_char, end_char]) of listed phrases.
+    """Rows (doc, start, n, phrase, label, start_char, end_char) of listed phrases of any length.
 
-    Of two overlapping phrases the longer stays, of equally long ones the first. Only
-    phrases at most ``max_words - 1`` words away can overlap, so the frame that decides
-    is bounded.
+    Phrases are taken the longest first, of equally long ones the first, and one that overlaps
+    a phrase taken before is left out. A document's hits are gathered in its row, of which
+    there are no more than its words allow.
     """
     labels = gazetteer.groupBy("phrase").agg(F.min("label").alias("label"))
-    candidates = phrase_candidates(docs, id_col, text_col, max_words, offsets)
-    found = lookup_join(candidates, labels, "phrase", [id_col, "start"])
-    near = (
-        Window.partitionBy(id_col).orderBy("start").rangeBetween(-(max_words - 1), max_words - 1)
-    )
-    beaten = F.exists(
-        "near",
-        lambda other: (other["start"] < F.col("start") + F.col("n"))
-        & (F.col("start") < other["start"] + other["n"])
-        & (
-            (other["n"] > F.col("n"))
-            | ((other["n"] == F.col("n")) & (other["start"] < F.col("start")))
-        ),
-    )
-    return found.withColumn("near", F.collect_list(F.struct("start", "n")).over(near)).where(
-        ~beaten
-    ).drop("near")
+    sizes = labels.agg(F.collect_set(F.size(split_words("phrase"))).alias("sizes"))
+    candidates = phrase_candidates(docs, id_col, text_col, sizes)
+    found = lookup_join(candidates, labels, "phrase")
+    hit = F.struct("start", "n", "phrase", "label", "start_char", "end_char")
+    hits = found.groupBy(id_col).agg(F.collect_list(hit).alias("hits"))
+    return hits.select(id_col, F.inline(longest_first(F.col("hits"))))
 
 
 def entity_spans(
     docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc, text, start_char, end_char, label) of each entity."""
-    return find_entities(docs, gazetteer, id_col, text_col, offsets=True).select(
+    return find_entities(docs, gazetteer, id_col, text_col).select(
         id_col, F.col("phrase").alias("text"), "start_char", "end_char", "label"
     )
 
@@ -224,17 +232,23 @@ def extract_nouns(
     words = explode_tokens(docs, split_words(text_col), id_col).select(
         id_col, F.col("pos").alias("start"), F.col("term").alias("form")
     )
-    rows = lookup_join(words, nouns, "form", [id_col, "start"])
+    rows = lookup_join(words, nouns, "form")
     return _as_map(rows, docs, id_col, "form", "tag", "nouns")
 
 
 def annotate_posts(
     docs: DataFrame, gazetteer: DataFrame, tags: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """All columns, and the entity and noun maps."""
-    entities = extract_entities(docs, gazetteer, id_col, text_col)
-    nouns = extract_nouns(docs, tags, id_col, text_col)
-    return docs.join(entities, id_col, "left").join(nouns, id_col, "left")
+    """All columns, and the entity and noun maps.
+
+    The texts are written once, with a row number of their own, as they may be costly to
+    make and ids may repeat; the maps are joined back on that number.
+    """
+    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    texts = numbered.select("_row", text_col)
+    entities = extract_entities(texts, gazetteer, "_row", text_col)
+    nouns = extract_nouns(texts, tags, "_row", text_col)
+    return numbered.join(entities, "_row", "left").join(nouns, "_row", "left").drop("_row")
 
 
 # --- token patterns -----------------------------------------------------------------

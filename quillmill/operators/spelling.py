@@ -142,7 +142,7 @@ def correct_spelling(
     counts = cut_lineage(word_counts(docs, text_col))
     corrections = methods[method](unknown_words(counts, dictionary, keep), dictionary)
     words = docs.select(id_col, F.posexplode_outer(split_words(text_col)).alias("pos", "word"))
-    mapped = salted_join(words, corrections, "word", [id_col, "pos"], "left", counts=counts)
+    mapped = salted_join(words, corrections, "word", [id_col, "pos"], counts, "left")
     return join_words(mapped, id_col, F.coalesce("correction", "word"), "corrected")
 
 

@@ -39,16 +39,14 @@ def fill_nulls(df: DataFrame, value: str) -> DataFrame:
 
 
 def left_join_category(
-    mails: DataFrame, categories: DataFrame, spread: list[str], fill: str | None = "na"
+    mails: DataFrame, categories: DataFrame, fill: str | None = "na"
 ) -> DataFrame:
     """Mails with the manual label of their domain.
 
     A domain that is listed twice multiplies its mails; ``fill`` replaces all nulls after.
     """
     labels = fill_nulls(categories.select("domain_names", "required"), "n")
-    joined = lookup_join(
-        mails, labels.withColumnRenamed("domain_names", "domain"), "domain", spread, "left"
-    )
+    joined = lookup_join(mails, labels.withColumnRenamed("domain_names", "domain"), "domain", "left")
     return joined if fill is None else fill_nulls(joined, fill)
 
 

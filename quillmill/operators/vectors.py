@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators.features import explode_tokens
-from quillmill.plans.joins import salted_join
+from quillmill.plans.joins import lookup_join
+from quillmill.plans.storage import cut_lineage
 
 
 def vector_lookup(vectors: DataFrame, word: str, strict: bool = False) -> DataFrame:
@@ -39,9 +40,9 @@ def vectors_for_text(
     if unknown not in ("null", "drop", "error"):
         raise ValueError("unknown must be 'null', 'drop' or 'error'")
     words = explode_tokens(docs, F.split(text_col, " ") if tokens is None else tokens, id_col)
-    table = vectors.select(F.col("word").alias("term"), "vector")
+    table = vectors.groupBy(F.col("word").alias("term")).agg(F.min("vector").alias("vector"))  # one per word
     how = "inner" if unknown == "drop" else "left"
-    joined = salted_join(words, table, "term", [id_col, "pos"], how)
+    joined = lookup_join(words, table, "term", how)
     vector = F.col("vector")
     if unknown == "error":
         message = F.concat(F.lit("no vector for "), F.col("term"))
@@ -63,18 +64,19 @@ def mean_vector(
     Tokens are counted per text first, so each (text, word) pair meets its vector once;
     unknown ones carry no vector and only count. Sums are combined before the shuffle.
     """
-    bag = docs.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(
+    counted = docs.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(
         F.count(F.lit(1)).alias("count")
     )
+    bag = cut_lineage(counted)  # read for the vectors and for the sizes
     table = vectors.select(F.col("word").alias("term"), "vector")
-    known = salted_join(bag, table, "term", [id_col]).select(
+    known = lookup_join(bag, table, "term").select(
         id_col, array_to_vector("vector").alias("vector"), F.col("count").cast("double").alias("count")
     )
     weighted_sum = Summarizer.metrics("sum").summary(F.col("vector"), F.col("count"))
     sums = known.groupBy(id_col).agg(weighted_sum.alias("s")).select(
         id_col, vector_to_array("s.sum").alias("total")
     )
-    sizes = docs.groupBy(id_col).agg(F.sum(F.size(tokens)).alias("size")).where(F.col("size") > 0)
+    sizes = bag.groupBy(id_col).agg(F.sum("count").alias("size"))
     total = F.coalesce("total", F.array_repeat(F.lit(0.0), dim))
     mean = F.transform(total, lambda x: x / F.col("size"))
     return sizes.join(sums, id_col, "left").select(id_col, mean.alias("vector"))

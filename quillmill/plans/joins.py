@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys can each hold more than 1/HEAVY_KEYS of the rows, so a table of
-# the HEAVY_KEYS most frequent keys has a fixed size and leaves no hot key out.
-HEAVY_KEYS = 1000
-SMALL_ROWS = 50_000
 
+def heavy_key_salts(counts: DataFrame, key: str, slices: int) -> DataFrame:
+    """(key, _salts): into how many slices each key with over 1/slices of all rows is cut.
 
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    There are fewer than ``slices`` such keys, and their salts sum to at most twice as many,
+    so the table has a bounded size and leaves no hot key out.
+    """
+    total = counts.agg(F.sum("n").alias("total"))
+    share = F.col("n") * slices / total.scalar()
+    return counts.where(F.col(key).isNotNull() & (share > 1)).select(key, F.ceil(share).cast("int").alias("_salts"))
 
 
-def heavy_key_salts(counts: DataFrame, key: str, slices: int) -> DataFrame:
-    """(key, _salts): into how many slices each of the most frequent keys is cut.
+def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``facts`` to a lookup table on ``key``, reading ``facts`` once.
 
-    Salts go by frequency, so every slice is at most 1/slices of all rows and the salts
-    sum to at most ``slices + HEAVY_KEYS``.
+    Whether the lookup is broadcast goes by its size in bytes, as the session has it; else
+    adaptive execution splits the partitions of hot keys, on the side of the facts. A missing
+    key matches nothing.
     """
-    top = counts.where(F.col(key).isNotNull()).orderBy(F.desc("n")).limit(HEAVY_KEYS)
-    total = F.sum("n").over(Window.partitionBy())  # over the limited table only
-    return top.select(key, F.ceil(F.col("n") * slices / total).cast("int").alias("_salts"))
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    return facts.join(lookup, key, how)
 
 
 def salted_join(
@@ -32,21 +34,19 @@ def salted_join(
     lookup: DataFrame,
     key: str,
     spread: list[str],
+    counts: DataFrame,
     how: str = "inner",
-    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``facts`` to ``lookup`` on ``key``, splitting the heaviest keys.
+    """Join ``facts`` to ``lookup`` on ``key``, splitting the heaviest keys by plan.
 
-    Rows of the ``HEAVY_KEYS`` most frequent keys get a salt from the ``spread`` columns,
-    and their lookup rows one copy per salt; all other keys meet under salt 0. ``counts``
-    is a (key, n) table when the caller has one already. No broadcast is forced on the
-    lookup: adaptive execution picks one if the measured size allows it.
+    For joins whose result goes on to a costly step, when the caller has a (key, n) table of
+    ``counts``, written out once. Keys with over a partition's share of rows get a salt from
+    the ``spread`` columns, and their lookup rows one copy per salt; all other keys meet
+    under salt 0. No row is dropped, and duplicates on either side are kept.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     slices = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if counts is None:
-        counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     heavy = F.broadcast(heavy_key_salts(counts, key, slices))
     slice_of = F.xxhash64(*spread)
     # a missing key matches nothing; spread its rows as well
@@ -57,12 +57,3 @@ def salted_join(
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     salted_lookup = lookup.join(heavy, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return salted_facts.join(salted_lookup, [key, "_salt"], how).drop("_salt")
-
-
-def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, spread: list[str], how: str = "inner"
-) -> DataFrame:
-    """Broadcast the lookup when a count shows that it is small, else ``salted_join``."""
-    if is_small(lookup):
-        return facts.join(F.broadcast(lookup), key, how)
-    return salted_join(facts, lookup, key, spread, how)

@@ -25,9 +25,9 @@ def date_mails(raw: DataFrame) -> DataFrame:
     )
 
 
-def mail_prepare(raw: DataFrame, categories: DataFrame, spread: list[str]) -> DataFrame:
+def mail_prepare(raw: DataFrame, categories: DataFrame) -> DataFrame:
     """Dated mails with the label of their domain, nulls filled."""
     dated = date_mails(raw).withColumn(
         "datetime_ist", F.date_format("datetime_ist", "yyyy-MM-dd HH:mm:ss")
     )
-    return left_join_category(dated, categories, spread)
+    return left_join_category(dated, categories)
