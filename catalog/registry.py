@@ -40,9 +40,14 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 # --- posts --------------------------------------------------------------------------
-POST_TEXT = """case when doc_id % 17 = 0 then null else concat(
+POST_TEXT = """case when blank then null else concat(
     case when doc_id % 3 = 0 then 'RT ' else '' end, '@user', doc_id % 7, ' ', text,
-    ' Don{q}t miss Café <b>news</b> &amp; more #tag', doc_id % 11, ' https://t.co/a', doc_id, ' 12.5') end"""
+    ' Don{q}t miss Café <b>news</b> &amp; more caf&eacute; &#233;t&#xE9; &pound;5 &nosuch; &amp;lt; #tag', doc_id % 11, ' https://t.co/a', doc_id, ' 12.5',
+    case when doc_id % 13 = 0 then concat(' <img alt="a > b" src=', repeat('x', 2500), '> end <b open ', repeat('y', 2500))
+      else '' end) end"""
+# Each 17th document gives a post without a text as well.
+POST_ROWS = """select doc_id, text, lang, source, false as blank from {documents}
+  union all select -1 - doc_id, text, lang, source, true from {documents} where doc_id % 17 = 0"""
 
 POSTS = """
 posts as (
@@ -53,15 +58,16 @@ posts as (
     concat(text, ' retweeted') as rt_text,
     case when doc_id % 19 = 0 then null else doc_id % 2 = 0 end as rt_truncated,
     concat(text, ' retweeted #full') as rt_full_text
-  from documents)
+  from ({rows}))
 """
-POSTS_SQL = POSTS.format(text=POST_TEXT.format(q="''"))
+POSTS_SQL = POSTS.format(text=POST_TEXT.format(q="''"), rows=POST_ROWS.format(documents="documents"))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat posts derived from ``documents``."""
     text = POST_TEXT.format(q="\\'")
-    return dealt(table(spark, sf_dir, "documents")).selectExpr(
+    rows = spark.sql(POST_ROWS.format(documents="{documents}"), documents=dealt(table(spark, sf_dir, "documents")))
+    return rows.selectExpr(
         "doc_id as id",
         "lang",
         "concat('day ', doc_id % 31) as created_at",
@@ -97,6 +103,8 @@ MAIL_SHAPE = """
   concat('user', user_id, case when event_id % 10 = 0 then '' else concat('@', event_type, '.example.com') end)
     as mail_from,
   case when event_id % 4 = 0 then concat({a}, ' -0300 (GMT+3)') when event_id % 4 = 1 then concat({a}, ' +0530')
+       when event_id % 16 = 2 then concat({a}, ' -0800 (PST)') when event_id % 16 = 6 then concat({h}, ' +0530 (IST)')
+       when event_id % 16 = 10 then concat({y}, ' +0000 (UTC)')
        when event_id % 4 = 2 then concat({b}, ' GMT') when event_id % 8 = 3 then concat({a}, ' o{q}clock GMT+1')
        else 'junk' end as mail_date,
   event_type as subject
@@ -104,7 +112,8 @@ MAIL_SHAPE = """
 MAILS_SQL = (
     "mails as (select "
     + MAIL_SHAPE.format(
-        a="strftime(ts, '%a, %-d %b %Y %H:%M:%S')", b="strftime(ts, '%a %b %-d %H:%M:%S %Y')", q="''"
+        a="strftime(ts, '%a, %-d %b %Y %H:%M:%S')", b="strftime(ts, '%a %b %-d %H:%M:%S %Y')",
+        h="strftime(ts, '%a, %-d %b %Y %-H:%M:%S')", y="strftime(ts, '%a, %-d %b %y %H:%M:%S')", q="''"
     )
     + " from events)"
 )
@@ -115,6 +124,8 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = MAIL_SHAPE.format(
         a="date_format(ts, 'EEE, d MMM yyyy HH:mm:ss')",
         b="date_format(ts, 'EEE MMM d HH:mm:ss yyyy')",
+        h="date_format(ts, 'EEE, d MMM yyyy H:mm:ss')",
+        y="date_format(ts, 'EEE, d MMM yy HH:mm:ss')",
         q="\\'",
     )
     table(spark, sf_dir, "events").createOrReplaceTempView("mail_events")
@@ -131,8 +142,10 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRIPPED_SQL = (
     "regexp_replace(regexp_replace(mail_date, '\\(GMT.*\\)', '', 'g'), 'o''clock GMT.*', 'GMT', 'g')"
 )
+BARE_SQL = f"regexp_replace({STRIPPED_SQL}, ' *\\([A-Z]+\\)$', '')"
 UTC_SQL = f"""coalesce(
-  try_strptime(trim({STRIPPED_SQL}), '%a, %-d %b %Y %H:%M:%S %z') at time zone 'UTC',
+  try_strptime(trim({BARE_SQL}), '%a, %-d %b %y %H:%M:%S %z') at time zone 'UTC',
+  try_strptime(trim({BARE_SQL}), '%a, %-d %b %Y %H:%M:%S %z') at time zone 'UTC',
   try_strptime(trim(replace({STRIPPED_SQL}, ' GMT', '')), '%a, %-d %b %Y %H:%M:%S'),
   try_strptime(trim(replace({STRIPPED_SQL}, ' GMT', '')), '%a %b %-d %H:%M:%S %Y'))"""
 DATED_SQL = f"""

@@ -13,6 +13,11 @@ from quillmill.functions import text as X
 from quillmill.functions.tokens import tokenize_words
 
 
+# The tag pattern without possessive marks, which the other engine does not know.
+TAG_SQL = r"""<[!/?]?[a-zA-Z](?:[^"'>]|"[^"]*"|'[^']*')*>"""
+NAMES_SQL = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in P.HTML_NAMES.items()) + "}"
+
+
 # --- SQL of each function, for the twins --------------------------------------------
 def replace_all(x: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({x}, {quoted(pattern)}, {quoted(by)}, 'g')"
@@ -20,9 +25,15 @@ def replace_all(x: str, pattern: str, by: str = "") -> str:
 
 def sql_html(x: str) -> str:
     x = replace_all(x, P.HTML_HIDDEN, P.TEXT_BREAK)
-    x = replace_all(x, P.HTML_TAG, P.TEXT_BREAK)
-    for entity, character in P.HTML_ENTITIES:
-        x = f"replace({x}, {quoted(entity)}, {quoted(character)})"
+    x = replace_all(x, TAG_SQL, P.TEXT_BREAK)
+    # each reference, with a mark on either side, becomes a piece of its own
+    parts = f"string_split(regexp_replace({x}, '&(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]*);', '\x02\\1\x03', 'g'), '\x02')"
+    name = "split_part(p, '\x03', 1)"
+    number = f"case when lower(left({name}, 2)) = '#x' then ('0x' || substr({name}, 3))::bigint else try_cast(substr({name}, 2) as bigint) end"
+    unit = f"case when {number} between 1 and 55295 or {number} between 57344 and 1114111 then chr(({number})::int) else '\ufffd' end"
+    read = f"case when {name}[1] = '#' then {unit} else coalesce(({NAMES_SQL})[{name}], '&' || {name} || ';') end"
+    piece = f"case when contains(p, '\x03') then ({read}) || split_part(p, '\x03', 2) else p end"
+    x = f"array_to_string(list_transform({parts}, lambda p: {piece}), '')"
     trimmed = replace_all("node", rf"^[{P.SPACE}]+|[{P.SPACE}]+$")
     nodes = f"list_transform(string_split({x}, {quoted(P.TEXT_BREAK)}), lambda node: {trimmed})"
     return f"array_to_string(list_filter({nodes}, lambda node: node <> ''), ' ')"

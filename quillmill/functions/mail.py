@@ -11,17 +11,17 @@ ColumnLike = Column | str
 
 # Date shapes met in mail headers once the weekday is gone, with the pattern
 # that reads them. A shape is tested first: a failed parse costs far more than a match.
-_DAY, _TIME, _ZONE = r"\d{1,2} [A-Z][a-z]{2} \d{4}", r"\d{2}:\d{2}:\d{2}", r"[+-]\d{4}"
+_DAY, _TIME, _ZONE = r"\d{1,2} [A-Z][a-z]{2} \d{4}", r"\d{1,2}:\d{2}:\d{2}", r"[+-]\d{4}"
 MAIL_DATE_SHAPES = [
-    (rf"^{_DAY} {_TIME} {_ZONE}$", "d MMM yyyy HH:mm:ss Z"),
-    (rf"^{_DAY} {_TIME} [A-Z]+$", "d MMM yyyy HH:mm:ss z"),
-    (rf"^{_DAY} {_TIME}$", "d MMM yyyy HH:mm:ss"),
-    (rf"^{_DAY} \d{{2}}:\d{{2}} {_ZONE}$", "d MMM yyyy HH:mm Z"),
-    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}} [A-Z]+$", "MMM d HH:mm:ss yyyy z"),
-    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}} {_ZONE}$", "MMM d HH:mm:ss yyyy Z"),
-    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}}$", "MMM d HH:mm:ss yyyy"),
-    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}[+-]\d{{2}}:\d{{2}}$", "yyyy-MM-dd HH:mm:ssXXX"),
-    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}$", "yyyy-MM-dd HH:mm:ss"),
+    (rf"^{_DAY} {_TIME} {_ZONE}$", "d MMM yyyy H:mm:ss Z"),
+    (rf"^{_DAY} {_TIME} [A-Z]+$", "d MMM yyyy H:mm:ss z"),
+    (rf"^{_DAY} {_TIME}$", "d MMM yyyy H:mm:ss"),
+    (rf"^{_DAY} \d{{1,2}}:\d{{2}} {_ZONE}$", "d MMM yyyy H:mm Z"),
+    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}} [A-Z]+$", "MMM d H:mm:ss yyyy z"),
+    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}} {_ZONE}$", "MMM d H:mm:ss yyyy Z"),
+    (rf"^[A-Z][a-z]{{2}} \d{{1,2}} {_TIME} \d{{4}}$", "MMM d H:mm:ss yyyy"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}[+-]\d{{2}}:\d{{2}}$", "yyyy-MM-dd H:mm:ssXXX"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}$", "yyyy-MM-dd H:mm:ss"),
 ]
 STRICT_SHAPE = rf"^[A-Z][a-z]{{2}}, +\d{{1,2}} [A-Z][a-z]{{2}} +\d{{4}} {_TIME} {_ZONE}$"
 
@@ -56,6 +56,10 @@ def parse_mail_date(text: ColumnLike, strict: bool = False, errors: str = "coerc
     column = _col(text)
     plain = F.regexp_replace(column, r"^\s*(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", "")
     plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
+    # a remark in brackets repeats the zone; years of two digits are those from 1950 to 2049
+    plain = F.regexp_replace(plain, r" ?\([A-Za-z][^()]*\)$", "")
+    for years, century in (("[0-4]", "20"), ("[5-9]", "19")):
+        plain = F.regexp_replace(plain, rf"^(\d{{1,2}} [A-Z][a-z]{{2}}) ({years}\d) (?=\d{{1,2}}:)", f"$1 {century}$2 ")
     def read(date: Column) -> Column:
         stamp = F.lit(None).cast("timestamp")
         for shape, pattern in reversed(MAIL_DATE_SHAPES):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from html.entities import name2codepoint
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
@@ -41,16 +42,13 @@ TEXT_BREAK = "\x01"
 HTML_HIDDEN = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 )
-HTML_TAG = r"""<[!/?]?[a-zA-Z](?:[^"'>]|"[^"]*"|'[^']*')*>"""
-# Named character references, &amp; last so that its output is not read twice.
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"),
-    ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&euro;", "€"), ("&amp;", "&"),
-]
+# possessive runs: a long tag is read without a stack frame per character
+HTML_TAG = r"""<[!/?]?[a-zA-Z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
+# A reference at the start of what follows an ampersand: decimal, hexadecimal or named.
+HTML_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# The names of the markup standard, with their characters.
+HTML_NAMES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+UNREADABLE = "\ufffd"
 
 # --- accents ------------------------------------------------------------------------
 # Letters that have no single base letter (fixed values).

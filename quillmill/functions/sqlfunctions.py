@@ -37,11 +37,33 @@ def _words_with(mark: str) -> str:
     return f"filter({split}, word -> startswith(word, {literal(mark)}))"
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` over ``name``, which stands for a value computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _references(x: str) -> str:
+    names = "map(" + ", ".join(f"{literal(a)}, {literal(b)}" for a, b in P.HTML_NAMES.items()) + ")"
+    known = "decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32')"
+    fits = f"code between 1 and {0xD7FF} or code between {0xE000} and {0x10FFFF}"
+    number = (
+        "cast(case when lower(left(name, 2)) = '#x' then conv(substring(name, 3), 16, 10) "
+        "else substring(name, 2) end as bigint)"
+    )
+    character = _bound(number, "code", f"case when {fits} then {known} else {literal(P.UNREADABLE)} end")
+    found = f"case when startswith(name, '#') then {character} else try_element_at({names}, name) end"
+    read = f"coalesce(case when name <> '' then concat({found}, substring(piece, length(name) + 2)) end, concat('&', piece))"
+    piece = _bound(f"regexp_extract(piece, {literal(P.HTML_REFERENCE)}, 1)", "name", read)
+    joined = f"concat(p[0], array_join(transform(slice(p, 2, size(p)), piece -> {piece}), ''))"
+    return _bound(f"split({x}, '&', -1)", "p", joined)
+
+
 def _html() -> str:
-    x = _replace_all(_replace_all("x", P.HTML_HIDDEN, P.TEXT_BREAK), P.HTML_TAG, P.TEXT_BREAK)
-    x = _chain(x, P.HTML_ENTITIES, _plain_replace)
+    marked = _replace_all(_replace_all("left(x, last)", P.HTML_HIDDEN, P.TEXT_BREAK), P.HTML_TAG, P.TEXT_BREAK)
+    end = "case when contains(x, '>') then length(x) - instr(reverse(x), '>') + 1 else 0 end"
+    page = _bound(end, "last", f"concat({marked}, substring(x, last + 1))")
     trimmed = _replace_all("node", rf"^[{P.SPACE}]+|[{P.SPACE}]+$")
-    nodes = f"transform(split({x}, {literal(P.TEXT_BREAK)}), node -> {trimmed})"
+    nodes = f"transform(split({_references(page)}, {literal(P.TEXT_BREAK)}), node -> {trimmed})"
     return f"array_join(filter({nodes}, node -> node <> ''), ' ')"
 
 

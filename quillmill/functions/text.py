@@ -58,11 +58,7 @@ def remove_html(text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "native")
         raise ValueError(f"unknown mode {mode!r}: use 'native' or 'parser'")
 
     def text_nodes(page: Column) -> Column:
-        page = F.regexp_replace(page, P.HTML_HIDDEN, P.TEXT_BREAK)
-        page = F.regexp_replace(page, P.HTML_TAG, P.TEXT_BREAK)
-        for entity, character in P.HTML_ENTITIES:
-            page = F.replace(page, F.lit(entity), F.lit(character))
-        nodes = F.transform(F.split(page, P.TEXT_BREAK), _strip)
+        nodes = F.transform(F.split(_without_tags(page), P.TEXT_BREAK), _strip)
         return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
     return bind(
@@ -71,6 +67,57 @@ def remove_html(text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "native")
     )
 
 
+def _without_tags(page: Column) -> Column:
+    """The page with markup turned into separators and character references read.
+
+    Behind the last ``>`` no tag can end, so that part, which may hold any number of open
+    ones, is not searched.
+    """
+
+    def cut(page: Column, end: Column) -> Column:
+        marked = F.regexp_replace(F.left(page, end), P.HTML_HIDDEN, P.TEXT_BREAK)
+        return F.concat(F.regexp_replace(marked, P.HTML_TAG, P.TEXT_BREAK), F.substring(page, end + 1, F.length(page)))
+
+    last = F.length(page) - F.instr(F.reverse(page), ">") + 1
+    marked = F.when(F.contains(page, F.lit(">")), bind(last, lambda end: cut(page, end))).otherwise(page)
+    return _only_where(marked, _has("&"), read_references)
+
+
+def read_references(text: Column) -> Column:
+    """Decimal, hexadecimal and named character references as their characters, in one pass.
+
+    A name that the standard does not have stays as it is; a number that is no character
+    becomes the replacement character.
+    """
+    names = F.create_map(*[F.lit(x) for pair in P.HTML_NAMES.items() for x in pair])
+
+    def character(code: Column) -> Column:
+        known = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        fits = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(fits, known).otherwise(F.lit(P.UNREADABLE))
+
+    def read(piece: Column) -> Column:
+        def known(name: Column) -> Column:
+            number = F.when(
+                F.lower(F.left(name, F.lit(2))) == "#x", F.conv(F.substring(name, 3, 9), 16, 10)
+            ).otherwise(F.substring(name, 2, 9)).cast("bigint")
+            found = F.when(F.startswith(name, F.lit("#")), bind(number, character)).otherwise(
+                F.try_element_at(names, name)
+            )
+            rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+            return F.coalesce(F.when(name != "", F.concat(found, rest)), F.concat(F.lit("&"), piece))
+
+        return bind(F.regexp_extract(piece, P.HTML_REFERENCE, 1), known)
+
+    pieces = F.split(text, "&", -1)
+    return bind(
+        pieces,
+        lambda p: F.concat(
+            F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), read), "")
+        ),
+    )
+
+
 def _strip(text: Column) -> Column:
     return F.btrim(text, F.lit(P.SPACES))
 
