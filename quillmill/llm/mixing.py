@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.tables import stored
+from quillmill.llm.tables import shielded, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 RANGE_DIGITS = 3
+MIX_NAMES = set("size source_size target taken _key _range _sum _source _of _start _before _words".split())
 
 
 def word_count(text: Column) -> Column:
@@ -79,8 +80,10 @@ def mix(
     may share their turns in any order, which leaves the table the same.
 
     Nulls: a null source is a source of its own, a null id hashes as an empty one, a null
-    size counts as 0. An empty table gives an empty table.
+    size counts as 0. Columns named like a new one are replaced. An empty table gives an
+    empty table.
     """
+    docs = docs.drop(*(MIX_NAMES - {"size"}))
     spread = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     keyed = (
         docs.withColumn("size", F.coalesce(F.col("size").cast("bigint"), F.lit(0).cast("bigint")))
@@ -127,25 +130,25 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     there, follows the text. Documents that the mix leaves out are gone; of the documents
     without words, which cost nothing, each stays once.
     """
-    columns = docs.columns
-    planned = mix(docs.withColumn("size", word_count(F.col("text"))))
+    rows, back = shielded(docs, MIX_NAMES)
+    columns = rows.columns
+    planned = mix(rows.withColumn("size", word_count(F.col("text"))))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     turns = F.concat(
         F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>"))
     )
     rows = planned.select(*columns, F.explode(turns).alias("_words"))
-    cut = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
+    before = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
     pieces = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.concat(cut, F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_words"), F.lit(1))), ""))
-    text = F.when(F.col("_words") == 0, F.col("text")).otherwise(cut)
-    rows = rows.withColumn("text", text)
+    cut = F.concat(before, F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_words"), F.lit(1))), ""))
+    rows = rows.withColumn("text", F.when(F.col("_words") == 0, F.col("text")).otherwise(cut))
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn(
             "n_chars", F.when(F.col("_words") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind))
         )
-    return rows.select(*columns)
+    return rows.select(*columns).withColumnsRenamed(back)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -33,8 +33,9 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int) -> DataFrame
     """``members`` (hub, node, shard) after the rounds, with ``votes``: neighbours in the own shard.
 
     A hub links its nodes with each other. Each round counts the nodes of every hub per
-    shard and hands the counts back to the nodes by a join; every node asks for the shard,
-    of those with room, in which most of its hub is, the hub's nodes agreeing on ties. A
+    shard and hands the counts back to the nodes by a join; every node asks for the shard in
+    which most of its hub is, of those with room for the rest of the hub, or for some of it
+    if none has; the hub's nodes agree on ties. A
     shard grants requests up to its room: what its capacity leaves beside the linked nodes
     it has, as nodes without links can give way. If it is asked for more, hubs are granted
     by a hash, or the nodes by a hash where a hub is larger than a shard. The rounds end when
@@ -65,9 +66,11 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int) -> DataFrame
             F.transform(ranked, lambda x: x["k"]).alias("_order"),
         )
         asked = members.drop("votes").join(hubs, "hub")
-        # the best shard that is the own one or has room
+        # the best shard that takes the whole hub, else the best that is the own one or has room
+        whole = F.filter("_order", lambda k: pick(room, k) >= F.col("_size") - F.element_at("_counts", k + 1))
         open_to = F.filter("_order", lambda k: (k == F.col("shard")) | (pick(room, k) > 0))
-        asked = asked.withColumn("_want", F.element_at(open_to, 1).cast("int")).drop("_order")
+        want = F.coalesce(F.get(whole, F.lit(0)), F.element_at(open_to, 1)).cast("int")
+        asked = asked.withColumn("_want", want).drop("_order", "_counts")
         asked = stored(asked, f"asked-{i}")
         moving = F.col("_want") != F.col("shard")
         demand = {r["_want"]: r["count"] for r in asked.where(moving).groupBy("_want").count().collect()}
@@ -92,6 +95,7 @@ def balanced_shards(docs: DataFrame, hub: str, shards: int = SHARDS, rounds: int
     together; what is over fills the shards that are short. Ranks come from range
     partitions, not from one sort per shard.
     """
+    docs = docs.drop("node", "shard", "slot")
     placed = with_dense_ids(docs, [F.col(hub), *[F.col(c) for c in docs.columns if c != hub]], "node")
     placed = stored(placed, "nodes")
     total = placed.count()

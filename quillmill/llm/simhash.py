@@ -46,7 +46,7 @@ def fingerprint(text: str, shingle: int = SHINGLE, hashed=partial(xxhash.xxh64_i
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with ``fingerprint`` as a signed 64-bit number in place of the text."""
-    kept = [c for c in docs.columns if c not in ("text", "fingerprint")]
+    kept = [c for c in docs.columns if c not in ("text", "fingerprint", "component_id")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "fingerprint bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def similar_documents(
     component_id is the smallest doc_id reachable. Nulls as in ``near_duplicates``.
     """
     words = [f"w{i}" for i in range(WIDE_WORDS)]
-    kept = [c for c in docs.columns if c not in ("text", *words)]
+    kept = [c for c in docs.columns if c not in ("text", "component_id", *words)]
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,3 +26,9 @@ def batches_mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` with workers that know this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def shielded(df: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns called like one of ``names`` put under other names, and the way back."""
+    away = {c: f"_kept_{i}" for i, c in enumerate(df.columns) if c.lower() in names}
+    return df.withColumnsRenamed(away), {b: a for a, b in away.items()}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.bpe import Memory
-from quillmill.llm.tables import batches_mapped, stored
+from quillmill.llm.tables import batches_mapped, shielded, stored
 
 LABELLED = 20_000  # about so many labelled rows, picked by a hash of their ids, make the examples
 TERMS = 64  # so many terms at most are taken in each round, those that tell most first
@@ -118,35 +118,39 @@ class Index:
         return Nearest(rows, cosines)
 
     def vote(self, found: Nearest, leave_out: int | None = None) -> float:
-        """Toxic share of the nearest, each weighing the inverse of its distance."""
-        weights = 1 / (NEAR + np.maximum(0.0, 1 - found.cosines))
-        own = found.rows == leave_out if leave_out is not None else np.zeros(len(found.rows), bool)
-        counts = self.counts[found.rows] - own
-        toxic = self.toxic[found.rows]
+        """Toxic share of the nearest, each weighing the inverse square of its distance.
+
+        Of the examples as near as the last of the ``NEIGHBOURS`` nearest, which may be many,
+        each counts in part, so that all together make up that number.
+        """
+        counts, toxic = self.counts[found.rows], self.toxic[found.rows]
         if leave_out is not None:  # a copy of the mean label is left out
-            toxic = toxic - own * toxic / self.counts[found.rows]
-        total = weights @ counts
-        return float(weights @ toxic / total) if total else 0.0
+            own = found.rows == leave_out
+            toxic = toxic - own * toxic / counts
+            counts = counts - own
+        if not counts.sum():
+            return 0.0
+        last = found.cosines <= found.cosines[-1] + 1e-9
+        part = np.where(last, min(1.0, (NEIGHBOURS - counts[~last].sum()) / max(counts[last].sum(), 1)), 1.0)
+        weights = part / (NEAR + np.maximum(0.0, 1 - found.cosines)) ** 2
+        return float(weights @ toxic / (weights @ counts))
 
 
 def rising(votes: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(votes, shares): the toxic share as a rising function of the vote, by pooling neighbours.
 
-    One toxic document in two is added to each pool, at the overall share, so that a small
-    pool is not taken for certain.
+    The points are the pools' mean votes. One document at the overall share is added to each
+    pool, so that a small pool is not taken for certain.
     """
     order = np.argsort(votes, kind="stable")
     base = toxic.sum() / counts.sum()
     pools: list[list[float]] = []
     for i in order:
-        pools.append([votes[i], toxic[i], counts[i]])
-        while len(pools) > 1 and (
-            pools[-2][0] == pools[-1][0] or pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]
-        ):
-            _, t, n = pools.pop()
-            pools[-1][1] += t
-            pools[-1][2] += n
-    return np.array([p[0] for p in pools]), np.array([(p[1] + base) / (p[2] + 1) for p in pools])
+        pools.append([votes[i] * counts[i], toxic[i], counts[i]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+    return np.array([v / n for v, _, n in pools]), np.array([(t + base) / (n + 1) for _, t, n in pools])
 
 
 class Judge:
@@ -199,12 +203,11 @@ class Judge:
         if not self.index.examples:
             return 0.0, []
         found = self.index.search(self.vector(counts))
-        level = np.searchsorted(self.levels, self.index.vote(found) + 1e-12, "right") - 1
         evidence = [
             {"doc_id": e.doc_id, "cosine": float(min(c, 1.0)), "examples": e.count, "toxic": e.toxic}
             for e, c in zip((self.index.examples[r] for r in found.rows[:EVIDENCE]), found.cosines, strict=False)
         ]
-        return float(self.shares[max(level, 0)]), evidence
+        return float(np.interp(self.index.vote(found), self.levels, self.shares)), evidence
 
     def score(self, text: str) -> tuple[float, list[dict]]:
         return self.known[tuple(sorted(self.listed(text).items()))]
@@ -381,5 +384,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted to be toxic; columns unchanged."""
-    scored = score_toxicity(docs, labels, with_text=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    rows, back = shielded(docs, {"score", "evidence", "held_out", "predicted"})
+    scored = score_toxicity(rows, labels, with_text=True)
+    return scored.where("predicted = 0").select(*rows.columns).withColumnsRenamed(back)
