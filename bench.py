@@ -12,6 +12,7 @@ import os
 import re
 import string
 import sys
+import tempfile
 import time
 import unicodedata
 from pathlib import Path
@@ -63,6 +64,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillmill-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
