@@ -61,8 +61,15 @@ def test_one_hot(spark):
     assert [r.term_id for r in rows] == [1, 2, None]
     dense = texts.select(FE.one_hot_dense(F.col("text"), ["i", "love", "dog"]).alias("x")).first().x
     assert dense == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
-    with pytest.raises(ValueError, match="over the limit"):
-        FE.one_hot_dense(F.col("text"), ["w"] * (FE.MAX_DENSE_TERMS + 1))
+
+
+def test_dense_rows_of_3000_terms(spark):
+    texts = docs(spark, [" ".join(f"t{i:04d}" for i in range(0, 3000, 2)), "t0001 t0001 zz", "", "yy"])
+    bag = FE.bag_of_words(texts)
+    vocab = FE.vocab_alphabetical(FE.bag_of_words(docs(spark, [" ".join(f"t{i:04d}" for i in range(3000))])))
+    rows = {r.doc_id: r["values"] for r in FE.dense_rows(texts, bag, vocab, "count").collect()}
+    assert rows[1] == [1.0, 0.0] * 1500 and len(rows[2]) == 3000
+    assert rows[2][1] == 2.0 and sum(rows[2]) == 2.0 and sum(rows[3]) == sum(rows[4]) == 0
 
 
 def test_ngrams(spark):
@@ -87,19 +94,20 @@ def test_salted_join_keeps_every_row_of_a_hot_key(spark, how):
         .otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key")
     )
     lookup = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("k5", 4), ("zz", 5)], "key string, v int")
-    salted = salted_join(facts, lookup, "key", ["id"], how)
+    counts = facts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    salted = salted_join(facts, lookup, "key", ["id"], counts, how)
     plain = facts.join(lookup, "key", how)
     assert Counter(map(tuple, salted.select("id", "key", "v").collect())) == Counter(
         map(tuple, plain.select("id", "key", "v").collect())
     )
-    small = lookup_join(facts, lookup, "key", ["id"], how).select("id", "key", "v")
+    small = lookup_join(facts, lookup, "key", how).select("id", "key", "v")
     assert Counter(map(tuple, small.collect())) == Counter(map(tuple, plain.select("id", "key", "v").collect()))
 
 
 def test_category_join_multiplies_and_fills(spark):
     mails = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, domain string")
     listed = spark.createDataFrame([("a", "y"), ("a", None), ("c", "y")], "domain_names string, required string")
-    rows = {tuple(r) for r in R.left_join_category(mails, listed, ["id"]).select("id", "domain", "required").collect()}
+    rows = {tuple(r) for r in R.left_join_category(mails, listed).select("id", "domain", "required").collect()}
     assert rows == {("1", "a", "y"), ("1", "a", "n"), ("2", "b", "na"), ("3", "na", "na")}
 
 
@@ -155,6 +163,35 @@ def test_lemmas_of_both_forms_agree(spark):
     assert by_row[1] == "child go to city she was eat box" and by_row[3] == "class bus this fly"
 
 
+def test_listed_twice(spark):
+    listed = spark.createDataFrame([("cats", "feline"), ("cats", "cat")], "form string, lemma string")
+    assert L.lemmatize(docs(spark, ["cats run"]), listed).first().lemma == "cat run"
+    vectors = spark.createDataFrame([("a", [1.0]), ("a", [2.0])], "word string, vector array<float>")
+    assert [r.vector for r in V.vectors_for_text(docs(spark, ["a a"]), vectors).collect()] == [[1.0], [1.0]]
+
+
+def test_overlapping_and_long_entities(spark):
+    listed = spark.createDataFrame(
+        [("a b", "X"), ("b c", "X"), ("c d", "X"), ("p q r s t u", "LONG"), ("r s", "X"), ("u v", "X")],
+        "phrase string, label string",
+    )
+    texts = docs(spark, ["a b c d", "  p  q r s t u v", "u v p"])
+    found = [(r.doc_id, r.text, r.start_char, r.end_char) for r in L.entity_spans(texts, listed).collect()]
+    assert sorted(found) == [(1, "a b", 0, 3), (1, "c d", 4, 7), (2, "p q r s t u", 2, 14), (3, "u v", 0, 3)]
+
+
+def test_texts_are_read_once(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    vocab = spark.createDataFrame([("the", 0)], "term string, term_id int")
+    vectors = spark.createDataFrame([("the", [1.0])], "word string, vector array<float>")
+    for found in (FE.bow_transform(texts, vocab), V.vectors_for_text(texts, vectors)):
+        assert plan_of(found).count("documents.parquet") == 1
+    listed = spark.createDataFrame([("of the", "X")], "phrase string, label string")
+    tags = spark.createDataFrame([("the", "NOUN")], "form string, pos string")
+    for found in (V.mean_vector(texts, vectors, split_words("text"), 1), L.annotate_posts(texts, listed, tags)):
+        assert plan_of(found).count("documents.parquet") == 0  # written before, once
+
+
 def test_entities(spark):
     listed = spark.createDataFrame(
         [("new york", "GPE"), ("york", "GPE"), ("new york times", "ORG"), ("china", "GPE"), ("times get", "X")],
@@ -227,6 +264,23 @@ def test_term_variants(spark):
     assert found[1, "travel bans"] == "travel-ban"
 
 
+def test_long_chains_of_variants(spark):
+    """200 terms, each spelt like a part of the next, and one that stands alone."""
+    chain = [" ".join(f"w{j}" for j in range(i, i + 2)) for i in range(100)] + [f"w{i}" for i in range(100)]
+    terms = spark.createDataFrame([(1, t, 1.0) for t in chain] + [(1, "alone", 9.0)], "doc_id int, term string, score double")
+    found = {r.term: r.variant_of for r in K.group_term_variants(terms).collect()}
+    assert len(found) == 201 and {found[t] for t in chain} == {"w0"} and found["alone"] == "alone"
+    found = {r.term: r.variant_of for r in K.corpus_variants(terms.select("term")).collect()}
+    assert len(found) == 201 and {found[t] for t in chain} == {"w0"} and found["alone"] == "alone"
+
+
+def test_every_term_takes_part(spark):
+    """A term behind the hundred heaviest can be the best in the end."""
+    text = " ".join(f"filler{i:03d}" for i in range(150)) + " late phrase"
+    found = K.keyphrases_sgrank(docs(spark, [text]), topn=2000).collect()
+    assert {"late", "late phrase"} <= {r.phrase for r in found}
+
+
 # --- vectors and sources ------------------------------------------------------------
 def test_vectors(spark):
     vectors = spark.createDataFrame(

@@ -130,3 +130,27 @@ def test_functions_on_a_stream(spark, tmp_path):
     job.processAllAvailable()
     job.stop()
     assert sorted(r.x for r in spark.table("cleaned").collect()) == ["do not", "x cafe"]
+
+
+@pytest.mark.parametrize("sql", [False, True])
+def test_long_tags_and_references(spark, sql):
+    from quillmill.functions.sqlfunctions import register_functions
+    from quillmill.functions.text import remove_html
+
+    pages = [
+        "a <img src=" + "x" * 1_000_000 + "> b",
+        "a <b " + "y" * 1_000_000,
+        "<a " + " ".join(f'k{i}="v>"' for i in range(20_000)) + ">t</a>",
+        "<b " * 20_000,
+        "caf&eacute; &#233; &#x27;q&#X27; &pound;5 &nosuch; &amp;lt; &#0; &#1114112; & &;",
+    ]
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, text string")
+    if sql:
+        register_functions(spark)
+        found = table.selectExpr("id", "remove_html_udf(text) as t")
+    else:
+        found = table.select("id", remove_html("text").alias("t"))
+    texts = {r.id: r.t for r in found.collect()}
+    assert texts[0] == "a b" and texts[1].startswith("a <b yyy") and texts[2] == "t"
+    assert texts[3] == ("<b " * 20_000).strip()
+    assert texts[4] == "café é 'q' £5 &nosuch; &lt; \ufffd \ufffd & &;"
