@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import POSTS_SQL, dealt, posts, query, quoted, table
+from catalog.flows import SELECTED, TWEET
+from catalog.registry import POSTS_SQL, dealt, posts, query, quoted, raw_posts, table
 from catalog.scalars import SQL_FUNCTIONS, TOKENS_SQL, sql_clean, sql_words
 from quillmill.functions import text as X
 from quillmill.functions.sqlfunctions import register_functions
@@ -12,6 +13,7 @@ from quillmill.functions.tokens import tokenize_words
 from quillmill.operators import keyphrases as K
 from quillmill.operators import lexicon as L
 from quillmill.operators import spelling as S
+from quillmill.plans.posts import clean_posts, enrich_posts, select_posts
 
 # Small word tables over words of the corpus (test values).
 LEXICON = [
@@ -494,3 +496,42 @@ def column_functions(spark, sf_dir):
         X.to_reference_string(X.get_hashtag("text")).alias("tags"),
         X.remove_digits("text").alias("plain"),
     )
+
+
+# --- the full post job --------------------------------------------------------------
+def _lemmas_sql(name: str, source: str, column: str) -> str:
+    """Lemmas of the words of a text column, joined again."""
+    return f"""{name}_words as (select r, unnest(w) as word, generate_subscripts(w, 1) as pos from (
+      select r, list_filter(string_split({column}, ' '), lambda x: x <> '') as w from {source})),
+    {name} as (select s.r, coalesce(string_agg({sql_lemma('word', 'lemma')}, ' ' order by pos), '') as {name}
+      from {source} s left join {name}_words w on s.r = w.r left join irregular on word = form group by s.r)"""
+
+
+ENRICHED = f"""with {POSTS_SQL}, {SELECTED}, {IRREGULAR}, {DICTIONARY},
+cleaned as materialized (select *, row_number() over () as r, {sql_clean(TWEET)} as t from selected),
+{_lemmas_sql('clean_tweet_text_lemma', 'cleaned', 't')},
+unknown as materialized (select distinct word from clean_tweet_text_lemma_words
+  where regexp_matches(word, '\\p{{L}}') and word not in (select word from listed)),
+near as (select u.word, l.word as other, l.freq, levenshtein(u.word, l.word) as distance from unknown u
+  join listed l on length(l.word) between length(u.word) - 2 and length(u.word) + 2 where levenshtein(u.word, l.word) <= 2),
+best as (select word, arg_min(other, (distance, -freq, other)) as correction from near group by word),
+corrected as materialized (select c.r, coalesce(string_agg(coalesce(correction, word), ' ' order by pos), '') as t
+  from cleaned c left join clean_tweet_text_lemma_words w on c.r = w.r left join best using (word) group by c.r),
+{_lemmas_sql('spell_frequency_lemma', 'corrected', 't')}
+select c.id, c.t as clean_tweet_text, clean_tweet_text_lemma, x.t as spell_frequency, spell_frequency_lemma
+from cleaned c join clean_tweet_text_lemma using (r) join corrected x using (r) join spell_frequency_lemma using (r)"""
+
+
+def _enriched(spark, sf_dir, methods):
+    cleaned = clean_posts(select_posts(raw_posts(spark, sf_dir))).select("id", "clean_tweet_text")
+    return enrich_posts(cleaned, dictionary(spark, sf_dir), methods)
+
+
+@query("enrich_posts", ENRICHED)
+def enrich_posts_flow(spark, sf_dir):
+    return _enriched(spark, sf_dir, ("frequency",))
+
+
+@query("enrich_posts_both")
+def enrich_posts_both(spark, sf_dir):
+    return _enriched(spark, sf_dir, ("similarity", "frequency"))

@@ -127,6 +127,8 @@ _filter("filter_not_null", lambda: F.col("text").isNotNull(), "text is not null"
 _filter("filter_by_id", lambda: F.col("id") == 42, "id = 42")
 _filter("filter_id_list", lambda: F.col("id").isin(3, 33, 42, 133), "id in (3, 33, 42, 133)")
 _filter("filter_contains", lambda: ~F.col("text").contains("@user3"), "not contains(text, '@user3')")
+_filter("filter_contains_positive", lambda: F.col("text").contains("@user3"), "contains(text, '@user3')")
+_filter("filter_contains_regex", lambda: F.col("text").rlike("@user[35] "), "regexp_matches(text, '@user[35] ')")
 _filter(
     "filter_any_of",
     lambda: (F.col("source") == "src1") | (F.col("source") == "src2") | F.col("text").rlike("#tag(7|8) "),

@@ -76,8 +76,12 @@ def lemma_of_word(word: Column) -> Column:
     return choose_lemma(word, listed)
 
 
-def lemma_text(text: Column) -> Column:
-    """Lemmas of a cleaned text joined by blanks, by the built-in lists, without a shuffle."""
+def lemma_text(text: Column, null_token: str | None = P.NULL_TOKEN) -> Column:
+    """Lemmas of a cleaned text joined by blanks, by the built-in lists, without a shuffle.
+
+    A missing text reads as ``null_token``; with None it stays missing.
+    """
+    text = text if null_token is None else F.coalesce(text, F.lit(null_token))
     return F.array_join(F.transform(split_words(text), lemma_of_word), " ")
 
 
@@ -91,8 +95,12 @@ def join_words(words: DataFrame, id_col: str, word: Column, name: str) -> DataFr
 def lemmatize(
     docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc, lemma) by a (form, lemma) table; what it does not list follows the endings."""
-    words = docs.select(id_col, F.posexplode_outer(split_words(text_col)).alias("pos", "form"))
+    """(doc, lemma) by a (form, lemma) table; what it does not list follows the endings.
+
+    A form listed twice has its first lemma by the alphabet; a missing text reads as ``NULL``.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(P.NULL_TOKEN))
+    words = docs.select(id_col, F.posexplode_outer(split_words(text)).alias("pos", "form"))
     one_each = lexicon.groupBy("form").agg(F.min("lemma").alias("lemma"))
     listed = lookup_join(words, one_each, "form", "left")
     return join_words(listed, id_col, choose_lemma(F.col("form"), F.col("lemma")), "lemma")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.functions import patterns as P
 from quillmill.functions.binding import bind
 from quillmill.functions.tokens import split_words
 from quillmill.operators.lexicon import join_words
@@ -66,27 +67,43 @@ def unknown_words(counts: DataFrame, dictionary: DataFrame, keep: list[str] | No
 
 
 def near_pairs(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """Distinct (word, suggestion, freq) of words at most ``edits`` edits apart.
+    """(word, suggestion, freq) of words at most ``edits`` edits apart, each once.
 
-    Unknown words of a length that no listed word comes near are left out first: a very long
-    one would have very many variants, and has no suggestion.
+    Words whose length no word of the other side comes near are left out first, on both
+    sides: a very long one would have very many variants. Words that have no letter in
+    common meet only when both are dropped whole; all of these are as far apart as the
+    longer is long, so of the listed words of each such length the most frequent and the
+    first by the alphabet stand for all.
     """
-    near = F.sequence(F.length("word") - edits, F.length("word") + edits)
-    lengths = dictionary.select(F.explode(near).alias("length")).distinct()
-    sized = unknown.withColumn("length", F.length("word")).join(lengths, "length", "left_semi")
+
+    def near_lengths(words: DataFrame) -> Column:
+        around = F.sequence(F.length("word") - edits, F.length("word") + edits)
+        return words.agg(F.array_distinct(F.flatten(F.collect_set(around))).alias("lengths")).scalar()
+
+    asked = unknown.where(F.array_contains(near_lengths(dictionary), F.length("word")))
+    listed = dictionary.where(F.array_contains(near_lengths(unknown), F.length("word")))
     # A word grows into many variants, so the words are dealt out over a given number of
     # partitions, which is not coalesced by bytes.
     partitions = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = sized.repartition(partitions, "word").select(
+    asked = asked.repartition(partitions, "word").select(
         "word", F.explode(delete_variants(F.col("word"), edits)).alias("variant")
     )
-    listed = dictionary.select(
+    whole = listed.where(F.length("word") <= edits)
+    stand_ins = whole.groupBy(F.length("word")).agg(
+        F.min(F.struct((-F.col("freq")).alias("rarity"), "word", "freq")).alias("a"),
+        F.min(F.struct("word", "freq")).alias("b"),
+    )
+    dropped = stand_ins.select(F.explode(F.array(
+        F.struct(F.col("a.word").alias("suggestion"), F.col("a.freq").alias("freq")),
+        F.struct(F.col("b.word").alias("suggestion"), F.col("b.freq").alias("freq")),
+    )).alias("s")).select("s.suggestion", "s.freq", F.lit("").alias("variant"))
+    variants = listed.select(
         F.col("word").alias("suggestion"),
         "freq",
         F.explode(delete_variants(F.col("word"), edits)).alias("variant"),
-    )
+    ).where("variant != ''")
     return (
-        asked.join(listed, "variant")
+        asked.join(variants.unionByName(dropped), "variant")
         .where(F.levenshtein("word", "suggestion") <= edits)
         .select("word", "suggestion", "freq")
         .distinct()
@@ -123,6 +140,9 @@ def corrections_by_similarity(unknown: DataFrame, dictionary: DataFrame) -> Data
     return rated.groupBy("word").agg(best.alias("best")).select("word", "best.correction")
 
 
+METHODS = {"frequency": corrections_by_frequency, "similarity": corrections_by_similarity}
+
+
 def correct_spelling(
     docs: DataFrame,
     dictionary: DataFrame,
@@ -130,17 +150,21 @@ def correct_spelling(
     keep: list[str] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(doc, corrected): every unknown word replaced by its correction, if it has one.
 
-    ``dictionary`` is (word, freq). ``keep`` lists words, such as names, that stay.
+    ``dictionary`` is (word, freq). ``keep`` lists words, such as names, that stay. A missing
+    text reads as ``NULL``. ``counts`` is a written (word, n) table of the texts' words, if
+    the caller has one.
     """
-    methods = {"frequency": corrections_by_frequency, "similarity": corrections_by_similarity}
-    if method not in methods:
+    if method not in METHODS:
         raise ValueError(f"unknown method {method!r}: use 'frequency' or 'similarity'")
-    # the distinct words are read many times below; the texts are read once more, at the end
-    counts = cut_lineage(word_counts(docs, text_col))
-    corrections = methods[method](unknown_words(counts, dictionary, keep), dictionary)
+    docs = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(P.NULL_TOKEN)))
+    if counts is None:
+        # the distinct words are read many times below; the texts are read once more, at the end
+        counts = cut_lineage(word_counts(docs, text_col))
+    corrections = METHODS[method](unknown_words(counts, dictionary, keep), dictionary)
     words = docs.select(id_col, F.posexplode_outer(split_words(text_col)).alias("pos", "word"))
     mapped = salted_join(words, corrections, "word", [id_col, "pos"], counts, "left")
     return join_words(mapped, id_col, F.coalesce("correction", "word"), "corrected")

@@ -1,4 +1,4 @@
-"""The post flow: raw posts to cleaned posts."""
+"""The post flow: raw posts to cleaned, lemmatised and corrected posts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import patterns as P
 from quillmill.functions import text as X
+from quillmill.operators.lexicon import lemma_text
+from quillmill.operators.spelling import correct_spelling, word_counts
 from quillmill.operators.tables import flag_prefix, pick_full_text
+from quillmill.plans.storage import cut_lineage
 
 
 def select_posts(raw: DataFrame, lang: str = "en") -> DataFrame:
@@ -57,3 +60,27 @@ def clean_posts(
         X.get_email_address("tweet_text", null_token).alias("emails"),
         X.clean_text("tweet_text", null_token, mode).alias("clean_tweet_text"),
     )
+
+
+def enrich_posts(
+    cleaned: DataFrame,
+    dictionary: DataFrame,
+    methods: tuple[str, ...] = ("similarity", "frequency"),
+    text_col: str = "clean_tweet_text",
+) -> DataFrame:
+    """Cleaned posts with their lemmas, the corrected text by each method, and its lemmas.
+
+    Columns ``<text>_lemma``, ``spell_<method>`` and ``spell_<method>_lemma``. The cleaned
+    posts are written once, under a row number of their own as ids may repeat, and their
+    words counted once for all methods. ``dictionary`` is (word, freq).
+    """
+    numbered = cut_lineage(cleaned.withColumn("_row", F.monotonically_increasing_id()))
+    texts = numbered.select("_row", F.coalesce(F.col(text_col), F.lit(P.NULL_TOKEN)).alias("text"))
+    listed = cut_lineage(dictionary.select("word", "freq"))
+    counts = cut_lineage(word_counts(texts))
+    found = numbered.withColumn(f"{text_col}_lemma", lemma_text(F.col(text_col)))
+    for method in methods:
+        corrected = correct_spelling(texts, listed, method, id_col="_row", counts=counts)
+        found = found.join(corrected.withColumnRenamed("corrected", f"spell_{method}"), "_row", "left")
+        found = found.withColumn(f"spell_{method}_lemma", lemma_text(F.col(f"spell_{method}")))
+    return found.drop("_row")
