@@ -27,6 +27,9 @@ URL = (
     rf"([{WORD}.,@?^=%&:/~+#-]*[{WORD}@?^=%&/~+#-])?"
 )
 EMAIL = r"([a-z0-9+._-]+@[a-z0-9+._-]+\.[a-z0-9+_-]+)"
+# The same addresses, found in one pass: a run of letters is tried from its start only, or
+# from where the last address ended.
+EMAIL_ONCE = r"(?:\G|(?<![a-z0-9+._-]))([a-z0-9+._-]++@[a-z0-9+._-]+\.[a-z0-9+_-]+)"
 DIGITS = rf"{DIGIT}[./:-]{DIGIT}|{DIGIT}"
 PUNCTUATION = string.punctuation
 NOT_LETTER_DIGIT = rf"[^a-zA-z0-9{SPACE}]"

@@ -101,12 +101,12 @@ def function_bodies() -> dict[str, tuple[str, str]]:
         "ascii_to_string_udf": _replace_all("x", P.NOT_ASCII_OR_QUESTION),
         "to_lower_udf": "lower(x)",
         "remove_url_udf": _replace_all("x", P.URL),
-        "remove_email_address_udf": _replace_all("x", P.EMAIL),
+        "remove_email_address_udf": _replace_all("x", P.EMAIL_ONCE),
         "expand_contractions_udf": _contractions(),
         "get_base_word_udf": _lemma(),
     }
     lists = {
-        "get_email_address_udf": f"regexp_extract_all(x, {literal(P.EMAIL)}, 1)",
+        "get_email_address_udf": f"regexp_extract_all(x, {literal(P.EMAIL_ONCE)}, 1)",
         "get_hashtag_udf": _words_with("#"),
         "get_mention_udf": _words_with("@"),
     }

@@ -241,13 +241,13 @@ def remove_url(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
 def remove_email_address(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """Drop addresses; the pattern knows lower case only."""
     return _only_where(
-        _head(text, null_token), _has("@"), lambda text: F.regexp_replace(text, P.EMAIL, "")
+        _head(text, null_token), _has("@"), lambda text: F.regexp_replace(text, P.EMAIL_ONCE, "")
     )
 
 
 def get_email_address(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """All addresses, in order, as an array."""
-    return F.regexp_extract_all(_head(text, null_token), F.lit(P.EMAIL), F.lit(1))
+    return F.regexp_extract_all(_head(text, null_token), F.lit(P.EMAIL_ONCE), F.lit(1))
 
 
 def _words_starting_with(text: ColumnLike, mark: str, null_token) -> Column:

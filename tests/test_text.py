@@ -154,3 +154,23 @@ def test_long_tags_and_references(spark, sql):
     assert texts[0] == "a b" and texts[1].startswith("a <b yyy") and texts[2] == "t"
     assert texts[3] == ("<b " * 20_000).strip()
     assert texts[4] == "café é 'q' £5 &nosuch; &lt; \ufffd \ufffd & &;"
+
+
+def test_addresses_in_one_pass(spark):
+    import random
+    import re
+
+    from quillmill.functions import patterns as P
+    from quillmill.functions.text import get_email_address, remove_email_address
+
+    dice = random.Random(4)
+    texts = ["".join(dice.choice("ab.@@+ A") for _ in range(dice.randint(0, 24))) for _ in range(2000)]
+    texts += ["a@b.c.@d.e", "x" * 200_000 + " a@b.c", ".@a.b.@c.d"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for row in table.select("text", remove_email_address("text").alias("r"), get_email_address("text").alias("g")).collect():
+        plain = row.text if len(row.text) < 1000 else row.text[-20:]
+        assert row.r[-200:] == re.sub(P.EMAIL, "", plain)[-200:] or len(row.text) > 1000
+        if len(row.text) < 1000:
+            assert row.g == re.findall(P.EMAIL, row.text)
+        else:
+            assert row.g == ["a@b.c"]
