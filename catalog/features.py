@@ -135,6 +135,22 @@ def dense_matrix(spark, sf_dir):
     return FE.dense_matrix(parts, bag, PART_WORDS, "count", id_col="p_partkey")
 
 
+@query(
+    "dense_rows",
+    """with words as (select p_partkey, unnest(string_split(p_name, ' ')) as w from part),
+    vocab as (select distinct w from words),
+    counted as (select p_partkey, w, count(*)::double as n from words group by all)
+    select p.p_partkey, '[' || string_agg(cast(coalesce(n, 0)::int as varchar), ', ' order by v.w) || ']' as row_values
+    from part p cross join vocab v left join counted c on c.p_partkey = p.p_partkey and c.w = v.w group by p.p_partkey""",
+)
+def dense_rows(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
+    bag = FE.bag_of_words(parts, id_col="p_partkey")
+    rows = FE.dense_rows(parts, bag, FE.vocab_alphabetical(bag), "count", id_col="p_partkey")
+    shown = F.array_join(F.transform("values", lambda x: x.cast("int").cast("string")), ", ")
+    return rows.select("p_partkey", F.concat(F.lit("["), shown, F.lit("]")).alias("row_values"))
+
+
 ONE_HOT = f"""with {FIRST_SEEN},
 tokens as (select doc_id, list_filter(regexp_split_to_array({QUICK}, '[\\t-\\r\\x1c-\\x20\\x85\\p{{Z}}]+'),
   lambda w: w <> '') as words from documents),
@@ -183,16 +199,17 @@ def topn(spark, sf_dir):
 
 # --- word vectors -------------------------------------------------------------------
 WORD_VECTORS = f"""{FITTED}, word_vectors as (
-  select term as word, embedding as vector from fitted join embeddings on term_id = vec_id)"""
+  select coalesce(term, 'w' || vec_id) as word, embedding as vector from embeddings left join fitted on term_id = vec_id)"""
 SUMMARY = "round(list_extract(vector, 1), 6) as first, round(list_sum(vector::double[]), 6) as total"
 DIM = 64
 
 
 def word_vectors(spark, sf_dir):
-    """The embeddings as vectors of the fitted vocabulary, in its order."""
+    """All embeddings, named by the fitted vocabulary in its order, and by their ids beyond it."""
     vectors = table(spark, sf_dir, "embeddings")
-    named = fitted_vocab(spark, sf_dir).join(vectors, F.col("term_id") == F.col("vec_id"))
-    return named.select(F.col("term").alias("word"), F.col("embedding").alias("vector"))
+    named = vectors.join(fitted_vocab(spark, sf_dir), F.col("term_id") == F.col("vec_id"), "left")
+    word = F.coalesce("term", F.concat(F.lit("w"), F.col("vec_id").cast("string")))
+    return named.select(word.alias("word"), F.col("embedding").alias("vector"))
 
 
 def _summary(df, *columns):
@@ -223,11 +240,11 @@ PLACED = f"""placed as (select doc_id, unnest({TOKENS_SQL}) as term, generate_su
 @query(
     "vectors_for_text",
     f"with {WORD_VECTORS}, {PLACED} select doc_id, pos, term, {SUMMARY.replace('list_extract(vector, 1)', 'list_extract(vector, 1)::double')} "
-    "from placed join word_vectors on term = word",
+    "from placed left join word_vectors on term = word",
 )
 def vectors_for_text(spark, sf_dir):
     found = V.vectors_for_text(
-        docs(spark, sf_dir), word_vectors(spark, sf_dir), tokenize_words("text"), unknown="drop"
+        docs(spark, sf_dir), word_vectors(spark, sf_dir), tokenize_words("text")
     )
     return _summary(found, "doc_id", F.col("pos").cast("bigint").alias("pos"), "term")
 

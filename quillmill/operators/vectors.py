@@ -90,17 +90,14 @@ def _dot(a: Column, b: Column) -> Column:
 def similarities(vectors: DataFrame, words: list[str]) -> DataFrame:
     """(query, word, similarity): cosine of every word to each of a few asked words.
 
-    One pass over the table; the asked vectors are looked up by single-row subqueries, and
-    the list is as long as the caller wrote it.
+    One pass over the table; the asked vectors, as many as the caller wrote, are looked up by
+    one subquery and travel as one array.
     """
     length = F.sqrt(_dot(F.col("vector"), F.col("vector")))
-    table = vectors.withColumn("norm", length)
-    for i, word in enumerate(words):
-        one = vectors.where(F.col("word") == word).select(
-            F.struct(F.lit(word).alias("query"), "vector", length.alias("norm"))
-        )
-        table = table.withColumn(f"_asked{i}", one.scalar())
-    asked = F.explode(F.array(*[F.col(f"_asked{i}") for i in range(len(words))]))
+    entry = F.struct(F.col("word").alias("query"), "vector", length.alias("norm"))
+    listed = vectors.where(F.col("word").isin(words)).agg(F.collect_list(entry).alias("asked"))
+    table = vectors.withColumn("norm", length).withColumn("_asked", listed.scalar())
+    asked = F.explode("_asked")
     cosine = F.try_divide(
         _dot(F.col("vector"), F.col("asked.vector")), F.col("norm") * F.col("asked.norm")
     )
