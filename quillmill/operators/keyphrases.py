@@ -413,7 +413,8 @@ def keyphrases_sgrank(
         sgrank_weight(term).alias("own_weight"),
         term["positions"].alias("positions"),
     )
-    # read twice below, and far smaller than the texts it takes to count them
+    # read for the counts and for the join: the texts are taken apart once
+    rows = cut_lineage(rows)
     df = cut_lineage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     n_docs = docs.agg(F.count_distinct(id_col).alias("n_docs"))
     idf = df.select("gram", (F.log((1 + n_docs.scalar()) / (1 + F.col("n"))) + 1).alias("idf"))
