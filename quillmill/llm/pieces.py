@@ -21,7 +21,8 @@ from quillmill.llm.tables import batches_mapped
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-MEMORY = 400_000
+MEMORY = 300_000
+TOGETHER = 64  # texts whose results are held at a time
 # piece types of the model file (fixed values)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -304,31 +305,40 @@ def encode_pieces(docs: DataFrame, path: str | None = None, digest: bool = False
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), DIGEST if digest else ENCODED])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces.value
+        make = digest_columns if digest else encoded_columns
         for batch in batches:
-            rows = [encoded_row(model, t or "", digest) for t in batch.column("text").to_pylist()]
-            if digest:
-                kinds, names = [pa.int64(), pa.string(), pa.string()], ["n_tokens", "ids_sha256", "decoded_sha256"]
-            else:
-                kinds = [pa.list_(pa.int32())] * 3 + [pa.string()]
-                names = ["ids", "starts", "ends", "decoded"]
-            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *names])
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(start, TOGETHER)
+                found = make(pieces.value, [t or "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *found.values()], [*kept, *found])
 
     return batches_mapped(docs.select(*kept, "text"), encode, schema)
 
 
-def encoded_row(model: Pieces, text: str, digest: bool) -> tuple:
-    """One text encoded and decoded, in full or as digests."""
-    found = model.encode(text)
-    ids = [*found.ids.tolist(), model.end]
-    decoded = model.decode(ids)
-    if not digest:
+def digest_columns(model: Pieces, texts: list[str]) -> dict[str, pa.Array]:
+    """n_tokens, ids_sha256 and decoded_sha256 of texts."""
+    rows = []
+    for text in texts:
+        found = model.encode(text)
+        line = f"{found.line} {model.end}" if found.line else str(model.end)
+        decoded = model.decode([*found.ids.tolist(), model.end])
+        digests = (hashlib.sha256(x.encode()).hexdigest() for x in (line, decoded))
+        rows.append((len(found.ids) + 1, *digests))
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}
+
+
+def encoded_columns(model: Pieces, texts: list[str]) -> dict[str, pa.Array]:
+    """ids, starts, ends and decoded of texts; lists go from numpy to Arrow, never through objects."""
+    parts: dict[str, list[np.ndarray]] = {"ids": [], "starts": [], "ends": []}
+    decoded, sizes = [], [0]
+    for text in texts:
+        found = model.encode(text)
         size = len(text.encode())
-        return ids, [*found.starts.tolist(), size], [*found.ends.tolist(), size], decoded
-    line = f"{found.line} {model.end}" if found.line else str(model.end)
-    return (
-        len(ids),
-        hashlib.sha256(line.encode()).hexdigest(),
-        hashlib.sha256(decoded.encode()).hexdigest(),
-    )
+        for name, own, last in (("ids", found.ids, model.end), ("starts", found.starts, size), ("ends", found.ends, size)):
+            parts[name].append(np.append(own, last).astype(np.int32))
+        decoded.append(model.decode(parts["ids"][-1].tolist()))
+        sizes.append(len(found.ids) + 1)
+    offsets = pa.array(np.cumsum(sizes), pa.int32())
+    lists = {name: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for name, x in parts.items()}
+    return lists | {"decoded": pa.array(decoded, pa.string())}
