@@ -270,6 +270,20 @@ def test_targets_share_out_what_caps_leave(spark):
     assert abs(sum(found.values()) - 1.5 * 2020) < 1e-9
 
 
+def test_mix_equals_its_sql_twin(spark):
+    import duckdb
+
+    from quillmill.llm.queries import QUERIES, SQL
+
+    folder = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    columns = "doc_id, size, source_size, target, taken"
+    expected = connection.execute(f"select {columns} from ({SQL['op8_source_mix']})").fetchall()
+    found = QUERIES["op8_source_mix"](spark, folder).select(*columns.split(", "))
+    assert Counter(collected(found)) == Counter(expected)
+
+
 # --- shards ---------------------------------------------------------------------------
 def test_shards(spark, docs, wide, empty, rows):
     found = sharding.shard_documents(docs).collect()
