@@ -37,9 +37,10 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int) -> DataFrame
     which most of its hub is, of those with room for the rest of the hub, or for some of it
     if none has; the hub's nodes agree on ties. A
     shard grants requests up to its room: what its capacity leaves beside the linked nodes
-    it has, as nodes without links can give way. If it is asked for more, hubs are granted
-    by a hash, or the nodes by a hash where a hub is larger than a shard. The rounds end when
-    nothing moves. Counts are combined before the shuffle, so a hub may hold any share of
+    it has, as nodes without links can give way. Hubs that a shard can hold come first, and if
+    there is no room for all, by a hash; hubs larger than a shard get what is left, their
+    nodes by a hash, and pass over shards with under a twentieth of their capacity left. The
+    rounds end when nothing moves. Counts are combined before the shuffle, so a hub may hold any share of
     the nodes; only numbers per shard come to the driver.
     """
     shards = len(capacity)
@@ -65,24 +66,32 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int) -> DataFrame
             F.array(*[F.col(f"_{k}") for k in range(shards)]).alias("_counts"),
             F.transform(ranked, lambda x: x["k"]).alias("_order"),
         )
-        asked = members.drop("votes").join(hubs, "hub")
+        # written first, so that only a scan stands on this side of the join and hot hubs can be split
+        asked = members.join(stored(hubs, f"hubs-{i}"), "hub")
         # the best shard that takes the whole hub, else the best that is the own one or has room
         whole = F.filter("_order", lambda k: pick(room, k) >= F.col("_size") - F.element_at("_counts", k + 1))
-        open_to = F.filter("_order", lambda k: (k == F.col("shard")) | (pick(room, k) > 0))
+        open_to = F.filter("_order", lambda k: (k == F.col("shard")) | (pick(room, k) > min(capacity) // 20))
         want = F.coalesce(F.get(whole, F.lit(0)), F.element_at(open_to, 1)).cast("int")
         asked = asked.withColumn("_want", want).drop("_order", "_counts")
         asked = stored(asked, f"asked-{i}")
         moving = F.col("_want") != F.col("shard")
-        demand = {r["_want"]: r["count"] for r in asked.where(moving).groupBy("_want").count().collect()}
-        if not demand:
+        large = F.col("_size") > min(capacity)
+        wishes = asked.where(moving).groupBy("_want", large.alias("large")).count().collect()
+        if not wishes:
             members = asked
             break
-        granted = [min(1.0, r / demand[k]) if demand.get(k) else 0.0 for k, r in enumerate(room)]
-        chance = F.when(F.col("_size") > min(capacity), unit("node", "hub")).otherwise(unit("hub"))
-        shard = F.when(moving & (chance < pick(granted, F.col("_want"))), F.col("_want")).otherwise(F.col("shard"))
+        demand = {(r["_want"], r["large"]): r["count"] for r in wishes}
+        small_first = [(min(r, demand.get((k, False), 0)), r) for k, r in enumerate(room)]
+        whole_hubs = [n / max(1, demand.get((k, False), 0)) for k, (n, _) in enumerate(small_first)]
+        parts = [min(1.0, (r - n) / max(1, demand.get((k, True), 0))) for k, (n, r) in enumerate(small_first)]
+        granted = F.when(large, unit("node", "hub", "_round") < pick(parts, F.col("_want"))).otherwise(
+            unit("hub", "_round") < pick(whole_hubs, F.col("_want"))
+        )
+        asked = asked.withColumn("_round", F.lit(i))
+        shard = F.when(moving & granted, F.col("_want")).otherwise(F.col("shard"))
         members = stored(asked.select("hub", "node", shard.alias("shard")), f"members-{i + 1}")
     counts = members.groupBy("hub", "shard").agg((F.count(F.lit(1)) - 1).alias("votes"))
-    return members.select("hub", "node", "shard").join(counts, ["hub", "shard"])
+    return members.select("hub", "node", "shard").join(stored(counts, "votes"), ["hub", "shard"])
 
 
 def balanced_shards(docs: DataFrame, hub: str, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -102,7 +111,7 @@ def balanced_shards(docs: DataFrame, hub: str, shards: int = SHARDS, rounds: int
     capacity = [total // shards + (k < total % shards) for k in range(shards)]
     start = F.least(F.floor(unit("node") * shards), F.lit(shards - 1)).cast("int")
     linked = placed.where(F.col(hub).isNotNull()).groupBy(hub).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = placed.join(linked.select(hub), hub).select(F.col(hub).alias("hub"), "node", start.alias("shard"))
+    members = placed.join(stored(linked.select(hub), "linked"), hub).select(F.col(hub).alias("hub"), "node", start.alias("shard"))
     moved = propagate(members, capacity, rounds)
     state = placed.select("node", start.alias("_start")).join(moved, "node", "left").select(
         "node", F.coalesce("shard", "_start").alias("shard"), F.coalesce("votes", F.lit(0)).alias("votes"), "hub"
