@@ -1,5 +1,6 @@
 """Every operator on documents with nulls, ties, repeats, long and empty texts, and empty tables."""
 
+import functools
 import hashlib
 import zlib
 from collections import Counter
@@ -187,6 +188,71 @@ def test_similar_documents_keep_one_of_each_group(spark, docs, wide, empty):
     assert simhash.without_near_duplicates(empty).count() == 0
 
 
+@functools.cache
+def slow_shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(a, b):
+    a, b = slow_shingles(a), slow_shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def slow_kept(rows):
+    """(id, text) of the rows that stay, by comparing all with all."""
+    order = {i: r for i, r in enumerate(sorted(set(rows)))}
+    root = slow_components(order, lambda a, b: likeness(a[1], b[1]) >= 0.8)
+    return sorted(order[i] for i in order if root[i] == i)
+
+
+def changed(words, places, name):
+    return " ".join(f"{name}{i}" if i in places else w for i, w in enumerate(words))
+
+
+def kept_rows(spark, rows, **options):
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return sorted(tuple(r) for r in simhash.without_near_duplicates(table, **options).collect())
+
+
+def test_no_similar_pair_is_missed(spark):
+    rows, likes = [], []
+    for i in range(150):
+        words = [f"g{i}w{j}" for j in range(300)]
+        copy = changed(words, range(3, 3 + 40 * (5 + i % 3), 40), f"c{i}x")  # 5 to 7 words: 0.84, 0.82, 0.79
+        likes.append(likeness(" ".join(words), copy))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, copy)]
+    assert sum(0.8 <= x <= 0.85 for x in likes) >= 90
+    assert kept_rows(spark, rows) == slow_kept(rows)
+
+
+def test_anchors_of_similar_sets_meet():
+    dice = np.random.default_rng(5)
+    for _ in range(2000):
+        size = int(dice.integers(1, 60))
+        x = np.unique(dice.integers(0, 1 << 62, size).astype(np.uint64))
+        y = np.unique(np.concatenate([dice.choice(x, max(1, len(x) - int(dice.integers(0, 8))), replace=False),
+                                      dice.integers(0, 1 << 62, int(dice.integers(0, 8))).astype(np.uint64)]))
+        common = np.sort(dice.choice(x, len(x) // 2, replace=False))
+        counts = dice.integers(3, 9, len(common))
+        shared = len(np.intersect1d(x, y))
+        part = shared / (len(x) + len(y) - shared)
+        if part >= 0.8:
+            a, b = (set(simhash.rarest(s, common, counts, 0.8).tolist()) for s in (x, y))
+            assert a & b
+        bits = np.bitwise_count(simhash.sketch(x).view(np.uint64) ^ simhash.sketch(y).view(np.uint64)).sum()
+        assert bits <= len(x) + len(y) - 2 * shared
+
+
+def test_groups_reach_through_cut_cells(spark):
+    rows, words = [], [f"s{j}" for j in range(200)]
+    for i in range(60):  # a chain of small changes, then copies of one text that are not alike themselves
+        rows.append((i, changed(words, range(3 * i + 1, 3 * i + 3), "c")))
+        rows.append((100 + i, changed(words, range(i % 7, 200, 50 + i), f"d{i}x")))
+    expected = slow_kept(rows)
+    assert kept_rows(spark, rows) == kept_rows(spark, rows, cell=5) == expected
+
+
 # --- repeats --------------------------------------------------------------------------
 def slow_repeats(rows, length=200):
     data = [t.encode() for _, t in texts(rows)]
