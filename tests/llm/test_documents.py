@@ -226,6 +226,16 @@ def test_no_similar_pair_is_missed(spark):
     assert kept_rows(spark, rows) == slow_kept(rows)
 
 
+def test_texts_below_the_similarity_stay(spark):
+    line = [f"line{j}" for j in range(20)]
+    rows = [(i, " ".join(line * 30 + [f"own{i}w{j}" for j in range(200)])) for i in range(2)]  # one line, many times
+    for i in range(40):
+        words = [f"g{i}w{j}" for j in range(300)]
+        rows += [(10 + 2 * i, " ".join(words)), (11 + 2 * i, changed(words, range(3, 3 + 30 * (7 + i % 4), 30), f"c{i}x"))]
+    assert 0 < max(likeness(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)) < 0.8
+    assert kept_rows(spark, rows) == sorted(rows)
+
+
 def test_anchors_of_similar_sets_meet():
     dice = np.random.default_rng(5)
     for _ in range(2000):
