@@ -28,7 +28,10 @@ BLOCKS = set(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template textarea title svg iframe object head math canvas".split())
+SILENT = set("template svg object math canvas".split())
+RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+>?", re.I) for x in "script style noscript textarea title iframe".split()}
+FOREIGN = {"svg", "math"}  # where these elements are not raw text
+IN_HEAD = set("head base basefont bgsound link meta".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"},
@@ -64,7 +67,8 @@ def parsed(html: str) -> Page:
     Inline elements only tell which text is linked. What the standard lets open elements
     end implicitly, ends: a paragraph at the next block, an item at the next item. End tags
     without an open element and unknown markup are passed over; text of scripts, styles and
-    the head is left out. A run is (element, block number, text); texts of one block number
+    the like is left out, and reaches to their own end tag whatever stands in them. The head
+    has no text of its own: it ends where text or an element of the body begins. A run is (element, block number, text); texts of one block number
     stand in one block, unbroken by any block border.
     """
     page = Page([-1], ["html"], [()], [0], [0], [0], [0], [0], [])
@@ -82,22 +86,25 @@ def parsed(html: str) -> Page:
             if link:
                 page.linked[node] += size
 
-    for match in TAG.finditer(html):
-        name = match[2]
-        if silent is not None:
-            if name is None or not match[1] or name.lower() != silent:
-                continue
-            silent, at = None, match.end()
-            continue
-        if match.start() > at:
-            say(html[at : match.start()])
+    while match := TAG.search(html, at):
+        start, name = at, match[2]
         at = match.end()
         if name is None:
             continue
         name = name.lower()
+        if silent is None and match.start() > start:
+            say(html[start : match.start()])
         if match[1]:
             if name == "a":
                 link = False
+        if name in RAW and not match[1] and not match[3].endswith("/>") and silent not in FOREIGN:
+            end = RAW[name].search(html, at)
+            at = end.end() if end else len(html)
+            continue
+        if silent is not None:
+            if match[1] and name == silent:
+                silent = None
+            continue
             elif name in BLOCKS:
                 block += 1
                 for depth in range(len(open_at) - 1, 0, -1):
@@ -108,9 +115,11 @@ def parsed(html: str) -> Page:
         if name in SILENT:
             if not match[3].endswith("/>"):
                 silent = name
+        if name in RAW:
+            continue
             continue
         if name not in BLOCKS:
-            page.tags[open_at[-1]] += 1
+            page.tags[open_at[-1]] += name not in IN_HEAD or open_at[-1] > 0
             if name == "a":
                 link = True
             elif name == "br":
@@ -465,7 +474,8 @@ def fitted(pages: DataFrame, sample: int = PAGES) -> Extractor | None:
 
     Pages are taken as they are, where the article element says what is main text, and laid
     out anew with the same texts in random usual layouts, so that the model does not hang
-    on one. None if no page marks an article.
+    on one. If no page marks an article, only layouts of the texts of any pages are learnt
+    from, and if only long pages are there, some of the shortest. None if there is no text.
     """
     marked = pages.where(F.col("html").contains("<article") & (F.length("html") <= LONGEST)).select("page_id", "html")
     share = min(1.0, 1.5 * sample / max(1, marked.count()))

@@ -98,6 +98,21 @@ def test_other_layouts_of_held_out_pages(spark):
     assert exact >= 0.8 * len(rows[80:])
 
 
+def whole_text(html):
+    return extraction.kept_text(page := extraction.parsed(html), [True] * len(page.tag))
+
+
+def test_text_behind_raw_elements_and_the_head():
+    body = "<p>one</p><p>two</p>"
+    for front in ["<script>for(i=0;i<n;i++){}</script>", "<style>a<b</style>", '<script>x="<!--";</SCRIPT >', "<title>a<b</title>",
+                  "<script>if(a<b)c='\"'</script>", "<noscript><img alt=x></noscript>"]:
+        assert whole_text(f"<html><head>{front}</head><body>{body}</body></html>") == "one\n\ntwo", front
+        assert whole_text(f"<html><body>{front}{body}{front}") == "one\n\ntwo", front
+        assert whole_text(f"<html><head><meta charset=utf-8>{front}<body>{body}") == "one\n\ntwo", front
+        assert whole_text(f"<head>{front}{body}") == "one\n\ntwo", front
+    assert whole_text("<body><svg><title>x<p>y</p></svg><p>one") == "one"
+
+
 def test_decoding_never_goes_back_inside():
     page = extraction.parsed("<div><div><p>a</p></div></div><div><p>b</p></div>")
     dice = np.random.default_rng(9)
