@@ -17,6 +17,8 @@ from quillmill.llm.tables import batches_mapped
 
 PAGES = 240  # pages, picked by a hash of their ids, that the model is fitted on
 LONGEST = 60_000  # characters of a page in that sample at most
+LONG_PAGES = 8  # longer ones that it takes where no others are
+LEAST_TEXT = 40  # characters of a block that is taken for a paragraph where no page marks any
 LAYOUTS = 3
 TOKENS = 160
 TREES, DEPTH, RATE, BINS, LEAST = 48, 4, 0.25, 24, 8
@@ -43,6 +45,7 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|type|data-main|data-cut)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ARTICLE = re.compile(r"<[aA][rR][tT][iI][cC][lL][eE](?=[\s/>])")
 MARKS = re.compile(r"[.!?;:,]")
 
 
@@ -89,14 +92,11 @@ def parsed(html: str) -> Page:
     while match := TAG.search(html, at):
         start, name = at, match[2]
         at = match.end()
+        if silent is None and match.start() > start:
+            say(html[start : match.start()])
         if name is None:
             continue
         name = name.lower()
-        if silent is None and match.start() > start:
-            say(html[start : match.start()])
-        if match[1]:
-            if name == "a":
-                link = False
         if name in RAW and not match[1] and not match[3].endswith("/>") and silent not in FOREIGN:
             end = RAW[name].search(html, at)
             at = end.end() if end else len(html)
@@ -105,6 +105,9 @@ def parsed(html: str) -> Page:
             if match[1] and name == silent:
                 silent = None
             continue
+        if match[1]:
+            if name == "a":
+                link = False
             elif name in BLOCKS:
                 block += 1
                 for depth in range(len(open_at) - 1, 0, -1):
@@ -112,11 +115,11 @@ def parsed(html: str) -> Page:
                         del open_at[depth:]
                         break
             continue
+        if name in RAW:
+            continue
         if name in SILENT:
             if not match[3].endswith("/>"):
                 silent = name
-        if name in RAW:
-            continue
             continue
         if name not in BLOCKS:
             page.tags[open_at[-1]] += name not in IN_HEAD or open_at[-1] > 0
@@ -364,6 +367,7 @@ def kept_text(page: Page, kept: list[bool]) -> str:
 
 # --- learning from the pages themselves ----------------------------------------------
 SIDE = "side"
+ASIDE = set("nav header footer aside form menu button dialog".split())
 MAIN_NAMES = (
     "content post entry article story main body text page single news blog copy prose document post-content entry-content "
     "article-body story-body main-content post-body page-content content-area articleBody"
@@ -469,6 +473,45 @@ def relaid(title: str, paragraphs: list[str], others: list[str], dice: random.Ra
     return f"<html><head><title>{entities.escape(title)}</title></head><body>{page}</body></html>"
 
 
+def guessed(html: str) -> tuple[str, list[str], list[str]]:
+    """(title, paragraphs, other texts) of a page without marks: paragraphs are its longer blocks of little linked text.
+
+    They only lend their words to layouts; a page without such a block lends its longest.
+    """
+    page = parsed(html)
+    side = [False] * len(page.tag)
+    for i, tag in enumerate(page.tag):
+        side[i] = tag in ASIDE or (i > 0 and side[page.parent[i]])
+    blocks: dict[tuple[int, int], list[str]] = {}
+    for node, block, text in page.runs:
+        blocks.setdefault((block, node), []).append(text)
+    texts = [(" ".join("".join(parts).split()), node) for (_, node), parts in blocks.items()]
+    texts = [(text, node) for text, node in texts if text]
+    title = next((t for t, node in texts if page.tag[node] == "h1"), "")
+    texts = [(t, node) for t, node in texts if page.tag[node] != "h1"]
+    main = [len(t) >= LEAST_TEXT and not side[n] and page.linked[n] < 0.3 * page.chars[n] for t, n in texts]
+    if texts and not any(main):
+        longest = max(range(len(texts)), key=lambda i: len(texts[i][0]))
+        main[longest] = True
+    kept = [t for (t, _), m in zip(texts, main, strict=True) if m]
+    return title, kept or [title] * bool(title), [t for (t, _), m in zip(texts, main, strict=True) if not m]
+
+
+def picked(pages: DataFrame, sample: int) -> list[str]:
+    """The different htmls with the lowest hashes, sorted."""
+    spread = F.xxhash64("html")
+    number = pages.select(F.countDistinct(spread)).first()[0]
+    share = min(1.0, 1.5 * sample / max(1, number))
+    rows = pages.where(spread / F.lit(float(1 << 64)) + 0.5 <= share).select("html").distinct()
+    return sorted(r["html"] for r in rows.orderBy(F.xxhash64("html"), "html").limit(sample).collect())
+
+
+def shortest(pages: DataFrame) -> list[str]:
+    """A few of the shortest different htmls that are not empty."""
+    rows = pages.where("html != ''").select("html").distinct().orderBy(F.length("html"), "html").limit(LONG_PAGES)
+    return sorted(r["html"] for r in rows.collect())
+
+
 def fitted(pages: DataFrame, sample: int = PAGES) -> Extractor | None:
     """A model from about ``sample`` pages that mark their article, and layouts of their texts.
 
@@ -477,21 +520,25 @@ def fitted(pages: DataFrame, sample: int = PAGES) -> Extractor | None:
     on one. If no page marks an article, only layouts of the texts of any pages are learnt
     from, and if only long pages are there, some of the shortest. None if there is no text.
     """
-    marked = pages.where(F.col("html").contains("<article") & (F.length("html") <= LONGEST)).select("page_id", "html")
-    share = min(1.0, 1.5 * sample / max(1, marked.count()))
-    spread = F.xxhash64("html") / F.lit(float(1 << 64)) + 0.5
-    rows = marked.where(spread <= share).select("html").limit(2 * sample).collect()
+    marked = F.col("html").rlike(ARTICLE.pattern)
+    short = F.length("html") <= LONGEST
     dice = random.Random(11)
-    htmls = sorted(r["html"] for r in rows)
+    htmls = picked(pages.where(marked & short), sample) or shortest(pages.where(marked))
     examples: list[Page] = []
     importance: list[float] = []
     for html in dice.sample(htmls, min(sample, len(htmls))):
-        examples.append(parsed(html.replace("<article", "<article data-main=1")))
+        examples.append(parsed(ARTICLE.sub("<article data-main=1", html)))
         importance.append(LAYOUTS)
         texts = example(html)
         if texts[1]:
             examples += [parsed(relaid(*texts, dice)) for _ in range(LAYOUTS)]
             importance += [1.0] * LAYOUTS
+    if not examples:
+        for html in picked(pages.where(short), sample) or shortest(pages):
+            texts = guessed(html)
+            if texts[1]:
+                examples += [parsed(relaid(*texts, dice)) for _ in range(LAYOUTS)]
+                importance += [1.0] * LAYOUTS
     return Extractor(examples, importance) if examples else None
 
 

@@ -113,6 +113,21 @@ def test_text_behind_raw_elements_and_the_head():
     assert whole_text("<body><svg><title>x<p>y</p></svg><p>one") == "one"
 
 
+def test_pages_that_mark_no_article(spark):
+    for tag, after in (("article", "ARTICLE"), ("article", "main"), ("article", "div")):
+        rows = [(i, u, h.replace(f"<{tag}", f"<{after}").replace(f"</{tag}", f"</{after}")) for i, u, h in pages_table(spark)[0]]
+        table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+        found = extraction.extract_text(table.where("html != ''")).collect()
+        assert sum(1 for r in found if r["n_chars"]) >= 0.9 * len(found), after
+
+
+def test_the_sample_is_of_different_pages(spark):
+    rows = [(i, f"<article>{max(0, i - 500)}</article>") for i in range(600)]
+    table = spark.createDataFrame(rows, "page_id bigint, html string")
+    found = extraction.picked(table, 50)
+    assert len(set(found)) == len(found) == 50 and found == extraction.picked(table.repartition(7), 50)
+
+
 def test_decoding_never_goes_back_inside():
     page = extraction.parsed("<div><div><p>a</p></div></div><div><p>b</p></div>")
     dice = np.random.default_rng(9)
