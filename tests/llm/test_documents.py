@@ -236,6 +236,13 @@ def test_texts_below_the_similarity_stay(spark):
     assert kept_rows(spark, rows) == sorted(rows)
 
 
+def test_different_texts_of_one_id_are_judged_one_by_one(spark):
+    words = [f"w{j}" for j in range(300)]
+    near, other, third = changed(words, [150], "c"), " ".join(f"x{j}" for j in range(90)), " ".join(f"y{j}" for j in range(90))
+    rows = [(1, " ".join(words)), (2, near), (2, other), (3, third), (3, third)]
+    assert kept_rows(spark, rows) == [(1, " ".join(words)), (2, other), (3, third)]
+
+
 def test_anchors_of_similar_sets_meet():
     dice = np.random.default_rng(5)
     for _ in range(2000):
