@@ -26,6 +26,12 @@ URL = (
     rf"(http|https|ftp|ssh|sftp|www)://([{WORD}-]+(?:(?:\.[{WORD}-]+)+))"
     rf"([{WORD}.,@?^=%&:/~+#-]*[{WORD}@?^=%&/~+#-])?"
 )
+# The same addresses with runs that are never given back: what may follow the host is optional,
+# so no shorter host makes a match, and a host of any number of dots needs no stack frame for each.
+URL_ONCE = (
+    rf"(http|https|ftp|ssh|sftp|www)://([{WORD}-]++(?:\.[{WORD}-]++)++)"
+    rf"([{WORD}.,@?^=%&:/~+#-]*[{WORD}@?^=%&/~+#-])?"
+)
 EMAIL = r"([a-z0-9+._-]+@[a-z0-9+._-]+\.[a-z0-9+_-]+)"
 # The same addresses, found in one pass: a run of letters is tried from its start only, or
 # from where the last address ended.

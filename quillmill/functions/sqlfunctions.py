@@ -100,7 +100,7 @@ def function_bodies() -> dict[str, tuple[str, str]]:
         "remove_special_characters_udf": _replace_all("x", P.NOT_LETTER_DIGIT),
         "ascii_to_string_udf": _replace_all("x", P.NOT_ASCII_OR_QUESTION),
         "to_lower_udf": "lower(x)",
-        "remove_url_udf": _replace_all("x", P.URL),
+        "remove_url_udf": _replace_all("x", P.URL_ONCE),
         "remove_email_address_udf": _replace_all("x", P.EMAIL_ONCE),
         "expand_contractions_udf": _contractions(),
         "get_base_word_udf": _lemma(),

@@ -234,7 +234,7 @@ def to_lower(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
 def remove_url(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """Drop scheme://host/path; a host without a scheme stays."""
     return _only_where(
-        _head(text, null_token), _has("://"), lambda text: F.regexp_replace(text, P.URL, "")
+        _head(text, null_token), _has("://"), lambda text: F.regexp_replace(text, P.URL_ONCE, "")
     )
 
 

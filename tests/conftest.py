@@ -6,9 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from twin import connect, session  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
+from twin import SMALL, connect, session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

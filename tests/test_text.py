@@ -174,3 +174,12 @@ def test_addresses_in_one_pass(spark):
             assert row.g == re.findall(P.EMAIL, row.text)
         else:
             assert row.g == ["a@b.c"]
+
+
+def test_hosts_of_any_number_of_dots(spark):
+    many = "http://" + "a." * 100_000 + "b/c?d rest"
+    odd = ["http://a.b", "http://a..b/x", "ssh://a.b.:80/x.", "http://a.b-/~x,y.", "ftp://a.b.c?x= y http://z", "http://" + "a." * 9]
+    assert values(spark, [many], X.remove_url("t")) == [" rest"]
+    assert values(spark, odd, X.remove_url("t")) == [re.sub(URL, "", t) for t in odd]
+    register_functions(spark)
+    assert values(spark, [many, *odd], F.expr("remove_url_udf(t)")) == [" rest", *[re.sub(URL, "", t) for t in odd]]

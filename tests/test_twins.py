@@ -1,8 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
 import pytest
-from conftest import SMALL
-from twin import compare
+from twin import SMALL, compare
 
 from catalog import QUERIES
 
