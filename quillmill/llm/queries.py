@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import embeddings, extraction, merkle, mixing, periods, pieces, sharding, simhash, suffixes, tokens, toxicity
+from quillmill.llm import decontamination, embeddings, extraction, merkle, mixing, periods, pieces, sharding, simhash, suffixes, tokens, toxicity
 from quillmill.llm.tables import given
 
 
@@ -50,6 +50,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(given(spark, sf_dir, "pages"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.measure_passages(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.measure_runs(given(spark, sf_dir, "documents"))
 
@@ -67,7 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mix,
         op9_sentencepiece,
         op10_html_text,
+        op11_decontamination,
         op13_periodic_runs,
     )
 }
-SQL: dict[str, str] = {"op8_source_mix": mixing.SQL}
+SQL: dict[str, str] = {"op8_source_mix": mixing.SQL, "op11_decontamination": decontamination.SQL}
