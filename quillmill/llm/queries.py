@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import decontamination, embeddings, extraction, merkle, mixing, periods, pieces, sharding, simhash, suffixes, tokens, toxicity
+from quillmill.llm import decontamination, embeddings, extraction, merkle, mixing, periods, pieces, prefixes, sharding, simhash, suffixes, tokens, toxicity
 from quillmill.llm.tables import given
 
 
@@ -54,6 +54,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.measure_passages(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.rebuilt_trie(given(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.measure_runs(given(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sentencepiece,
         op10_html_text,
         op11_decontamination,
+        op12_prefix_trie,
         op13_periodic_runs,
     )
 }
