@@ -403,3 +403,39 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 def rebuilt_trie(conversations: DataFrame) -> DataFrame:
     """The same for the rebuilt conversations, which share first turns within their group."""
     return trie_nodes(*rebuilt_turns(conversations))
+
+
+# the CRC-32 of a decimal id, byte by byte and bit by bit
+CRC_SQL = """xor(4294967295::ubigint, list_reduce(
+    list_prepend(4294967295::ubigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: ascii(x)::ubigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::ubigint[]),
+      lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)))"""
+SQL = rf"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, digest) - 1 as p, digest, words
+  from (select conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest,
+      len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as words
+    from conversations where conv_id is not null)),
+ids as (select conv_id, conv_id - conv_id % {GROUP} as base, {CRC_SQL} % {MOST} as h from (select distinct conv_id from turns)),
+rebuilt as (
+  select i.conv_id, 0 as own, t.p, digest, words from ids i join turns t on t.conv_id = i.base and t.p < i.h
+  union all select i.conv_id, 1, t.p, digest, words from ids i join turns t on t.conv_id = i.conv_id and t.p >= i.h),
+ways as (
+  select conv_id, row_number() over w as depth, list(digest) over w as path, words
+  from rebuilt window w as (partition by conv_id order by own, p)
+  union all select conv_id, 0, [], 0 from ids),
+nodes as materialized (
+  select path, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words
+  from ways group by path),
+children as (select path[:depth - 1] as path, count(*) as n_children from nodes where depth > 0 group by all),
+below as (select distinct a.path, b.path as lower from ways a join ways b on a.conv_id = b.conv_id and a.depth <= b.depth),
+sums as (
+  select b.path, count(*) filter (c.path is null) as n_leaves, sum((n.n_convs - 1) * n.words) as saved_tokens
+  from below b join nodes n on n.path = b.lower left join children c on c.path = b.lower group by b.path),
+ends as (
+  select path, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+  from (select conv_id, arg_max(path, depth) as path from ways group by conv_id) group by path)
+select n.conv_id, n.depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+  cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from nodes n left join nodes u on n.depth > 0 and u.path = n.path[:n.depth - 1]
+join sums s on s.path = n.path left join children c on c.path = n.path left join ends e on e.path = n.path"""

@@ -80,4 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_periodic_runs,
     )
 }
-SQL: dict[str, str] = {"op8_source_mix": mixing.SQL, "op11_decontamination": decontamination.SQL}
+SQL: dict[str, str] = {
+    "op8_source_mix": mixing.SQL,
+    "op11_decontamination": decontamination.SQL,
+    "op12_prefix_trie": prefixes.SQL,
+}
