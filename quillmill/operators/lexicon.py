@@ -1,7 +1,8 @@
 """Lemmas, entities, nouns, token patterns and triples, as joins on word tables.
 
-Texts are taken as cleaned: words between blanks. A lexicon is a small table that is
-broadcast after its size was counted; a large one goes through the salted join.
+Texts are taken as cleaned: words between blanks. A lexicon is joined; whether it is broadcast
+goes by its size as the session has it. Phrases of a gazetteer are found by an automaton that
+is broadcast if its measured size allows, else by a join.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from quillmill.functions.arrays import indexes
 from quillmill.functions.binding import bind
 from quillmill.functions.tokens import split_words
 from quillmill.operators.features import explode_tokens
+from quillmill.operators.gazetteer import HIT, listed_phrases, with_hits
 from quillmill.plans.joins import lookup_join
 from quillmill.plans.storage import cut_lineage
 
@@ -180,22 +182,37 @@ def longest_first(hits: Column) -> Column:
     )
 
 
-def find_entities(
+def joined_hits(docs: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, hits) of each row, by a join of its runs of words to a gazetteer of any size."""
+    labels = listed_phrases(gazetteer).select("phrase", "label")
+    sizes = labels.agg(F.collect_set(F.size(split_words("phrase"))).alias("sizes"))
+    rows = cut_lineage(docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    candidates = phrase_candidates(rows, "_row", text_col, sizes)
+    found = lookup_join(candidates, labels, "phrase")
+    hit = F.struct("start", "n", "phrase", "label", "start_char", "end_char")
+    hits = found.groupBy("_row").agg(F.collect_list(hit).alias("hits"))
+    kept = hits.select("_row", F.array_sort(longest_first(F.col("hits"))).alias("hits"))
+    none = F.array().cast(f"array<struct<{HIT}>>")
+    return rows.join(kept, "_row", "left").select(id_col, F.coalesce("hits", none).alias("hits"))
+
+
+def entity_hits(
     docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Rows (doc, start, n, phrase, label, start_char, end_char) of listed phrases of any length.
+    """(doc, hits) of each row: listed phrases of any length as (start, n, phrase, label, start_char, end_char).
 
     Phrases are taken the longest first, of equally long ones the first, and one that overlaps
-    a phrase taken before is left out. A document's hits are gathered in its row, of which
-    there are no more than its words allow.
+    a phrase taken before is left out. Hits stand in the order of the text. A missing text has none.
     """
-    labels = gazetteer.groupBy("phrase").agg(F.min("label").alias("label"))
-    sizes = labels.agg(F.collect_set(F.size(split_words("phrase"))).alias("sizes"))
-    candidates = phrase_candidates(docs, id_col, text_col, sizes)
-    found = lookup_join(candidates, labels, "phrase")
-    hit = F.struct("start", "n", "phrase", "label", "start_char", "end_char")
-    hits = found.groupBy(id_col).agg(F.collect_list(hit).alias("hits"))
-    return hits.select(id_col, F.inline(longest_first(F.col("hits"))))
+    found = with_hits(docs, gazetteer, id_col, text_col)
+    return joined_hits(docs, gazetteer, id_col, text_col) if found is None else found
+
+
+def find_entities(
+    docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Rows (doc, start, n, phrase, label, start_char, end_char) of the phrases that ``entity_hits`` finds."""
+    return entity_hits(docs, gazetteer, id_col, text_col).select(id_col, F.inline("hits"))
 
 
 def entity_spans(
@@ -227,9 +244,10 @@ def _as_map(rows: DataFrame, docs: DataFrame, id_col: str, key: str, value: str,
 def extract_entities(
     docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc, entities): map phrase to label."""
-    rows = find_entities(docs, gazetteer, id_col, text_col)
-    return _as_map(rows, docs, id_col, "phrase", "label", "entities")
+    """(doc, entities): map phrase to label, for each row."""
+    pairs = F.array_distinct(F.transform("hits", lambda h: F.struct(h["phrase"], h["label"])))
+    hits = entity_hits(docs, gazetteer, id_col, text_col)
+    return hits.select(id_col, F.map_from_entries(F.sort_array(pairs)).alias("entities"))
 
 
 def extract_nouns(
