@@ -15,6 +15,7 @@ import sys
 import tempfile
 import time
 import unicodedata
+from html.parser import HTMLParser
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -34,13 +35,35 @@ HEADLINE = [
 ]
 
 
+def page_text(page: str) -> str:
+    nodes: list[str] = []
+    hidden = ("script", "style")
+
+    class Reader(HTMLParser):
+        depth = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag in hidden
+
+        def handle_endtag(self, tag):
+            if tag in hidden and self.depth:
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if not self.depth and data.strip():
+                nodes.append(data.strip())
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    return " ".join(nodes)
+
+
 def clean_in_python(text: str | None) -> str:
     """The cleaning chain one text at a time, with the standard library."""
-    from quillmill.functions.text import _page_text
-
     text = "NULL" if text is None else text
     text = re.sub(r"(http|https|ftp|ssh|sftp|www)://\S+", "", text)
-    text = _page_text(text)
+    text = page_text(text)
     text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().replace("?", "")
     text = re.sub(r"[\t\r\n]", " ", text)
     text = re.sub(r"[a-z0-9+._-]+@[a-z0-9+._-]+\.[a-z0-9+_-]+", "", text).lower()

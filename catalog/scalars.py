@@ -10,11 +10,13 @@ from catalog.registry import (
 from quillmill.functions import mail as M
 from quillmill.functions import patterns as P
 from quillmill.functions import text as X
+from quillmill.functions.sqlfunctions import register_functions
 from quillmill.functions.tokens import tokenize_words
 
 
 # The tag pattern without possessive marks, which the other engine does not know.
-TAG_SQL = r"""<[!/?]?[a-zA-Z](?:[^"'>]|"[^"]*"|'[^']*')*>"""
+OPENED_SQL = r"""<[!/?]?[a-zA-Z](?:[^"'>]|"[^"]*"|'[^']*')*"""
+TAG_SQL = rf"{OPENED_SQL}>({P.TEXT_BREAK})|({OPENED_SQL})"
 NAMES_SQL = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in P.HTML_NAMES.items()) + "}"
 
 
@@ -25,7 +27,8 @@ def replace_all(x: str, pattern: str, by: str = "") -> str:
 
 def sql_html(x: str) -> str:
     x = replace_all(x, P.HTML_HIDDEN, P.TEXT_BREAK)
-    x = replace_all(x, TAG_SQL, P.TEXT_BREAK)
+    x = f"replace({x}, '>', {quoted('>' + P.TEXT_BREAK)})"
+    x = f"replace({replace_all(x, TAG_SQL, chr(92) + '1' + chr(92) + '2')}, {quoted('>' + P.TEXT_BREAK)}, '>')"
     # each reference, with a mark on either side, becomes a piece of its own
     parts = f"string_split(regexp_replace({x}, '&(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]*);', '\x02\\1\x03', 'g'), '\x02')"
     name = "split_part(p, '\x03', 1)"
@@ -134,10 +137,9 @@ def remove_html_pages(spark, sf_dir):
 
 @query("batch_text_function", f"select page_id, {sql_html('html')} as result from pages")
 def batch_text_function(spark, sf_dir):
-    """The parser form, in Arrow batches; equal to the native form on sound markup."""
-    return dealt(table(spark, sf_dir, "pages")).select(
-        "page_id", X.remove_html("html", mode="parser").alias("result")
-    )
+    """A text function called by its SQL name over a whole table; no function runs in Python workers any more."""
+    register_functions(spark)
+    return dealt(table(spark, sf_dir, "pages")).selectExpr("page_id", "remove_html_udf(html) as result")
 
 
 TOKENS_SQL = f"regexp_extract_all(lower(text), {quoted(P.TOKEN)})"

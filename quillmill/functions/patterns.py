@@ -51,8 +51,16 @@ TEXT_BREAK = "\x01"
 HTML_HIDDEN = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 )
-# possessive runs: a long tag is read without a stack frame per character
-HTML_TAG = r"""<[!/?]?[a-zA-Z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
+# An opened tag, up to the mark that ends it or a quote that nothing closes. Possessive runs: a
+# long tag is read without a stack frame per character.
+HTML_OPENED = r"""<[!/?]?[a-zA-Z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
+# With a break behind every ``>`` of the page: a tag leaves that break, and what is opened
+# but never ended stays as text and is not searched again.
+HTML_TAG = rf"{HTML_OPENED}>({TEXT_BREAK})|({HTML_OPENED})"
+# A start of hidden text that no end follows is kept from being tried, by a mark that no text holds.
+HTML_HELD = "\uffff"
+# (start of hidden text, its first character left out; its end) of each kind.
+HTML_HIDDEN_KINDS = [("!--", "-->"), (r"script\b", r"</script\s*>"), (r"style\b", r"</style\s*>")]
 # A reference at the start of what follows an ampersand: decimal, hexadecimal or named.
 HTML_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 # The names of the markup standard, with their characters.

@@ -58,12 +58,25 @@ def _references(x: str) -> str:
     return _bound(f"split({x}, '&', -1)", "p", joined)
 
 
+def _held(start: str, end: str, x: str) -> str:
+    """``x`` with the starts of hidden text that no end follows held back, as ``remove_html`` does."""
+    before = f"regexp_extract(page, {literal(rf'(?is)^(.*){end}')}, 1)"
+    if end != "-->":
+        before = f"regexp_extract({before}, {literal('(?s)^(.*)>')}, 1)"
+    rest = f"regexp_replace(substring(page, k + 1), {literal(rf'(?i)<(?={start})')}, {literal(P.HTML_HELD)})"
+    hold = _bound(f"length({before})", "k", f"concat(left(page, k), {rest})")
+    return _bound(x, "page", f"case when rlike(page, {literal(rf'(?i)<{start}')}) then {hold} else page end")
+
+
 def _html() -> str:
-    marked = _replace_all(_replace_all("left(x, last)", P.HTML_HIDDEN, P.TEXT_BREAK), P.HTML_TAG, P.TEXT_BREAK)
-    end = "case when contains(x, '>') then length(x) - instr(reverse(x), '>') + 1 else 0 end"
-    page = _bound(end, "last", f"concat({marked}, substring(x, last + 1))")
+    page = "x"
+    for start, end in P.HTML_HIDDEN_KINDS:
+        page = _held(start, end, page)
+    page = _plain_replace(_replace_all(page, P.HTML_HIDDEN, P.TEXT_BREAK), P.HTML_HELD, "<")
+    marked = _replace_all(_plain_replace(page, ">", ">" + P.TEXT_BREAK), P.HTML_TAG, "$1$2")
     trimmed = _replace_all("node", rf"^[{P.SPACE}]+|[{P.SPACE}]+$")
-    nodes = f"transform(split({_references(page)}, {literal(P.TEXT_BREAK)}), node -> {trimmed})"
+    text = _references(_plain_replace(marked, ">" + P.TEXT_BREAK, ">"))
+    nodes = f"transform(split({text}, {literal(P.TEXT_BREAK)}), node -> {trimmed})"
     return f"array_join(filter({nodes}, node -> node <> ''), ' ')"
 
 

@@ -45,42 +45,53 @@ def _not_ascii(text: Column) -> Column:
     return F.length(text) != F.octet_length(text)
 
 
-def remove_html(text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "native") -> Column:
+def remove_html(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """Text nodes of a page, each stripped, joined by a blank.
 
-    ``mode='native'`` stays in the JVM. ``mode='parser'`` reads the markup with the
-    standard library parser in Arrow batches, for pages with broken tags.
+    Comments, scripts and styles are left out, and markup may be broken: an opened tag that never
+    ends stays as text, as does a comment or script without an end. Every step is one pass over
+    the page, so its time grows with the page's length whatever the page holds.
     """
-    column = _head(text, null_token)
-    if mode == "parser":
-        return _html_parser_udf(column)
-    if mode != "native":
-        raise ValueError(f"unknown mode {mode!r}: use 'native' or 'parser'")
 
     def text_nodes(page: Column) -> Column:
         nodes = F.transform(F.split(_without_tags(page), P.TEXT_BREAK), _strip)
         return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
     return bind(
-        column,
+        _head(text, null_token),
         lambda page: F.when(_has("<", "&", P.TEXT_BREAK)(page), text_nodes(page)).otherwise(_strip(page)),
     )
 
 
-def _without_tags(page: Column) -> Column:
-    """The page with markup turned into separators and character references read.
+def _held(page: Column, start: str, end: str) -> Column:
+    """The page with the starts of hidden text that no end follows held back.
 
-    Behind the last ``>`` no tag can end, so that part, which may hold any number of open
-    ones, is not searched.
+    A start counts if its tag ends before the last end mark; one behind is searched to the end of the
+    page in vain, each time anew.
     """
 
-    def cut(page: Column, end: Column) -> Column:
-        marked = F.regexp_replace(F.left(page, end), P.HTML_HIDDEN, P.TEXT_BREAK)
-        return F.concat(F.regexp_replace(marked, P.HTML_TAG, P.TEXT_BREAK), F.substring(page, end + 1, F.length(page)))
+    def hold(page: Column) -> Column:
+        # what lies before the last end mark, and in it before the last end of a tag
+        before = F.regexp_extract(page, rf"(?is)^(.*){end}", 1)
+        if end != "-->":
+            before = F.regexp_extract(before, "(?s)^(.*)>", 1)
+        rest = lambda k: F.regexp_replace(F.substring(page, k + 1, F.length(page)), rf"(?i)<(?={start})", P.HTML_HELD)
+        return bind(F.length(before), lambda k: F.concat(F.left(page, k), rest(k)))
+
+    return _only_where(page, lambda page: page.rlike(rf"(?i)<{start}"), hold)
+
 
-    last = F.length(page) - F.instr(F.reverse(page), ">") + 1
-    marked = F.when(F.contains(page, F.lit(">")), bind(last, lambda end: cut(page, end))).otherwise(page)
-    return _only_where(marked, _has("&"), read_references)
+def _without_tags(page: Column) -> Column:
+    """The page with markup turned into separators and character references read."""
+
+    def cut(page: Column) -> Column:
+        for start, end in P.HTML_HIDDEN_KINDS:
+            page = _held(page, start, end)
+        page = F.replace(F.regexp_replace(page, P.HTML_HIDDEN, P.TEXT_BREAK), F.lit(P.HTML_HELD), F.lit("<"))
+        marked = F.regexp_replace(F.replace(page, F.lit(">"), F.lit(">" + P.TEXT_BREAK)), P.HTML_TAG, "$1$2")
+        return F.replace(marked, F.lit(">" + P.TEXT_BREAK), F.lit(">"))
+
+    return _only_where(_only_where(page, _has("<"), cut), _has("&"), read_references)
 
 
 def read_references(text: Column) -> Column:
@@ -122,38 +133,6 @@ def _strip(text: Column) -> Column:
     return F.btrim(text, F.lit(P.SPACES))
 
 
-def _page_text(page: str) -> str:
-    from html.parser import HTMLParser
-
-    nodes: list[str] = []
-    hidden = ("script", "style")
-
-    class Reader(HTMLParser):
-        depth = 0
-
-        def handle_starttag(self, tag, attrs):
-            self.depth += tag in hidden
-
-        def handle_endtag(self, tag):
-            if tag in hidden and self.depth:
-                self.depth -= 1
-
-        def handle_data(self, data):
-            if not self.depth and data.strip():
-                nodes.append(data.strip())
-
-    reader = Reader(convert_charrefs=True)
-    reader.feed(page)
-    reader.close()
-    return " ".join(nodes)
-
-
-@F.pandas_udf(T.StringType())
-def _html_parser_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for pages in batches:
-        yield pages.map(_page_text, na_action="ignore")
-
-
 def remove_accented_chars(
     text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "latin"
 ) -> Column:
@@ -296,11 +275,11 @@ def expand_contractions(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     )
 
 
-def clean_text(text: ColumnLike, null_token=P.NULL_TOKEN, mode: str = "native") -> Column:
+def clean_text(text: ColumnLike, null_token=P.NULL_TOKEN) -> Column:
     """The whole cleaning chain for a post, as one expression."""
     column = _head(text, null_token)
     column = remove_url(column, None)
-    column = remove_html(column, None, mode)
+    column = remove_html(column, None)
     column = remove_accented_chars(column, None)
     column = remove_tabs(column, None)
     column = ascii_to_string(column, None)

@@ -43,9 +43,7 @@ def select_posts(raw: DataFrame, lang: str = "en") -> DataFrame:
     )
 
 
-def clean_posts(
-    posts: DataFrame, mode: str = "native", null_token: str | None = P.NULL_TOKEN
-) -> DataFrame:
+def clean_posts(posts: DataFrame, null_token: str | None = P.NULL_TOKEN) -> DataFrame:
     """Hashtags, mentions, addresses and the cleaned text of each post.
 
     A missing text reads as ``null_token``; with ``null_token=None`` its post is left out. That
@@ -58,7 +56,7 @@ def clean_posts(
         X.get_hashtag("tweet_text", null_token).alias("hashtag"),
         X.get_mention("tweet_text", null_token).alias("mention"),
         X.get_email_address("tweet_text", null_token).alias("emails"),
-        X.clean_text("tweet_text", null_token, mode).alias("clean_tweet_text"),
+        X.clean_text("tweet_text", null_token).alias("clean_tweet_text"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import re
 import string
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -78,7 +79,66 @@ def test_html(spark):
     ]
     expected = ["a & b c", "plain  text", "link"]
     assert values(spark, pages, X.remove_html("t")) == expected
-    assert values(spark, pages, X.remove_html("t", mode="parser")) == expected
+
+
+def slow_html(page):
+    """The rule of ``remove_html`` but for character references, one character after the other."""
+    kept, i = [], 0
+    while i < len(page):
+        end = None
+        if page.startswith("<!--", i):
+            found = page.find("-->", i + 4)
+            end = found + 3 if found >= 0 else None
+        for name in ("script", "style"):
+            opened = re.compile(rf"(?i)<{name}\b[^>]*>", re.A).match(page, i)
+            closed = opened and re.compile(rf"(?i)</{name}[ \t\n\x0b\f\r]*>").search(page, opened.end())
+            end = closed.end() if closed else end
+        kept.append("\x01" if end else page[i])
+        i = end or i + 1
+    page, kept, i = "".join(kept), [], 0
+    while i < len(page):
+        j, quote = i, None
+        if re.compile("<[!/?]?[a-zA-Z]").match(page, i):
+            j = i + 1
+            while j < len(page) and (quote or page[j] != ">"):
+                if page[j] == quote:
+                    quote = None
+                elif not quote and page[j] in "\"'":
+                    if page.find(page[j], j + 1) < 0:
+                        break  # nothing closes it
+                    quote = page[j]
+                j += 1
+        ended = j > i and j < len(page) and page[j] == ">"
+        kept.append("\x01" if ended else page[i : max(j, i + 1)])
+        i = j + 1 if ended else max(j, i + 1)
+    nodes = [node.strip() for node in "".join(kept).split("\x01")]
+    return " ".join(node for node in nodes if node)
+
+
+MARKUP = st.lists(
+    st.sampled_from(["<!--", "-->", "<script", "<SCRIPT>", "</script>", "</script ", "<style>", "</style>", "<a ", "<b>",
+                     "</b>", ">", "<", '"', "'", "x", " y ", "<!DOCTYPE", "<?p", "-", "\n"]), max_size=25
+).map("".join)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(pages=st.lists(MARKUP, min_size=150, max_size=250))
+def test_broken_markup(spark, pages):
+    register_functions(spark)
+    both = values(spark, pages, F.array(X.remove_html("t"), F.expr("remove_html_udf(t)")))
+    for page, found in zip(pages, both, strict=True):
+        assert found == [slow_html(page)] * 2, page
+
+
+def test_a_million_broken_marks(spark):
+    pieces = ["<script>", "<script ", "<!-- ", '<a href="', "<b ", "<a '\" ", "</script ", "<style></script>", "&#", "<div>", "<p x='"]
+    pages = [p * (1_000_000 // len(p)) + tail for p in pieces for tail in (">", "</script>", '-->">')]
+    register_functions(spark)
+    started = time.time()
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, t string").repartition(8)
+    both = df.select(X.remove_html("t").alias("a"), F.expr("remove_html_udf(t)").alias("b"))
+    assert both.where("a = b").count() == len(pages)
+    assert time.time() - started < 60  # 66 pages of a million characters
 
 
 def test_sql_functions_equal_columns(spark):
