@@ -114,7 +114,31 @@ def correct_spelling_frequency(spark, sf_dir):
     return S.correct_spelling_frequency(clean_docs(spark, sf_dir), dictionary(spark, sf_dir))
 
 
-@query("correct_spelling_similarity")
+# the longest common stretch of the texts a and b, first in a, then in b
+STRETCH = """list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(b) + 1),
+  lambda j: {'n': coalesce(list_max(list_filter(range(1, least(length(a) - i, length(b) - j) + 2),
+    lambda n: substr(a, i, n) = substr(b, j, n))), 0), 'i': -i, 'j': -j}))))"""
+# letters in common stretches: the longest, then what stands left and what right of it
+RATIOS = f"""parts(word, other, a, b, n) as (
+  select word, other, word, other, 0::bigint from near
+  union all
+  select word, other, unnest([substr(a, 1, -s.i - 1), substr(a, -s.i + s.n)]),
+    unnest([substr(b, 1, -s.j - 1), substr(b, -s.j + s.n)]), unnest([s.n, 0])
+  from (select *, {STRETCH} as s from (select word, other, a, b from parts) where a <> '' and b <> '') where s.n > 0),
+rated as (select word, other, 2.0 * sum(n) / (length(word) + length(other)) as ratio from parts group by word, other)"""
+
+
+@query(
+    "correct_spelling_similarity",
+    f"""with recursive {WORDS}, {DICTIONARY}, unknown as materialized (
+      select distinct word from words where regexp_matches(word, '\\p{{L}}') and word not in (select word from listed)),
+    near as materialized (select u.word, l.word as other from unknown u
+      join listed l on length(l.word) between length(u.word) - 2 and length(u.word) + 2
+      where levenshtein(u.word, l.word) <= 2), {RATIOS},
+    best as (select word, arg_min(other, (-ratio, other)) as correction from rated group by word)
+    select doc_id, coalesce(string_agg(coalesce(correction, word), ' ' order by pos), '') as corrected
+    from clean left join words using (doc_id) left join best using (word) group by doc_id""",
+)
 def correct_spelling_similarity(spark, sf_dir):
     return S.correct_spelling_similarity(clean_docs(spark, sf_dir), dictionary(spark, sf_dir))
 

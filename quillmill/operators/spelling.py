@@ -1,8 +1,9 @@
 """Spelling as a job on the distinct words of a corpus.
 
-Words at most k edits apart have a string in common that each reaches by dropping at most
-k letters. Every word emits these strings; words meet in an equi-join on them and are then
-measured, so no word is compared with one it has nothing in common with.
+A listed word is cut into k + 1 segments. k edits leave one of them whole, so a word at most k
+edits away holds a segment, near the place where it stands in the listed word. Words meet in
+an equi-join on (length, number of the segment, segment) and are then measured up to k edits.
+A word has a fixed number of keys whatever its length.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.functions import patterns as P
-from quillmill.functions.binding import bind
 from quillmill.functions.tokens import split_words
 from quillmill.operators.lexicon import join_words
 from quillmill.plans.joins import salted_join
@@ -24,31 +24,55 @@ from quillmill.plans.storage import cut_lineage
 MAX_EDITS = 2
 
 
-def _without(word: Column, place: Column) -> Column:
-    """The word without the letter at a place (from 1)."""
-    return F.concat(F.left(word, place - 1), F.right(word, F.length(word) - place))
+def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+    """Start (from 1) and size of segment ``i`` (from 0) of ``edits`` + 1 about equal ones."""
+    sizes = [F.floor((length + j) / (edits + 1)).cast("int") for j in range(i + 1)]
+    start = F.lit(1)
+    for size in sizes[:-1]:
+        start = start + size
+    return start, sizes[-1]
 
 
-def delete_variants(word: Column, edits: int) -> Column:
-    """The word and all that is left of it when up to ``edits`` (1 or 2) letters are dropped."""
-    none = F.array().cast("array<string>")
+def _key(length: Column, i: int, piece: Column) -> Column:
+    return F.xxhash64(length, F.lit(i), piece)
+
+
+def _letters(word: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(word, ""), lambda c: c != ""))
+
+
+LETTER = -1  # in place of a segment's number, where a word is too short for segments
+
+
+def listed_keys(word: Column, edits: int) -> Column:
+    """Keys of a listed word: its segments, or its letters if it has no more of them than edits."""
     length = F.length(word)
-    one = F.transform(F.sequence(F.lit(1), length), lambda i: _without(word, i))
-    variants = [F.array(word), F.when(length >= 1, one).otherwise(none)]
-    if edits == 2:
+    cut = [_segment(length, i, edits) for i in range(edits + 1)]
+    segments = F.array(*[_key(length, i, F.substring(word, start, size)) for i, (start, size) in enumerate(cut)])
+    letters = F.transform(_letters(word), lambda c: _key(F.length(word), LETTER, c))
+    return F.when(length > edits, segments).otherwise(letters)
+
 
-        def earlier(j: Column) -> Column:
-            # the later place goes first, so that the earlier one keeps its number
-            return bind(
-                _without(word, j),
-                lambda rest: F.transform(F.sequence(F.lit(1), j - 1), lambda i: _without(rest, i)),
-            )
+def asked_keys(word: Column, edits: int) -> Column:
+    """Keys under which a listed word at most ``edits`` edits away has at least one of its own.
 
-        two = F.flatten(F.transform(F.sequence(F.lit(2), length), earlier))
-        variants.append(F.when(length >= 2, two).otherwise(none))
-    elif edits != 1:
-        raise ValueError("edits must be 1 or 2")
-    return F.array_distinct(F.concat(*variants))
+    For each length of a listed word, the strings that stand where a segment of it may: as far off
+    as the edits before the segment move it, and from the end as those behind it do.
+    """
+    size_of_word = F.length(word)
+    keys = []
+    for more in range(-edits, edits + 1):
+        length = size_of_word + more
+        for i in range(edits + 1):
+            start, size = _segment(length, i, edits)
+            for moved in range(max(-i, -more - (edits - i)), min(i, -more + (edits - i)) + 1):
+                place = start + moved
+                fits = (length > edits) & (place >= 1) & (place + size - 1 <= size_of_word)
+                keys.append(F.when(fits, _key(length, i, F.substring(word, place, size))))
+    segments = F.filter(F.array(*keys), lambda key: key.isNotNull())
+    lengths = F.filter(F.array(*[F.lit(n) for n in range(1, edits + 1)]), lambda n: F.length(word) <= n + edits)
+    letters = F.flatten(F.transform(lengths, lambda n: F.transform(_letters(word), lambda c: _key(n, LETTER, c))))
+    return F.array_distinct(F.concat(segments, letters))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -67,46 +91,30 @@ def unknown_words(counts: DataFrame, dictionary: DataFrame, keep: list[str] | No
 
 
 def near_pairs(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """(word, suggestion, freq) of words at most ``edits`` edits apart, each once.
+    """(word, suggestion, freq) of words at most ``edits`` edits apart, some more than once.
 
-    Words whose length no word of the other side comes near are left out first, on both
-    sides: a very long one would have very many variants. Words that have no letter in
-    common meet only when both are dropped whole; all of these are as far apart as the
-    longer is long, so of the listed words of each such length the most frequent and the
-    first by the alphabet stand for all.
+    Two words without a common letter are as far apart as the longer is long. Of the listed words
+    with no more letters than edits, the most frequent and the first by the alphabet of each
+    length stand for all that have no letter of an equally short word; they are few, and travel
+    with the asked words.
     """
-
-    def near_lengths(words: DataFrame) -> Column:
-        around = F.sequence(F.length("word") - edits, F.length("word") + edits)
-        return words.agg(F.array_distinct(F.flatten(F.collect_set(around))).alias("lengths")).scalar()
-
-    asked = unknown.where(F.array_contains(near_lengths(dictionary), F.length("word")))
-    listed = dictionary.where(F.array_contains(near_lengths(unknown), F.length("word")))
-    # A word grows into many variants, so the words are dealt out over a given number of
-    # partitions, which is not coalesced by bytes.
     partitions = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = asked.repartition(partitions, "word").select(
-        "word", F.explode(delete_variants(F.col("word"), edits)).alias("variant")
+    asked = unknown.repartition(partitions, "word")  # a word grows into many keys
+    keyed = asked.select("word", F.explode(asked_keys(F.col("word"), edits)).alias("_key"))
+    listed = dictionary.select(
+        F.col("word").alias("suggestion"), "freq", F.explode(listed_keys(F.col("word"), edits)).alias("_key")
     )
-    whole = listed.where(F.length("word") <= edits)
-    stand_ins = whole.groupBy(F.length("word")).agg(
+    whole = dictionary.where(F.length("word") <= edits)
+    either = whole.groupBy(F.length("word").alias("n")).agg(
         F.min(F.struct((-F.col("freq")).alias("rarity"), "word", "freq")).alias("a"),
         F.min(F.struct("word", "freq")).alias("b"),
     )
-    dropped = stand_ins.select(F.explode(F.array(
-        F.struct(F.col("a.word").alias("suggestion"), F.col("a.freq").alias("freq")),
-        F.struct(F.col("b.word").alias("suggestion"), F.col("b.freq").alias("freq")),
-    )).alias("s")).select("s.suggestion", "s.freq", F.lit("").alias("variant"))
-    variants = listed.select(
-        F.col("word").alias("suggestion"),
-        "freq",
-        F.explode(delete_variants(F.col("word"), edits)).alias("variant"),
-    ).where("variant != ''")
-    return (
-        asked.join(variants.unionByName(dropped), "variant")
-        .where(F.levenshtein("word", "suggestion") <= edits)
-        .select("word", "suggestion", "freq")
-        .distinct()
+    entry = lambda c: F.struct(F.col(f"{c}.word").alias("suggestion"), F.col(f"{c}.freq").alias("freq"))
+    stand_ins = either.agg(F.flatten(F.collect_list(F.array(entry("a"), entry("b")))).alias("s")).scalar()
+    short = asked.where(F.length("word") <= edits).select("word", F.explode(stand_ins).alias("s"))
+    met = keyed.join(listed, "_key").select("word", "suggestion", "freq")
+    return met.unionByName(short.select("word", "s.suggestion", "s.freq")).where(
+        F.levenshtein("word", "suggestion", edits) >= 0
     )
 
 
@@ -134,7 +142,7 @@ def sequence_ratio(words: pd.Series, others: pd.Series) -> pd.Series:
 
 def corrections_by_similarity(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, correction): the suggestion with the highest ratio, then by alphabet."""
-    pairs = near_pairs(unknown, dictionary, MAX_EDITS)
+    pairs = near_pairs(unknown, dictionary, MAX_EDITS).select("word", "suggestion").distinct()
     rated = pairs.withColumn("ratio", sequence_ratio("word", "suggestion"))
     best = F.min(F.struct((-F.col("ratio")).alias("loss"), F.col("suggestion").alias("correction")))
     return rated.groupBy("word").agg(best.alias("best")).select("word", "best.correction")

@@ -1,6 +1,7 @@
 """Operators on small fixtures: known values, brute force, hot keys, and plan shapes."""
 
 import difflib
+import random
 import io
 import re
 from collections import Counter
@@ -153,6 +154,29 @@ def test_spelling_equals_brute_force(spark, method):
     assert spell(spark, method, keep=["tst"]) == brute_force(method, ["tst"])
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_near_words_equal_brute_force(spark, edits):
+    source = random.Random(edits)
+    word = lambda: "".join(source.choice("abcdé") for _ in range(source.choice([1, 1, 2, 2, 3, 4, 5, 6, 7, 9, 12])))
+    listed = {word() for _ in range(300)} | {"a" * 5000, "a" * 2500 + "b" + "a" * 2498}
+    asked = {word() for _ in range(300)} | {"a" * 4999, "x", "xy"}
+    freq = {w: source.randrange(1, 50) for w in listed}
+    dictionary = spark.createDataFrame(list(freq.items()), "word string, freq bigint")
+    pairs = S.near_pairs(spark.createDataFrame([(w,) for w in asked], "word string"), dictionary, edits).collect()
+    found = {(r.word, r.suggestion) for r in pairs}
+    near = {(w, x) for w in asked for x in listed if abs(len(w) - len(x)) <= edits and (
+        edit_distance(w, x) if len(w) < 100 else 1) <= edits}
+    assert found <= near
+    # only short words without a common letter are left to those that stand for them
+    assert all(max(len(w), len(x)) <= edits and not set(w) & set(x) for w, x in near - found)
+    for w in asked:
+        mine, all_near = [x for a, x in found if a == w], [x for a, x in near if a == w]
+        order = lambda x: (edit_distance(w, x), -freq[x], x) if len(w) < 100 else x
+        apart = [x for x in all_near if not set(w) & set(x)]
+        assert not all_near or min(mine, key=order) == min(all_near, key=order)
+        assert not apart or min(apart) in mine
+
+
 # --- lexicon ------------------------------------------------------------------------
 def test_lemmas_of_both_forms_agree(spark):
     texts = docs(spark, ["children went to cities she was eating boxes", "", "classes bus this flies"])
