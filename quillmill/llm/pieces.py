@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from quillmill.llm.bpe import NEVER, Memory, merged
+from quillmill.llm.bpe import NEVER, PART_BITS, SHORT, Memory, PairTable, merged, merged_rows
 from quillmill.llm.tables import batches_mapped
 
 MODEL = "piece_bpe_32k.model"
@@ -114,10 +114,71 @@ class Pieces:
         self.single = not self.charmap and not self.squeeze and self.dummy_prefix
         crossing = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.single &= not crossing
+        self._number_parts()
         self.words = re.compile("(?s).+" if crossing else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
+    def _number_parts(self) -> None:
+        """Numbers for pieces and single characters, and the table of the pairs that merge.
+
+        Only runs of blank marks may share a score; a word with such a run, and any word of a model
+        with other pieces of one score, is merged on its own.
+        """
+        # a character that is no piece has a number behind all pieces
+        self.unlisted = len(self.surface)
+        self.widths = np.array([len(p.encode()) for p in self.surface], np.int64)
+        self.decimal = [str(i) for i in range(self.unlisted)]
+        ranks = {score: i for i, score in enumerate(sorted(set(self.order.values())))}
+        plain = [p for p in self.ids if p.strip(BLANK) or len(p) < 2]
+        self.pairs: PairTable | None = None
+        if len({self.order[p] for p in plain}) == len(plain) and self.unlisted + 0x110000 < 1 << PART_BITS:
+            found = [
+                (self.part(p[:cut]), self.part(p[cut:]), ranks[self.order[p]] << PART_BITS | i)
+                for p, i in self.ids.items() for cut in range(1, len(p))
+            ]
+            whole = [x for x in found if x[0] is not None and x[1] is not None]
+            self.pairs = PairTable(*map(list, zip(*whole, strict=True))) if whole else None
+
+    def part(self, text: str) -> int | None:
+        """The number of a piece or a single character; None for any other text."""
+        found = self.ids.get(text)
+        return self.unlisted + ord(text) if found is None and len(text) == 1 else found
+
+    @cached_property
+    def numbers(self) -> Memory:
+        """Numbers of the characters met."""
+        return Memory(self.part, 0x110000)
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode the new words of ``texts`` together, and remember them.
+
+        These are the short words behind single blanks; what else a text holds is encoded when it is met.
+        """
+        if self.pairs is None or not self.single:
+            return
+        words = {w for t in texts for w in t.split(" ") if 0 < len(w) < SHORT and BLANK not in w}
+        new = sorted(self.known_marked.unmet(words), key=len)
+        number = self.numbers
+        for begin in range(0, len(new), 2048):  # of about equal lengths
+            part = new[begin : begin + 2048]
+            sizes = np.array([len(w) + 1 for w in part])
+            rows = np.zeros((len(part), int(sizes[-1])), np.int64)
+            rows[np.arange(rows.shape[1])[None, :] < sizes[:, None]] = [number[c] for w in part for c in BLANK + w]
+            rows, sizes = merged_rows(rows, sizes, self.pairs)
+            inside = np.arange(rows.shape[1])[None, :] < sizes[:, None]
+            known = ((rows < self.unlisted) | ~inside).all(axis=1)
+            packed = rows | self.widths[np.minimum(rows, self.unlisted - 1)] << 32
+            blank = len(BLANK.encode()) - 1
+            packed[:, 0] -= blank << 32
+            for word, ids, row, size, fine in zip(part, rows.tolist(), packed, sizes.tolist(), known.tolist(), strict=True):
+                if fine:
+                    made = Word(row[:size].tobytes(), " ".join([self.decimal[i] for i in ids[:size]]))
+                else:
+                    characters = [self.surface[i] if i < self.unlisted else chr(i - self.unlisted) for i in ids[:size]]
+                    made = self.listed(characters, blank)
+                self.known_marked.put(word, made)
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "known_marked")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "known_marked", "numbers")}
 
     def normalized(self, text: str) -> tuple[str, np.ndarray]:
         """The text that is cut into pieces, and for each of its bytes, and its end, the source byte."""
@@ -161,8 +222,12 @@ class Pieces:
 
     def word(self, word: str, blank: int = 0) -> Word:
         """A word with its mark, encoded; ``blank`` bytes less are counted for its first piece."""
+        return self.listed(self.word_pieces(word), blank)
+
+    def listed(self, pieces: list[str], blank: int) -> Word:
+        """The same from the word's merged pieces."""
         ids, widths = [], []
-        for piece in self.word_pieces(word):
+        for piece in pieces:
             found = self.ids.get(piece)
             size = len(piece) if piece.isascii() else len(piece.encode())
             if found is not None:
@@ -318,6 +383,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, digest: bool = False
 def digest_columns(model: Pieces, texts: list[str]) -> dict[str, pa.Array]:
     """n_tokens, ids_sha256 and decoded_sha256 of texts."""
     rows = []
+    model.learn(texts)
     for text in texts:
         found = model.encode(text)
         line = f"{found.line} {model.end}" if found.line else str(model.end)
@@ -332,6 +398,7 @@ def encoded_columns(model: Pieces, texts: list[str]) -> dict[str, pa.Array]:
     """ids, starts, ends and decoded of texts; lists go from numpy to Arrow, never through objects."""
     parts: dict[str, list[np.ndarray]] = {"ids": [], "starts": [], "ends": []}
     decoded, sizes = [], [0]
+    model.learn(texts)
     for text in texts:
         found = model.encode(text)
         size = len(text.encode())
