@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,15 +20,8 @@ THRESHOLD = 3
 CELL = 4096
 CODED = 31
 HALF = 32
-WIDE_SHINGLE = 5
-SIMILARITY = 0.8
-SKETCH = [f"w{i}" for i in range(8)]  # 64 bits each
-TOGETHER = 256
-COUNTED = 10_000  # about so many texts tell which shingles are common
-COMMON = 200_000  # so many common shingles at most are known to every task
-SENT = 500_000  # as many texts at most are named to every task
-FEW = 16  # sets that meet at a shingle and are all compared at once
-PAIRS = 1 << 20
+ROW_BYTES = 32  # of a row number in a table sent to every task
+SENT_BYTES = 32 << 20
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, hashed=partial(xxhash.xxh64_intdigest, seed=SEED)) -> int:
@@ -48,9 +40,10 @@ def fingerprint(text: str, shingle: int = SHINGLE, hashed=partial(xxhash.xxh64_i
     return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``fingerprint`` as a signed 64-bit number in place of the text."""
-    kept = [c for c in docs.columns if c not in ("text", "fingerprint", "component_id")]
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: bool = False) -> DataFrame:
+    """``docs`` with ``fingerprint`` as a signed 64-bit number, in place of the text or, if asked, beside it."""
+    dropped = ("fingerprint", "component_id") if text else ("text", "fingerprint", "component_id")
+    kept = [c for c in docs.columns if c not in dropped]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "fingerprint bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +52,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             signed = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), signed], [*kept, "fingerprint"])
 
-    return batches_mapped(docs.select(*kept, "text"), run, schema)
+    return batches_mapped(docs.select(*kept, *(() if text else ("text",))), run, schema)
 
 
 def decoded(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,312 +270,26 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", hexadecimal("fingerprint").alias("fingerprint"), "component_id")
 
 
-# --- similar documents, by their sets of word shingles ---------------------------------
-MIXED = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = THRESHOLD) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id; columns unchanged.
 
-
-def shingle_set(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """The different word shingles of a text as sorted 64-bit hashes, mixed from those of the words.
-
-    A text with fewer words than a shingle takes is one shingle, one without words has none.
-    """
-    parts = text.encode().lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    words = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
-    length = min(shingle, len(parts))
-    hashes = np.full(len(words) - length + 1, length, np.uint64)
-    for i in range(length):
-        hashes = (hashes ^ hashes >> np.uint64(29)) * MIXED[0] + words[i : len(words) - length + 1 + i]
-    hashes = (hashes ^ hashes >> np.uint64(30)) * MIXED[0]
-    hashes = (hashes ^ hashes >> np.uint64(27)) * MIXED[1]
-    return np.unique(hashes ^ hashes >> np.uint64(31))
-
-
-def set_name(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
-
-
-def new_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[dict[int, np.ndarray]]:
-    """The sets of the texts by name, some at a time; copies that one task meets come once."""
-    seen: set[int] = set()
-    for batch in batches:
-        for start in range(0, batch.num_rows, TOGETHER):
-            sets = [shingle_set(t, shingle) for t in batch.column("text").slice(start, TOGETHER).to_pylist()]
-            new = {name: s for s in sets if (name := set_name(s)) not in seen}
-            seen.update(new)
-            if new:
-                yield new
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """512 bits: whether an odd number of the shingles falls on each.
-
-    A shingle that only one of two sets has turns one bit, so the sketches differ in at
-    most as many bits as the sets in shingles.
-    """
-    odd = np.bincount((hashes >> np.uint64(20) & np.uint64(511)).astype(int), minlength=64 * len(SKETCH)) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
-
-
-def rarest(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest shingles of a set, so many that any similar set shares one of its own rarest.
-
-    ``common`` are hashes, sorted, with ``counts``; all others come before them. Sets of that
-    Jaccard similarity share at least this part of either, so both have a shared one among
-    the first n - ceil(part of n) + 1 in any order that is the same for all sets.
+    Groups are what links of ``bits`` or fewer differing bits reach, of fingerprints over
+    ``shingle`` words; rows are judged by their text alone, so ids may repeat. Of a group without
+    any id, and of rows of one id, one stays. A null text has no words and the fingerprint zero.
+    The table is fingerprinted once and written with row numbers; what follows moves numbers,
+    and texts only where more rows go than are named to every task (``SENT_BYTES``).
     """
-    first = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-    if not len(common) or not len(hashes):
-        return hashes[:first]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    return hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")[:first]]
-
-
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of shingles that stand in several of some texts, picked by a hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["anchor"])
-
-    share = min(1.0, COUNTED / max(1, docs.count()))
-    spread = F.xxhash64("text", F.lit(1)) / F.lit(float(1 << 64)) + 0.5
-    rows = batches_mapped(docs.where("text is not null").where(spread <= share).select("text"), run, "anchor bigint")
-    rows = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = rows.orderBy(F.desc("n"), "anchor").limit(COMMON).collect()
-    hashes = np.array([r["anchor"] for r in found], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.array([r["n"] for r in found], np.int64)[order]
-
-
-def named(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with ``node``, the name of the text's set of shingles; a null text has none."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "node bigint"])
-    names = [*docs.columns, "node"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = [set_name(shingle_set(t or "", shingle)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names)
-
-    return batches_mapped(docs, run, schema)
-
-
-def meetings(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b, n, anchor): sets a and b that share n of their rarest shingles and have sizes that allow the similarity.
-
-    Where more than ``FEW`` sets meet, there is a row (a, anchor) for each, without b, and
-    only pairs with the smallest of them are given.
-    """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in new_sets(batches, shingle):
-            anchors = [rarest(s, *common.value, similarity).view(np.int64) for s in sets.values()]
-            lengths = list(map(len, anchors))
-            nodes = np.repeat(np.array(list(sets), np.int64), lengths)
-            sizes = np.repeat(np.array(list(map(len, sets.values())), np.int32), lengths)
-            columns = list(map(pa.array, (np.concatenate(anchors), nodes, sizes)))
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "node", "size"])
-
-    def rows_of(a, b, n, anchor) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n, anchor)], ["a", "b", "n", "anchor"])
-
-    def summed(found: list[np.ndarray]) -> np.ndarray:
-        pairs = np.concatenate(found)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        starts = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]))
-        return np.column_stack([pairs[starts, :2], np.add.reduceat(pairs[:, 2], starts)])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for anchors, nodes, size in whole_cells(batches, ["anchor", "node", "size"]):
-            new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (nodes[1:] != nodes[:-1])])
-            anchors, nodes, size = anchors[new], nodes[new], size[new]
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(anchors)) + 1])
-            sizes = np.diff(np.append(starts, len(anchors)))
-            many = np.repeat(sizes > FEW, sizes)
-            hubs = np.repeat(starts, sizes)
-            at = np.flatnonzero(many & (hubs != np.arange(len(hubs))))
-            met = [(hubs[at], at)]
-            for step in range(1, FEW):
-                at = np.flatnonzero(~many[:-step] & (anchors[step:] == anchors[:-step])) if len(anchors) > step else []
-                if not len(at):
-                    break
-                met.append((at, at + step))
-            for x, y in met:
-                fit = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
-                found.append(np.column_stack([nodes[x[fit]], nodes[y[fit]], np.ones(fit.sum(), np.int64)]))
-            if many.any():
-                none = pa.nulls(int(many.sum()), pa.int64())
-                yield rows_of(nodes[many], none, none, anchors[many])
-            if sum(map(len, found)) > PAIRS:
-                found = [summed(found)]
-                if len(found[0]) > PAIRS // 2:
-                    yield rows_of(*found[0].T.copy(), pa.nulls(len(found[0]), pa.int64()))
-                    found = []
-        if sum(map(len, found)):
-            pairs = summed(found)
-            yield rows_of(*pairs.T.copy(), pa.nulls(len(pairs), pa.int64()))
-
-    schema = "anchor bigint, node bigint, size int"
-    rows = batches_mapped(docs.where("text is not null").select("text"), spread, schema)
-    placed = rows.repartition("anchor").sortWithinPartitions("anchor", "node")
-    return batches_mapped(placed, meet, "a bigint, b bigint, n bigint, anchor bigint")
-
-
-def allowed(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b, ...) whose sizes and sketches allow the similarity.
-
-    Sets of a similarity s differ in at most (1 - s) / (1 + s) of their sizes' sum; the
-    sketches show a part of the differences.
-    """
-    for side in "ab":
-        own = nodes.select(*(F.col(c).alias(f"{side}_{c}" if c != "node" else side) for c in ("node", "size", *SKETCH)))
-        pairs = pairs.join(own, side)
-    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in SKETCH), F.lit(0))
-    part = F.lit((1 - similarity) / (1 + similarity))
-    small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    fit = (differ <= part * (F.col("a_size") + F.col("b_size")) + 1e-9) & (small >= F.lit(similarity) * large - 1e-9)
-    return pairs.where(fit).drop(*(f"{side}_{c}" for side in "ab" for c in ("size", *SKETCH)))
-
-
-def open_pairs(rows: DataFrame, similarity: float, cell: int) -> DataFrame:
-    """(a, b): sets of ``rows`` (anchor, node, root, size, sketch) that meet, have different roots and may be similar."""
-    apart_part = (1 - similarity) / (1 + similarity)
-    several = rows.groupBy("anchor").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-    rows = stored(rows.join(several.select("anchor"), "anchor", "left_semi").withColumn("home", F.lit(True)), "open-cells")
-    words = ["root", "size", *SKETCH]
-
-    def near(root, size, prints, a, b):
-        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        fit = np.flatnonzero((root[a] != root[b]) & (small >= similarity * large - 1e-9))
-        a, b = np.broadcast_to(a, small.shape)[fit], b[fit]
-        fit = apart(prints[a], prints[b]) <= apart_part * (size[a] + size[b]) + 1e-9
-        return a[fit], b[fit]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cells, nodes, home, root, size, *prints in whole_cells(batches, ["cell", "node", "home", *words]):
-            prints = np.column_stack(prints).view(np.uint64)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1])
-            found: set[tuple[int, int]] = set()
-            for start, end in zip(starts, np.append(starts[1:], len(cells)), strict=True):
-                every = np.arange(start, end)
-                for at in every[home[start:end]]:
-                    a, b = near(root, size, prints, at, every)
-                    a, b = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-                    found.update(zip(a.tolist(), b.tolist(), strict=True))
-                    if len(found) > 1 << 16:
-                        yield link_batch(*np.array(list(found), np.int64).T.copy())
-                        found.clear()
-            if found:
-                yield link_batch(*np.array(list(found), np.int64).T.copy())
-
-    return batches_mapped(cut_cells(rows, words, cell), compare, "a bigint, b bigint").distinct()
-
-
-def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have the Jaccard similarity, by counting."""
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = stored(nodes.join(asked, "node", "left_semi").select("node", "text_hash"), "asked-nodes")
-    sets = stored(sets_of(docs, asked, shingle), "sets")
-    found = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    found = found.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return stored(batches_mapped(found.select("a", "b", "x", "y"), judge, "a bigint, b bigint"), "similar-pairs")
-
-
-def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of ``nodes`` (node, text_hash): sorted hashes as bytes, a row each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in new_sets(batches, shingle):
-            columns = [pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
-
-    wanted = nodes.select("text_hash").distinct()
-    if nodes.count() <= SENT:
-        wanted = F.broadcast(wanted)
-    texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("text_hash"))
-    rows = batches_mapped(texts.join(wanted, "text_hash", "left_semi").select("text"), run, "node bigint, shingles binary")
-    return rows.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-
-
-def similar_nodes(
-    docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, cell: int = CELL
-) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, node) of ``docs``, and (node, root) of the nodes that are like others.
-
-    A node is a set of shingles, however many texts have it. Nodes are linked if the Jaccard
-    similarity of their sets is ``similarity`` at least; every link is counted out, and none
-    is missed: similar sets meet at one of their rarest shingles. Of the pairs that sizes and
-    sketches allow, at first one for each node is compared, then all that are still in
-    different components, those of large cells included.
-    """
-    schema = ", ".join(["doc_id bigint, text_hash bigint, node bigint, size bigint", *(f"{w} bigint" for w in SKETCH)])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t or "", shingle) for t in batch.column("text").to_pylist()]
-            prints = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(SKETCH)).T
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(set_name, sets), pa.int64()), sizes]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *map(pa.array, prints)], ["doc_id", "text_hash", "node", "size", *SKETCH]
-            )
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    marked = stored(batches_mapped(rows, mark, schema), "shingle-sets")
-    nodes = stored(marked.groupBy("node").agg(*(F.min(c).alias(c) for c in ("text_hash", "size", *SKETCH))), "nodes")
-    met = stored(meetings(docs, shingle, similarity), "meetings")
-    pairs = met.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = stored(allowed(pairs, nodes, similarity), "allowed-pairs")
-    first = pairs.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a"))
-    links = similar_pairs(first, docs, nodes, shingle, similarity)
-    roots = stored(components(links), "roots")
-    for side in "ab":
-        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        pairs = pairs.join(own, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    rest = pairs.where("a_root != b_root").select("a", "b")
-    large = met.where("b is null").select("anchor", F.col("a").alias("node"))
-    if not large.isEmpty():
-        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = rest.union(open_pairs(large.join(rooted, "node"), similarity, cell)).distinct()
-    more = similar_pairs(stored(rest, "open-pairs"), docs, nodes, shingle, similarity)
-    return marked.select("doc_id", "node"), components(links.union(more))
-
-
-def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """One document of each group of similar ones, that with the smallest id; columns unchanged.
-
-    Groups are what links of that similarity reach (see ``similar_nodes``). Of rows that
-    repeat an id with like texts one stays; different texts of one id are judged one by one.
-    Rows without an id stay as they are. A null text has no words.
-    """
-    rows, back = shielded(docs, {"node"})
-    known = rows.where("doc_id is not null").select("doc_id", "text")
-    marked, roots = similar_nodes(known, similarity=similarity, cell=cell)
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = nodes.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("best"))
-    stays = best.select("best.doc_id", "best.node")
-    gone = stored(marked.select("doc_id", "node").distinct().join(stays, ["doc_id", "node"], "left_anti"), "gone")
-    kept = named(rows, WIDE_SHINGLE).join(F.broadcast(gone) if gone.count() <= SENT else gone, ["doc_id", "node"], "left_anti")
-    twice = marked.join(gone, ["doc_id", "node"], "left_anti").groupBy("doc_id", "node").count().where("count > 1")
-    if not twice.isEmpty():
-        once = kept.where("doc_id is not null").dropDuplicates(["doc_id", "node"])
-        kept = once.unionByName(kept.where("doc_id is null"))
+    rows, back = shielded(docs, {"fingerprint", "component_id", "_row"})
+    printed = with_fingerprints(rows, shingle, text=True).withColumn("_row", F.monotonically_increasing_id())
+    marked = stored(printed, "fingerprinted")
+    # the smallest id of each fingerprint first: copies of one text are many
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    nodes = stored(
+        marked.groupBy("fingerprint").agg(first).withColumn("node", F.col("fingerprint")), "fingerprint-nodes"
+    )
+    roots = components(near_links(nodes, bits))
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    gone = stored(marked.select("_row").join(grouped.select("first._row"), "_row", "left_anti"), "gone")
+    few = gone.count() * ROW_BYTES <= SENT_BYTES
+    kept = marked.join(F.broadcast(gone) if few else gone, "_row", "left_anti")
     return kept.select(*rows.columns).withColumnsRenamed(back)
