@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from typing import NamedTuple
 
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from quillmill.llm.bpe import Memory
 from quillmill.llm.tables import batches_mapped, shielded, stored
 
-LABELLED = 20_000  # about so many labelled rows, picked by a hash of their ids, make the examples
+LABELLED = 20_000  # telling terms are learnt from about so many labelled rows, picked by a hash of their ids
+INDEXED = 4_096  # about so many of these are the examples that texts are compared with
 TERMS = 64  # so many terms at most are taken in each round, those that tell most first
-ROUNDS = 6
+TELLING = 0.7  # their part of a vector's squared length
 CHANCE = 0.5  # terms that may pass by chance among those of equal or more documents
 STEMS = (4, 5)
 NEIGHBOURS = 25
@@ -27,7 +29,7 @@ NEAR = 0.05
 BLOCK = 64
 CUT = 0.3
 EVIDENCE = 3
-VECTORS = 50_000
+TEXTS = 50_000
 WORD = re.compile(r"\w+")
 
 
@@ -43,79 +45,109 @@ def term_counts(text: str) -> Counter:
     return words + stems
 
 
+class Vector(NamedTuple):
+    """A sparse vector: numbers of terms, rising, and their weights."""
+
+    terms: np.ndarray
+    weights: np.ndarray
+
+
 class Example(NamedTuple):
-    """Examples of one vector: terms with weights, how many, how many toxic, and one's id."""
+    """Examples of one vector: how many, how many toxic, and one's id."""
 
-    vector: dict[int, float]
+    vector: Vector
     count: int
     toxic: int
     doc_id: int
 
 
 class Nearest(NamedTuple):
-    """What a search finds: rows of the index and their cosines, the nearest first."""
+    """What a search finds: rows of the index and their cosines, the nearest first, and how many
+    blocks it opened."""
 
     rows: np.ndarray
     cosines: np.ndarray
+    opened: int
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all places in ranges of given starts and sizes, range after range."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
 class Index:
     """An inverted index over examples in blocks, with the largest weight of each term per block.
 
-    Examples are sorted by their terms, so that a block holds examples alike. A search
-    bounds every block's cosines by the sum of its largest weights, opens the blocks in the
-    order of these bounds, and stops at the first that cannot reach the nearest found so
-    far; what it returns is exact. All examples as near as the last of the ``NEIGHBOURS``
-    nearest are returned, so that ties have no order.
+    Examples are sorted by their terms, so that a block holds examples alike. Postings lie by
+    term, then by block; an entry stands for the postings of one term in one block. A search
+    bounds every block's cosines by the sum of its entries' largest weights, opens the blocks
+    in the order of these bounds, some more each time, and stops at those that cannot reach
+    the nearest found so far; what it returns is exact. All examples as near as the last of
+    the ``NEIGHBOURS`` nearest are returned, so that ties have no order.
     """
 
     def __init__(self, examples: list[Example]):
-        self.examples = sorted(examples, key=lambda e: (sorted(e.vector.items()), e.doc_id))
-        self.counts = np.array([e.count for e in self.examples], np.float64)
-        self.toxic = np.array([e.toxic for e in self.examples], np.float64)
-        self.blocks = -(-len(self.examples) // BLOCK)
-        terms = sorted({t for e in self.examples for t in e.vector})
-        self.place = {t: i for i, t in enumerate(terms)}
-        self.largest = np.zeros((len(terms), self.blocks), np.float64)
-        postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for row, example in enumerate(self.examples):
-            for term, weight in example.vector.items():
-                key = self.place[term], row // BLOCK
-                self.largest[key] = max(self.largest[key], weight)
-                rows, weights = postings.setdefault(key, ([], []))
-                rows.append(row % BLOCK)
-                weights.append(weight)
-        self.postings = {k: (np.array(r), np.array(w)) for k, (r, w) in postings.items()}
-
-    def search(self, vector: dict[int, float], leave_out: int | None = None) -> Nearest:
+        examples = sorted(examples, key=lambda e: (e.vector.terms.tolist(), e.vector.weights.tolist(), e.doc_id))
+        self.counts = np.array([e.count for e in examples], np.float64)
+        self.toxic = np.array([e.toxic for e in examples], np.float64)
+        self.ids = np.array([e.doc_id for e in examples], np.int64)
+        self.blocks = -(-len(examples) // BLOCK)
+        sizes = np.array([len(e.vector.terms) for e in examples], np.int64)
+        terms = np.concatenate([np.empty(0, np.int64), *(e.vector.terms for e in examples)])
+        weights = np.concatenate([np.empty(0), *(e.vector.weights for e in examples)])
+        order = np.argsort(terms, kind="stable")
+        self.row = np.repeat(np.arange(len(examples)), sizes)[order].astype(np.int32)
+        self.weight, terms = weights[order], terms[order]
+        keys = terms * max(self.blocks, 1) + self.row // BLOCK
+        self.start = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.size = np.diff(self.start, append=len(keys))
+        self.block = self.row[self.start] // BLOCK
+        self.largest = np.maximum.reduceat(self.weight, self.start) if len(keys) else np.empty(0)
+        self.of_term = np.searchsorted(terms[self.start], np.arange(terms[-1] + 2 if len(terms) else 1))
+
+    def vector(self, row: int) -> Vector:
+        """The vector of one row, put together from its postings."""
+        at = np.flatnonzero(self.row == row)
+        entry = np.searchsorted(self.start, at, "right") - 1
+        return Vector(np.searchsorted(self.of_term, entry, "right") - 1, self.weight[at])
+
+    def search(self, vector: Vector, leave_out: int | None = None) -> Nearest:
         """The examples nearest to a vector of length 1; one copy of row ``leave_out`` does not count."""
-        known = [(self.place[t], w) for t, w in sorted(vector.items()) if t in self.place]
-        places, weights = [p for p, _ in known], np.array([w for _, w in known])
-        bounds = weights @ self.largest[places] if known else np.zeros(self.blocks)
+        known = vector.terms < len(self.of_term) - 1
+        terms = vector.terms[known]
+        sizes = self.of_term[terms + 1] - self.of_term[terms]
+        entries = spans(self.of_term[terms], sizes)
+        weights, block = np.repeat(vector.weights[known], sizes), self.block[entries]
+        bounds = np.bincount(block, weights * self.largest[entries], self.blocks)
         counts = self.counts
         if leave_out is not None:
             counts = counts.copy()
             counts[leave_out] -= 1
-        rows, cosines, least = np.empty(0, int), np.empty(0), -1.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] < least - 1e-9:
+        rows, cosines, least, opened, more = np.empty(0, int), np.empty(0), -1.0, 0, 2
+        order = np.argsort(-bounds, kind="stable")
+        while opened < self.blocks:
+            group = order[opened : opened + more]
+            group = group[bounds[group] >= least - 1e-9]
+            if not len(group):
                 break
-            start = block * BLOCK
-            score = np.zeros(min(BLOCK, len(self.examples) - start))
-            for place, weight in known:
-                found = self.postings.get((place, block))
-                if found is not None:
-                    score[found[0]] += weight * found[1]
-            at = start + np.flatnonzero((score >= least - 1e-9) & (counts[start : start + len(score)] > 0))
-            rows, cosines = np.concatenate([rows, at]), np.concatenate([cosines, score[at - start]])
-            order = np.lexsort((rows, -cosines))
-            rows, cosines = rows[order], cosines[order]
+            opened, more = opened + len(group), 3 * more
+            is_open = np.zeros(self.blocks, bool)
+            is_open[group] = True
+            mine = is_open[block]
+            sizes = self.size[entries[mine]]
+            posts = spans(self.start[entries[mine]], sizes)
+            score = np.bincount(self.row[posts], np.repeat(weights[mine], sizes) * self.weight[posts], len(counts))
+            at = np.flatnonzero(np.repeat(is_open, BLOCK)[: len(counts)] & (score >= least - 1e-9) & (counts > 0))
+            rows, cosines = np.concatenate([rows, at]), np.concatenate([cosines, score[at]])
+            nearest = np.lexsort((rows, -cosines))
+            rows, cosines = rows[nearest], cosines[nearest]
             last = np.searchsorted(np.cumsum(counts[rows]), NEIGHBOURS)
             if last < len(rows):
                 least = cosines[last]
                 keep = cosines >= least - 1e-9
                 rows, cosines = rows[keep], cosines[keep]
-        return Nearest(rows, cosines)
+        return Nearest(rows, cosines, opened)
 
     def vote(self, found: Nearest, leave_out: int | None = None) -> float:
         """Toxic share of the nearest, each weighing the inverse square of its distance.
@@ -153,64 +185,98 @@ def rising(votes: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> tuple[np
     return np.array([v / n for v, _, n in pools]), np.array([(t + base) / (n + 1) for _, t, n in pools])
 
 
-class Judge:
-    """All that scores a text: terms with weights, the index, and the calibration."""
-
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, samples: list[tuple[int, Counter, int]]):
-        self.terms, self.idf = terms, idf
-        groups: dict[tuple, list[tuple[int, int]]] = {}
-        for doc_id, counts, toxic in samples:
-            groups.setdefault(tuple(sorted(self.vector(counts).items())), []).append((doc_id, toxic))
-        examples = [
-            Example(dict(v), len(g), sum(t for _, t in g), min(i for i, _ in g)) for v, g in groups.items()
-        ]
-        self.index = Index(examples)
-        self.levels = self.shares = np.zeros(1)
-        if len(samples) > 1:
-            votes = np.array([self.index.vote(self.index.search(e.vector, i), i) for i, e in enumerate(self.index.examples)])
-            self.levels, self.shares = rising(votes, self.index.toxic, self.index.counts)
+class Space:
+    """The terms texts are compared by: all words of the examples, and the telling terms.
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+    Term 0 stands in every text; the telling terms follow, words or stems, then the other words.
+    """
 
-    def listed(self, text: str) -> Counter:
+    def __init__(self, telling: list[str], words: list[str], idf: np.ndarray | None = None):
+        self.telling = len(telling)
+        numbers = {t: i for i, t in enumerate(telling, 1)}
+        others = (w for w in words if w not in numbers)
+        self.stems = {t[:-1]: i for t, i in numbers.items() if t.endswith("*")}
+        self.words = {t: i for t, i in numbers.items() if not t.endswith("*")}
+        self.words |= {w: i for i, w in enumerate(others, 1 + self.telling)}
+        self.idf = idf
+
+    def listed(self, text: str) -> dict[int, int]:
         """Counts of the terms of the space in a text."""
-        found: Counter = Counter()
+        found: dict[int, int] = {}
         for word, n in Counter(WORD.findall(text.lower())).items():
-            at = self.terms.get(word)
+            at = self.words.get(word)
             if at is not None:
-                found[at] += n
-            for size in STEMS:
-                at = self.terms.get(word[:size] + "*") if len(word) > size else None
-                if at is not None:
-                    found[at] += n
+                found[at] = n
+            if len(word) > STEMS[0]:
+                for size in STEMS:
+                    at = self.stems.get(word[:size]) if len(word) > size else None
+                    if at is not None:
+                        found[at] = found.get(at, 0) + n
         return found
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        """TF-IDF weights of length 1; every document has term 0, so that one without any
-        listed term is near those like it."""
-        weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()} | {0: self.idf[0]}
-        length = math.sqrt(math.fsum(w * w for w in weights.values()))
-        return {t: w / length for t, w in weights.items()}
+    def vector(self, listed: dict[int, int]) -> Vector:
+        """TF-IDF weights of length 1.
+
+        Term 0 and the telling terms together make up ``TELLING`` of the squared length, the
+        other words the rest; where a text has no other words, the former make up all.
+        """
+        terms = np.fromiter(listed, np.int64, len(listed))
+        counts = np.fromiter(listed.values(), np.float64, len(listed))
+        order = np.argsort(terms)
+        terms = np.concatenate([[0], terms[order]])
+        weights = (1 + np.log(np.concatenate([[1.0], counts[order]]))) * self.idf[terms]
+        cut = np.searchsorted(terms, self.telling, "right")
+        share = TELLING if cut < len(terms) else 1.0
+        weights[:cut] *= math.sqrt(share / (weights[:cut] ** 2).sum())
+        if cut < len(terms):
+            weights[cut:] *= math.sqrt((1 - share) / (weights[cut:] ** 2).sum())
+        return Vector(terms, weights)
+
+
+class Judge:
+    """All that scores a text: the space of its terms, the index, and the calibration."""
+
+    def __init__(self, space: Space, samples: Iterable[tuple[int, dict[int, int], int]]):
+        self.space = space
+        groups: dict[bytes, tuple[Vector, list[tuple[int, int]]]] = {}
+        for doc_id, listed, toxic in samples:
+            vector = space.vector(listed)
+            key = vector.terms.tobytes() + vector.weights.tobytes()
+            groups.setdefault(key, (vector, []))[1].append((doc_id, toxic))
+        self.index = Index(
+            [Example(v, len(g), sum(t for _, t in g), min(i for i, _ in g)) for v, g in groups.values()]
+        )
+        self.levels = self.shares = np.zeros(1)
+        if self.index.counts.sum() > 1:
+            rows = range(len(self.index.counts))
+            votes = np.array([self.index.vote(self.index.search(self.index.vector(i), i), i) for i in rows])
+            self.levels, self.shares = rising(votes, self.index.toxic, self.index.counts)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
     @cached_property
     def known(self) -> Memory:
-        """Scores of vectors met before."""
-        return Memory(lambda key: self.judged(Counter(dict(key))), VECTORS)
+        """Scores of texts met before, by digest."""
+        return Memory(lambda key: None, TEXTS)
 
-    def judged(self, counts: Counter) -> tuple[float, list[dict]]:
+    def judged(self, listed: dict[int, int]) -> tuple[float, list[dict]]:
         """(score, evidence) of term counts: the calibrated vote and the nearest examples."""
-        if not self.index.examples:
+        index = self.index
+        if not len(index.counts):
             return 0.0, []
-        found = self.index.search(self.vector(counts))
+        found = index.search(self.space.vector(listed))
         evidence = [
-            {"doc_id": e.doc_id, "cosine": float(min(c, 1.0)), "examples": e.count, "toxic": e.toxic}
-            for e, c in zip((self.index.examples[r] for r in found.rows[:EVIDENCE]), found.cosines, strict=False)
+            {"doc_id": int(index.ids[r]), "cosine": float(min(c, 1.0)), "examples": int(index.counts[r]), "toxic": int(index.toxic[r])}
+            for r, c in zip(found.rows[:EVIDENCE], found.cosines, strict=False)
         ]
-        return float(np.interp(self.index.vote(found), self.levels, self.shares)), evidence
+        return float(np.interp(index.vote(found), self.levels, self.shares)), evidence
 
     def score(self, text: str) -> tuple[float, list[dict]]:
-        return self.known[tuple(sorted(self.listed(text).items()))]
+        key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        for new in self.known.unmet([key]):
+            self.known.put(new, self.judged(self.space.listed(text)))
+        return self.known[key]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -235,21 +301,20 @@ def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     ).drop("h", "s")
 
 
-def telling_terms(examples: DataFrame, limit: int = TERMS, rounds: int = ROUNDS) -> list[str]:
+def telling_terms(examples: DataFrame, limit: int = TERMS) -> list[str]:
     """Terms that stand in toxic examples more often than chance would have it.
 
     The chance of a term's count of toxic documents is bounded by its divergence from the
     overall share; the bound times the number of terms in as many documents must not exceed
-    ``CHANCE``. Terms are taken in rounds, ``limit`` at most in each; toxic examples that
-    hold a term taken before are explained and count no more, so that the other words of a
-    group of near copies are not taken as well. Terms are counted per task before they are
-    combined; only those taken come to the driver.
+    ``CHANCE``. Terms are taken in rounds, ``limit`` at most in each, until a round finds none;
+    toxic examples that hold a term taken before are explained and count no more, so that the
+    other words of a group of near copies are not taken as well. Each round explains an
+    example more, so the rounds end. Terms are counted per task before they are combined;
+    only those taken come to the driver. The other words of the examples stay in the
+    comparison, with a smaller weight.
     """
     taken: list[str] = []
-    for _ in range(rounds):
-        new = telling_round(examples, frozenset(taken), limit)
-        if not new:
-            break
+    while new := telling_round(examples, frozenset(taken), limit):
         taken += new
     return taken
 
@@ -301,34 +366,58 @@ def telling_round(examples: DataFrame, taken: frozenset[str], limit: int) -> lis
     return [r["term"] for r in telling.orderBy(F.desc("evidence"), "term").limit(limit).select("term").collect()]
 
 
-def learnt(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Judge:
+def words_of(examples: DataFrame) -> list[str]:
+    """All different words of the examples, in order."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words.update(WORD.findall(text.lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+    return sorted(batches_mapped(examples.select("text"), read, "word string").distinct().toArrow()["word"].to_pylist())
+
+
+def learnt(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, indexed: int = INDEXED) -> Judge:
     """A judge from the labelled rows among ``docs`` that are not held out.
 
-    Documents that hold a term are counted over all of ``docs``. What comes to the driver is
-    bounded by the parameters: terms, their counts, and the examples' counts of them.
+    Telling terms are learnt from about ``limit`` rows, of which about ``indexed``, picked by
+    another hash of their ids, are indexed with all their words. Documents that hold a term
+    are counted over all of ``docs``. What comes to the driver is bounded by the parameters:
+    the different words of the indexed texts, their counts, and the texts' counts of them.
     """
+    spark = docs.sparkSession
     examples = stored(sampled(docs, labels, limit), "examples")
-    listed = {t: i for i, t in enumerate(telling_terms(examples), 1)}
-    reader = Judge(listed, np.ones(len(listed) + 1), [])
+    telling = telling_terms(examples)
+    spread = F.xxhash64(F.lit("indexed"), "doc_id") / F.lit(float(1 << 64)) + 0.5
+    examples = examples.where(spread < min(1.0, indexed / max(1, examples.count())))
+    words = words_of(examples)
+    shared = spark.sparkContext.broadcast(Space(telling, words))
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found.update(reader.listed(text or "").keys())
+                found.update(shared.value.listed(text or "").keys())
                 found[0] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "n"]
         )
 
     counts = batches_mapped(docs.select("text"), holding, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    number = {r["term"]: r["n"] for r in counts.collect()}
-    total = number.get(0, 0)
-    idf = np.array([1 + math.log((1 + total) / (1 + number.get(t, 0))) for t in range(len(listed) + 1)])
+    counts = counts.toArrow()
+    number = np.zeros(1 + len(telling) + len(words), np.int64)
+    number[counts["term"].to_numpy()] = counts["n"].to_numpy()
+    names = {i: w for w, i in shared.value.words.items() if i > len(telling)}
+    order = sorted(names, key=lambda i: (-number[i], names[i]))  # the commonest first, so that like texts lie together
+    number = number[[*range(1 + len(telling)), *order]]
+    space = Space(telling, [names[i] for i in order], 1 + np.log((1 + number[0]) / (1 + number)))
+    ready = spark.sparkContext.broadcast(space)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [reader.listed(t) for t in batch.column("text").to_pylist()]
+            found = [ready.value.listed(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
@@ -340,8 +429,13 @@ def learnt(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Judge:
             )
 
     rows = batches_mapped(examples, counted, "doc_id bigint, toxic int, terms array<int>, counts array<bigint>")
-    samples = [(r["doc_id"], Counter(dict(zip(r["terms"], r["counts"], strict=True))), r["toxic"]) for r in rows.collect()]
-    return Judge(listed, idf, sorted(samples, key=lambda s: s[0]))
+    rows = rows.toArrow().sort_by("doc_id")
+    samples = (
+        (r["doc_id"], dict(zip(r["terms"], r["counts"], strict=True)), r["toxic"])
+        for batch in rows.to_batches(max_chunksize=256)
+        for r in batch.to_pylist()
+    )
+    return Judge(space, samples)
 
 
 SCORED = "score double, evidence array<struct<doc_id: bigint, cosine: double, examples: int, toxic: int>>"
@@ -354,8 +448,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, with_text: bool = False)
     new one. No shuffle: the judge, of a bounded size, is broadcast, and each text is scored
     where it is read, from its words alone. ``evidence`` are the nearest examples: the id of
     one, the cosine, how many examples have this vector and how many of them are toxic.
-    A null text counts as an empty one, which is scored like any text without listed terms.
-    With no toxic or no other labels to learn from, every score is 0.
+    A null text counts as an empty one, which is compared by the absence of telling terms alone.
+    A text equal to an indexed example finds it at cosine 1. Rows of equal text get equal scores,
+    and each is returned; very long texts are read whole. Without labels to learn from every
+    score is 0; an empty table gives no rows.
     """
     judge = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels))
     new = ["score", "evidence", "held_out", "predicted"] + ([] if with_text else ["text"])

@@ -423,10 +423,12 @@ def test_search_is_exact():
         terms = dice.choice(30, dice.integers(1, 6), replace=False)
         weights = dice.random(len(terms)) + 0.1
         weights /= np.linalg.norm(weights)
-        examples.append(toxicity.Example(dict(zip(terms.tolist(), weights.tolist())), int(dice.integers(1, 3)), 0, i))
+        order = np.argsort(terms)
+        examples.append(toxicity.Example(toxicity.Vector(terms[order], weights[order]), int(dice.integers(1, 3)), 0, i))
     index = toxicity.Index(examples)
+    dense = {e.doc_id: np.bincount(e.vector.terms, e.vector.weights, 30) for e in examples}
     for example in examples[::7]:
-        cosines = np.array([sum(w * e.vector.get(t, 0) for t, w in example.vector.items()) for e in index.examples])
+        cosines = np.array([dense[example.doc_id] @ dense[i] for i in index.ids.tolist()])
         order = np.sort(np.repeat(cosines, index.counts.astype(int)))[::-1]
         least = order[toxicity.NEIGHBOURS - 1]
         found = index.search(example.vector)
