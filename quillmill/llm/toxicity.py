@@ -19,14 +19,14 @@ from quillmill.llm.bpe import Memory
 from quillmill.llm.tables import batches_mapped, shielded, stored
 
 LABELLED = 20_000  # telling terms are learnt from about so many labelled rows, picked by a hash of their ids
-INDEXED = 4_096  # about so many of these are the examples that texts are compared with
+INDEXED = 2_048  # about so many of these are the examples that texts are compared with
 TERMS = 64  # so many terms at most are taken in each round, those that tell most first
 TELLING = 0.7  # their part of a vector's squared length
 CHANCE = 0.5  # terms that may pass by chance among those of equal or more documents
 STEMS = (4, 5)
 NEIGHBOURS = 25
 NEAR = 0.05
-BLOCK = 64
+BLOCK = 128
 CUT = 0.3
 EVIDENCE = 3
 TEXTS = 50_000
@@ -97,7 +97,7 @@ class Index:
         terms = np.concatenate([np.empty(0, np.int64), *(e.vector.terms for e in examples)])
         weights = np.concatenate([np.empty(0), *(e.vector.weights for e in examples)])
         order = np.argsort(terms, kind="stable")
-        self.row = np.repeat(np.arange(len(examples)), sizes)[order].astype(np.int32)
+        self.row = np.repeat(np.arange(len(examples)), sizes)[order]
         self.weight, terms = weights[order], terms[order]
         keys = terms * max(self.blocks, 1) + self.row // BLOCK
         self.start = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -131,12 +131,13 @@ class Index:
             group = group[bounds[group] >= least - 1e-9]
             if not len(group):
                 break
-            opened, more = opened + len(group), 3 * more
+            opened, more = opened + len(group), 8 * more
             is_open = np.zeros(self.blocks, bool)
             is_open[group] = True
-            mine = is_open[block]
-            sizes = self.size[entries[mine]]
-            posts = spans(self.start[entries[mine]], sizes)
+            mine = np.flatnonzero(is_open[block])
+            found = entries[mine]
+            sizes = self.size[found]
+            posts = spans(self.start[found], sizes)
             score = np.bincount(self.row[posts], np.repeat(weights[mine], sizes) * self.weight[posts], len(counts))
             at = np.flatnonzero(np.repeat(is_open, BLOCK)[: len(counts)] & (score >= least - 1e-9) & (counts > 0))
             rows, cosines = np.concatenate([rows, at]), np.concatenate([cosines, score[at]])
@@ -198,20 +199,24 @@ class Space:
         self.stems = {t[:-1]: i for t, i in numbers.items() if t.endswith("*")}
         self.words = {t: i for t, i in numbers.items() if not t.endswith("*")}
         self.words |= {w: i for i, w in enumerate(others, 1 + self.telling)}
+        self.several = {w: (i, *stems) for w, i in self.words.items() if (stems := self.stems_of(w))}
         self.idf = idf
 
+    def stems_of(self, word: str) -> tuple[int, ...]:
+        """The telling stems of a word."""
+        return tuple(self.stems[word[:n]] for n in STEMS if len(word) > n and word[:n] in self.stems)
+
     def listed(self, text: str) -> dict[int, int]:
         """Counts of the terms of the space in a text."""
         found: dict[int, int] = {}
+        words, several = self.words, self.several
         for word, n in Counter(WORD.findall(text.lower())).items():
-            at = self.words.get(word)
-            if at is not None:
+            at = words.get(word)
+            if at is not None and word not in several:
                 found[at] = n
-            if len(word) > STEMS[0]:
-                for size in STEMS:
-                    at = self.stems.get(word[:size]) if len(word) > size else None
-                    if at is not None:
-                        found[at] = found.get(at, 0) + n
+                continue
+            for at in self.stems_of(word) if at is None else several[word]:
+                found[at] = found.get(at, 0) + n
         return found
 
     def vector(self, listed: dict[int, int]) -> Vector:
