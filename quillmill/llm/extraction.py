@@ -5,6 +5,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,16 +41,47 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"},
          "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}}
 IN_P = BLOCKS - set("body button caption html iframe legend option select summary tbody td tfoot th thead tr frameset".split())
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)"
-    r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)", re.S
-)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")  # of a tag, behind its name
+MARKUP = re.compile("<[!?]")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|type|data-main|data-cut)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ARTICLE = re.compile(r"<[aA][rR][tT][iI][cC][lL][eE](?=[\s/>])")
 MARKS = re.compile(r"[.!?;:,]")
 
 
+class TagEnds:
+    """Where the tags of a page end: at the first ``>`` outside quotes, or, where an open quote
+    leaves none, at the first at all.
+
+    The first time that quotes leave none, the ends from all quotes on are worked out from the
+    back, so that no page is searched to its end more than once.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.places, self.ends = html, None, []
+
+    def find(self, at: int) -> int:
+        """The place behind the tag whose name ends at ``at``; -1 if the rest holds no ``>``."""
+        if self.places is None:
+            match = REST.match(self.html, at)
+            if match:
+                return match.end()
+            self.places = [m.start() for m in re.finditer("[>\"']", self.html)]
+            self.ends = [-1] * (len(self.places) + 1)
+            later: dict[str, int] = {}
+            for i in range(len(self.places) - 1, -1, -1):
+                mark = self.html[self.places[i]]
+                if mark == ">":
+                    self.ends[i] = self.places[i] + 1
+                    continue
+                if mark in later:
+                    self.ends[i] = self.ends[later[mark] + 1]
+                later[mark] = i
+        end = self.ends[bisect_left(self.places, at)]
+        return end if end >= 0 else self.html.find(">", at) + 1 or -1
+
+
 class Page(NamedTuple):
     """A page as lists over its block elements, in page order: parent, tag, tokens, and the
     text, link text, marks and numbers of tags of each alone; and its runs of text."""
@@ -76,6 +109,8 @@ def parsed(html: str) -> Page:
     """
     page = Page([-1], ["html"], [()], [0], [0], [0], [0], [0], [])
     open_at: list[int] = [0]
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # places in open_at, by name
+    tag_ends = TagEnds(html)
     block, link, at, silent = 0, False, 0, None
 
     def say(text: str) -> None:
@@ -89,15 +124,29 @@ def parsed(html: str) -> Page:
             if link:
                 page.linked[node] += size
 
+    def close(depth: int) -> None:
+        while len(open_at) > depth:
+            depths[page.tag[open_at.pop()]].pop()
+
+    def deepest(names: set[str]) -> int:
+        return max((depths[x][-1] for x in names if depths[x]), default=0)
+
     while match := TAG.search(html, at):
         start, name = at, match[2]
-        at = match.end()
+        at = match.end() if name is None else tag_ends.find(match.end())
+        if at < 0:  # no tag ends from here on: all is text up to the next mark-up of another kind
+            at, match = start, MARKUP.search(html, match.start() + 1)
+            if match and silent is None:
+                say(html[start : match.start()])
+            at = len(html) if match else start
+            break
         if silent is None and match.start() > start:
             say(html[start : match.start()])
         if name is None:
             continue
+        rest = html[match.end() : at]
         name = name.lower()
-        if name in RAW and not match[1] and not match[3].endswith("/>") and silent not in FOREIGN:
+        if name in RAW and not match[1] and not rest.endswith("/>") and silent not in FOREIGN:
             end = RAW[name].search(html, at)
             at = end.end() if end else len(html)
             continue
@@ -110,15 +159,13 @@ def parsed(html: str) -> Page:
                 link = False
             elif name in BLOCKS:
                 block += 1
-                for depth in range(len(open_at) - 1, 0, -1):
-                    if page.tag[open_at[depth]] == name:
-                        del open_at[depth:]
-                        break
+                if depths[name]:
+                    close(depths[name][-1])
             continue
         if name in RAW:
             continue
         if name in SILENT:
-            if not match[3].endswith("/>"):
+            if not rest.endswith("/>"):
                 silent = name
             continue
         if name not in BLOCKS:
@@ -130,18 +177,13 @@ def parsed(html: str) -> Page:
             continue
         block += 1
         if name in IN_P and page.tag[open_at[-1]] == "p":
-            open_at.pop()
-        for depth in range(len(open_at) - 1, 0, -1):
-            other = page.tag[open_at[depth]]
-            if name in CLOSES and other in CLOSES[name]:
-                del open_at[depth:]
-                break
-            if name not in CLOSES or other in HOLDS[name]:
-                break
+            close(len(open_at) - 1)
+        if name in CLOSES and deepest(CLOSES[name]) > deepest(HOLDS[name]):
+            close(deepest(CLOSES[name]))
         if name in VOID:
             continue
         tokens, label = [name], -1
-        for key, *values in ATTRIBUTE.findall(match[3]) if "=" in match[3] else ():
+        for key, *values in ATTRIBUTE.findall(rest) if "=" in rest else ():
             key, value = key.lower(), "".join(values)
             if key.startswith("data-"):
                 label = int(key == "data-main")
@@ -154,6 +196,7 @@ def parsed(html: str) -> Page:
         for column in (page.chars, page.linked, page.marks, page.tags):
             column.append(0)
         page.label.append(page.label[parent] if label < 0 else label)
+        depths[name].append(len(open_at))
         open_at.append(len(page.tag) - 1)
     if silent is None and at < len(html):
         say(html[at:])
