@@ -53,6 +53,34 @@ def test_bounds_hold():
     assert (left <= error).all() and (error < 0.05).all()
 
 
+def test_code_products_are_exact():
+    dice = np.random.default_rng(7)
+    for size in (3, 1024, 2500):
+        left, right = dice.integers(-127, 128, (20, size)), dice.integers(-127, 128, (30, size))
+        left[0], right[0], right[1] = 127, 127, -127
+        found = embeddings.code_products(left.astype(np.float32), right.astype(np.float32))
+        assert (found.astype(np.int64) == left @ right.T).all()
+
+
+def test_open_pairs_are_settled(spark):
+    """Cosines crowd at the threshold, closer to it than codes can tell, in vectors longer than one exact sum."""
+    dice = np.random.default_rng(8)
+    size = 1100
+    base = embeddings.unit_rows(dice.normal(size=(1, size)))[0]
+    side = embeddings.unit_rows(dice.normal(size=(30, size)))
+    side = embeddings.unit_rows(side - (side @ base)[:, None] * base)
+    cosines = 0.9 + np.linspace(-2e-3, 2e-3, 30)
+    vectors = [base, *(c * base + math.sqrt(1 - c * c) * v for c, v in zip(cosines, side, strict=True))]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    codes, scale, error = embeddings.quantised(np.array(vectors))
+    length = np.linalg.norm(codes * scale[:, None], axis=1) * (1 + 1e-9)
+    one = embeddings.Side(np.arange(31), np.ones(31, int), codes, scale, error, length)
+    assert sum(int((~sure).sum()) for _, _, sure in embeddings.tile_pairs(one, one, 0.9)) > 10
+    found = embeddings.near_vectors(table, block=10).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found), key=str) == slow_vectors(rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News of the day</a></li></ul></nav><!-- ad --><div class="ad">Buy now, cheap.</div>
 <article><h1>{title}</h1><p><b>{title}<br>{first}<p>{second}</p></article><footer>&copy; site {n}</footer></body></html>"""
