@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.sources.vectorfiles import vector_lines
+
 POSTS_RAW = """
     id long, lang string, created_at string, source string, text string, truncated boolean,
     extended_tweet struct<full_text: string>,
@@ -56,18 +58,15 @@ def scan_category_csv(spark: SparkSession, path: str, schema: str = DOMAIN_CATEG
 def scan_vectors(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """Word vectors as (word, vector): Parquet, or text lines ``word x1 x2 ...``.
 
-    A text file may start with its ``count dimension`` line.
+    A text file may start with its ``count dimension`` line; only a file's first line is taken
+    for one. Large files are read in ranges of bytes.
     """
     if form == "parquet":
         return spark.read.parquet(path).select("word", F.col("vector").cast("array<float>"))
     if form != "text":
         raise ValueError(f"unknown form {form!r}: use 'parquet' or 'text'")
     parts = F.split(F.rtrim(F.col("value")), " ")
-    return (
-        spark.read.text(path)
-        .where(~F.col("value").rlike(r"^\d+ \d+\s*$"))
-        .select(
-            parts[0].alias("word"),
-            F.slice(parts, F.lit(2), F.size(parts) - 1).cast("array<float>").alias("vector"),
-        )
+    return vector_lines(spark, path).select(
+        parts[0].alias("word"),
+        F.slice(parts, F.lit(2), F.size(parts) - 1).cast("array<float>").alias("vector"),
     )
