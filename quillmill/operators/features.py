@@ -128,10 +128,26 @@ def vocab_size(bag: DataFrame, approximate: bool = False) -> DataFrame:
     return bag.agg(count.alias("vocab_size"))
 
 
+def fitted_values(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
+    """The different values of a column that are not null, sorted by code point.
+
+    They are to become columns, so more than ``limit`` of them are an error, not cut off; no
+    more than one beyond the limit comes to the driver.
+    """
+    found = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{column!r} has more than {limit} values, too many for a column each")
+    return sorted(row[0] for row in found)
+
+
 def dense_matrix(
-    docs: DataFrame, matrix: DataFrame, vocab: list[str], value_col: str, id_col: str = "doc_id"
+    docs: DataFrame, matrix: DataFrame, vocab: list[str] | None, value_col: str, id_col: str = "doc_id"
 ) -> DataFrame:
-    """A row per document and a column per term of a given vocabulary; 0 if absent."""
+    """A row per document and a column per term; 0 if absent.
+
+    The terms are those of ``vocab``, or without one all that ``matrix`` holds.
+    """
+    vocab = fitted_values(matrix, "term") if vocab is None else vocab
     wide = matrix.groupBy(id_col).pivot("term", vocab).agg(F.first(value_col))
     return docs.select(id_col).join(wide, id_col, "left").na.fill(0)
 
@@ -182,7 +198,11 @@ def label_encode(df: DataFrame, column: str, key: list[str]) -> DataFrame:
     return coded.select(*key, column, "label_id")
 
 
-def one_hot_categories(df: DataFrame, column: str, values: list[str], key: list[str]) -> DataFrame:
-    """A 0/1 column for each of the given values, in sorted order."""
+def one_hot_categories(df: DataFrame, column: str, values: list[str] | None, key: list[str]) -> DataFrame:
+    """A 0/1 column for each of the given values, or without them for all the column holds, in sorted order.
+
+    A null, and a value that is not among those given, has a 0 in every column.
+    """
+    values = fitted_values(df, column) if values is None else values
     flags = [F.coalesce(F.col(column) == v, F.lit(False)).cast("int").alias(v) for v in sorted(values)]
     return df.select(*key, *flags)

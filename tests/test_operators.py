@@ -306,6 +306,20 @@ def test_every_term_takes_part(spark):
     assert {"late", "late phrase"} <= {r.phrase for r in found}
 
 
+def test_columns_are_fitted(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "Z"), (5, "a")], "id int, kind string")
+    hot = FE.one_hot_categories(rows, "kind", None, ["id"]).orderBy("id")
+    assert hot.columns == ["id", "Z", "a", "b"]
+    assert [tuple(r) for r in hot.collect()] == [(1, 0, 0, 1), (2, 0, 1, 0), (3, 0, 0, 0), (4, 1, 0, 0), (5, 0, 1, 0)]
+    assert FE.one_hot_categories(rows.limit(0), "kind", None, ["id"]).columns == ["id"]
+    with pytest.raises(ValueError, match="more than 2 values"):
+        FE.fitted_values(rows, "kind", 2)
+    texts = docs(spark, ["bb aa bb", "", "cc"])
+    dense = FE.dense_matrix(texts, FE.bag_of_words(texts), None, "count").orderBy("doc_id")
+    assert dense.columns[1:] == ["aa", "bb", "cc"]
+    assert [tuple(r)[1:] for r in dense.collect()] == [(1, 2, 0), (0, 0, 0), (0, 0, 1)]
+
+
 # --- vectors and sources ------------------------------------------------------------
 def test_vectors(spark):
     vectors = spark.createDataFrame(
