@@ -1,15 +1,18 @@
-"""Fitted models, sketches and posts of unlike shapes."""
+"""Fitted models, sketches, posts of unlike shapes, other scripts, and word tables from SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.corpus import ENTITY_MAPS, FOUND, NOUN_MAPS, _map_text, clean_docs, gazetteer, tags
 from catalog.features import IDF, docs
-from catalog.registry import dealt, query, table
+from catalog.registry import dealt, query, quoted, table
 from catalog.scalars import TOKENS_SQL
+from quillmill.functions import scripts as SC
 from quillmill.functions.tokens import tokenize_words
 from quillmill.operators import sketches as SK
 from quillmill.operators import tagging as TG
+from quillmill.operators.sqllookups import register_lookups
 from quillmill.operators.vectorizers import TextVectorizer, TextVectorizerModel, model_path
 from quillmill.plans.storage import new_path
 from quillmill.sources import variants as VA
@@ -193,3 +196,58 @@ def scan_variants(spark, sf_dir):
 def drift_report(spark, sf_dir):
     declared = {"id": "BIGINT", "lang": "STRING", "n": "BIGINT", "place": "STRING"}
     return VA.drift_report(_unlike(spark, sf_dir), declared)
+
+
+# --- other scripts ------------------------------------------------------------------
+# The documents' Latin letters as letters of four scripts, by document (test values).
+LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGH"
+SCRIPTS = [
+    "абцдефгхийклмнопюрстувшызАЖЦДЕФГЩ", "αβψδεφγηιθκλμνοπχρστυξωύζΑΒΨΔΕΦΓΉ",
+    "あばちだえふがはいじかラマナオパキュロサタウヴわヤざアブチデエフガハ", "가박찬댅에팥궑하이즈칼랇망높옷픽뀨롬삶특웋뷁왜얍쥐각힣차다한국어힐",
+]
+
+
+def _scripted(translate: str) -> str:
+    cases = " ".join(f"when doc_id % 5 = {k} then {translate.format(to=letters)}" for k, letters in enumerate(SCRIPTS))
+    return f"concat(text, ' | ', case {cases} else text end)"
+
+
+SCRIPTED = _scripted(f"translate(text, '{LATIN}', '{{to}}')")
+# one map of all letters, and the syllables from their parts in order
+LETTERS = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in SC.spellings().items()) + "}"
+SYLLABLE_ROWS = f"""syllables as materialized (select map(list(chr(({SC.HANGUL} + (i - 1) * {len(SC.VOWELS) * len(SC.FINALS)}
+    + (v - 1) * {len(SC.FINALS)} + f - 1)::int)), list(a[i] || b[v] || c[f])) as h
+  from (select {SC.INITIALS} as a, {SC.VOWELS} as b, {SC.FINALS} as c), range(1, {len(SC.INITIALS) + 1}) r1(i),
+    range(1, {len(SC.VOWELS) + 1}) r2(v), range(1, {len(SC.FINALS) + 1}) r3(f))"""
+
+
+@query(
+    "spell_in_latin",
+    f"""with {SYLLABLE_ROWS}, letters as materialized (select {LETTERS} as m),
+    single as (select doc_id, {SCRIPTED} as text from documents),
+    used as materialized (select c, coalesce(m[c], h[c], c) as spelt from (
+      select distinct unnest(string_split(text, '')) as c from single) cross join letters cross join syllables),
+    cut as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as p from single
+      where length(text) > 0)
+    select doc_id, coalesce(latin, case when text is null then 'NULL' else '' end) as latin from single left join (
+      select doc_id, string_agg(spelt, '' order by p) as latin from cut join used using (c) group by doc_id) using (doc_id)""",
+)
+def spell_in_latin(spark, sf_dir):
+    texts = docs(spark, sf_dir).select("doc_id", F.expr(SCRIPTED).alias("text"))
+    return texts.select("doc_id", SC.spell_in_latin("text").alias("latin"))
+
+
+# --- word tables from SQL -----------------------------------------------------------
+@query(
+    "sql_lookups",
+    f"""with recursive {FOUND}, {ENTITY_MAPS}, {NOUN_MAPS} select doc_id, coalesce(entities, '') as entities,
+      coalesce(nouns, '') as nouns
+    from clean left join entity_maps using (doc_id) left join noun_maps using (doc_id)""",
+)
+def sql_lookups(spark, sf_dir):
+    register_lookups(spark, gazetteer(spark), tags(spark))
+    clean_docs(spark, sf_dir).createOrReplaceTempView("clean_docs_view")
+    found = spark.sql(
+        "select doc_id, get_ner_spacy_udf(text) as entities, get_noun_spacy_udf(text) as nouns from clean_docs_view"
+    )
+    return found.withColumns({"entities": _map_text("entities"), "nouns": _map_text("nouns")})

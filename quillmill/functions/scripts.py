@@ -104,10 +104,16 @@ def spell_in_latin(text: Column | str, null_token: str | None = P.NULL_TOKEN) ->
     column = F.col(text) if isinstance(text, str) else text
     column = column if null_token is None else F.coalesce(column, F.lit(null_token))
 
+    singles = {letter: spelt for letter, spelt in spellings().items() if len(spelt) == 1}
+
+    def taken_apart(text: Column) -> Column:
+        parts = F.split(text, f"(?={OTHER_SCRIPT})|(?<={OTHER_SCRIPT})")
+        spelt = F.transform(parts, lambda part: F.when(part.rlike(f"^{OTHER_SCRIPT}"), _letter(part)).otherwise(part))
+        return F.when(text.rlike(OTHER_SCRIPT), F.array_join(spelt, "")).otherwise(text)
+
     def spelt(text: Column) -> Column:
-        # only the runs of such letters are taken apart
-        letters = F.split(text, f"(?={OTHER_SCRIPT})|(?<={OTHER_SCRIPT})")
-        latin = F.array_join(F.transform(letters, lambda part: F.when(part.rlike(f"^{OTHER_SCRIPT}"), _letter(part)).otherwise(part)), "")
-        return F.when(text.rlike(OTHER_SCRIPT), latin).otherwise(text)
+        # letters that are one Latin letter go in one pass, only the others are taken apart
+        shortened = F.translate(text, "".join(singles), "".join(singles.values()))
+        return F.when(text.rlike(OTHER_SCRIPT), bind(shortened, taken_apart)).otherwise(text)
 
     return bind(column, spelt)

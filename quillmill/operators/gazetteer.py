@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.tokens import split_words
@@ -113,6 +114,18 @@ def placed(text: str, words: list[str], hits: list[tuple[int, int, str, str]]) -
     ]
 
 
+def small_automaton(spark: SparkSession, gazetteer: DataFrame) -> Broadcast[Automaton] | None:
+    """The automaton of a gazetteer, broadcast; None if its tables are too large, which is measured first."""
+    transitions, outputs = automaton_tables(cut_lineage(listed_phrases(gazetteer)))
+    letters = lambda *names: sum((F.octet_length(n) for n in names), F.lit(ENTRY_BYTES))
+    sizes = transitions.select(letters("state", "word", "next").alias("b")).union(
+        outputs.select(letters("state", "phrase", "label").alias("b"))
+    )
+    if (sizes.agg(F.sum("b")).first()[0] or 0) > TABLE_BYTES:
+        return None
+    return spark.sparkContext.broadcast(Automaton(transitions.collect(), outputs.collect()))
+
+
 def with_hits(docs: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """(doc, hits) for each row, with the phrases found in its text; None if the gazetteer is too large.
 
@@ -120,15 +133,10 @@ def with_hits(docs: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str)
     read where they lie, so nothing is shuffled and ids may repeat.
     """
     spark = docs.sparkSession
-    transitions, outputs = automaton_tables(cut_lineage(listed_phrases(gazetteer)))
-    letters = lambda *names: sum((F.octet_length(n) for n in names), F.lit(ENTRY_BYTES))
-    sizes = transitions.select(letters("state", "word", "next").alias("b")).union(
-        outputs.select(letters("state", "phrase", "label").alias("b"))
-    )
-    if (sizes.agg(F.sum("b")).first()[0] or 0) > TABLE_BYTES:
+    automaton = small_automaton(spark, gazetteer)
+    if automaton is None:
         return None
     ship(spark)
-    automaton = spark.sparkContext.broadcast(Automaton(transitions.collect(), outputs.collect()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([

@@ -250,11 +250,16 @@ def extract_entities(
     return hits.select(id_col, F.map_from_entries(F.sort_array(pairs)).alias("entities"))
 
 
+def noun_forms(tags: DataFrame) -> DataFrame:
+    """(form, tag): each form that a (form, pos) table lists as NOUN or PROPN; if as both, NOUN."""
+    return tags.where(F.col("pos").isin("NOUN", "PROPN")).groupBy("form").agg(F.min("pos").alias("tag"))
+
+
 def extract_nouns(
     docs: DataFrame, tags: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc, nouns): map word to NOUN or PROPN, by a (form, pos) table."""
-    nouns = tags.where(F.col("pos").isin("NOUN", "PROPN")).groupBy("form").agg(F.min("pos").alias("tag"))
+    nouns = noun_forms(tags)
     words = explode_tokens(docs, split_words(text_col), id_col).select(
         id_col, F.col("pos").alias("start"), F.col("term").alias("form")
     )

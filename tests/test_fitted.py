@@ -1,4 +1,4 @@
-"""Tags by context, saved vectorizers, sketches and posts of unlike shapes, on small tables."""
+"""Tags by context, saved vectorizers, sketches, variants, other scripts and word tables from SQL, on small tables."""
 
 import itertools
 import math
@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill.functions.scripts import spell_in_latin
 from quillmill.functions.tokens import split_words
+from quillmill.operators import lexicon as L
 from quillmill.operators import sketches as SK
 from quillmill.operators import tagging as TG
+from quillmill.operators.sqllookups import register_lookups
 from quillmill.operators.vectorizers import TextVectorizer, TextVectorizerModel, model_path
 from quillmill.plans.storage import new_path
 from quillmill.sources import variants as VA
@@ -159,3 +162,42 @@ def test_variants_of_unlike_lines(spark):
         ("a", "OBJECT", 1, "undeclared"), ("a", "BIGINT", 1, "undeclared"), ("new", "BOOLEAN", 1, "undeclared"),
         ("gone", None, 0, "missing"),
     }
+
+
+# --- other scripts ------------------------------------------------------------------
+SPELT = [
+    ("Привет, мир! Щука ёлка", "Privet, mir! Shchuka iolka"), ("Ελλάδα και ἀρχή Ψυχή", "Ellada kai arkhe Psukhe"),
+    ("ひらがな カタカナ きゃ", "hiragana katakana kiya"), ("한국어 가각힣", "hangugeo gagaghih"), ("plain é 漢 😀Ж", "plain é 漢 😀Zh"),
+    ("", ""), (None, "NULL"),
+]
+
+
+def test_other_scripts_are_spelt_in_latin(spark):
+    long = "Щи да каша 한국 " * 20_000
+    rows = [*SPELT, (long, "Shchi da kasha hangug " * 20_000)]
+    docs = spark.createDataFrame(rows, "text string, spelt string")
+    for row in docs.select("spelt", spell_in_latin("text").alias("found")).collect():
+        assert row.found == row.spelt
+    kept = docs.where("text is null").select(spell_in_latin("text", None).alias("x")).collect()
+    assert kept[0].x is None
+
+
+# --- word tables from SQL -----------------------------------------------------------
+def test_lookups_from_sql_are_those_of_the_operators(spark):
+    gazetteer = spark.createDataFrame(
+        [("new york", "GPE"), ("york", "LOC"), ("york city hall", "FAC"), ("anna", "PERSON")], "phrase string, label string"
+    )
+    tags = spark.createDataFrame([("anna", "PROPN"), ("dog", "NOUN"), ("the", "DET")], "form string, pos string")
+    rows = [(1, "the dog of new york city hall anna dog"), (2, "new york york"), (3, None), (4, ""), (4, "dog"), (5, "dog anna " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    register_lookups(spark, gazetteer, tags)
+    docs.createOrReplaceTempView("lookup_docs")
+    found = spark.sql("select doc_id, get_ner_spacy_udf(text) as e, get_noun_spacy_udf(text) as n from lookup_docs").collect()
+
+    def sorted_maps(rows):
+        return sorted((r[0], sorted(r[1].items())) for r in rows)
+
+    assert sorted_maps((r.doc_id, r.e) for r in found) == sorted_maps(L.extract_entities(docs, gazetteer).collect())
+    alone = docs.where("doc_id <> 4")
+    assert sorted_maps((r.doc_id, r.n) for r in found if r.doc_id != 4) == sorted_maps(L.extract_nouns(alone, tags).collect())
+    assert [r.n for r in spark.sql("select get_noun_spacy_udf(text) as n from lookup_docs where false").collect()] == []
