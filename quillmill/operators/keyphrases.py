@@ -1,23 +1,27 @@
 """Key phrases: TextRank, SGRank and ranked keywords, and grouping of their variants.
 
-The word graph of a text never reaches beyond the text, so it is built and ranked inside
-its row, by array expressions: no shuffle, and no task holds more than one text at a time.
-Only the inverse document frequency of SGRank, and the groups of variants, are joins.
+The word graph of a text never reaches beyond the text: words are read by native expressions,
+and the graphs of a few texts at a time are ranked in Arrow batches (``wordgraphs``), without
+a shuffle. Only the inverse document frequency of SGRank, and the groups of variants, are joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.arrays import group_sorted, indexes, split_where
+from quillmill.functions.arrays import group_sorted, indexes
 from quillmill.functions.binding import bind
 from quillmill.functions.tokens import tokenize_words
+from quillmill.operators import wordgraphs as G
 from quillmill.operators.lexicon import lemma_of_word
 from quillmill.plans.components import components
 from quillmill.plans.joins import salted_join
+from quillmill.plans.shipping import ship
 from quillmill.plans.storage import cut_lineage
 
 # Function words that are never part of a phrase (fixed values).
@@ -54,116 +58,17 @@ def content_words(text_col: str, normalize: str | None) -> Column:
     )
 
 
-def occurrences(groups: Column) -> Column:
-    """Array of (pos, idx) in text order, from groups of (term, pos); idx is the group's number."""
-    numbered = F.transform(
-        groups,
-        lambda group, idx: F.transform(
-            group, lambda word: F.struct(word["pos"].alias("pos"), idx.alias("idx"))
-        ),
-    )
-    return F.sort_array(F.flatten(numbered))
-
-
-def links(
-    places: Column, window_size: int, per_pos: int, weight: Callable, binary: bool
-) -> Column:
-    """Per term an array of links (b, weight) to the terms closer than ``window_size``.
-
-    ``places`` are sorted (pos, idx), numbered from 0 without gaps, with at most ``per_pos``
-    of them at one position; so the places in the window are among the next few of the array.
-    """
-    reach = (window_size - 1) * per_pos + per_pos - 1
-
-    def near(i: Column) -> Column:
-        from_ = F.greatest(i - reach, F.lit(0))
-        around = F.slice(places, from_ + 1, i + reach + 1 - from_)
-
-        def of_place(place: Column) -> Column:
-            def distance(other: Column) -> Column:
-                return F.abs(other["pos"] - place["pos"])
-
-            others = F.filter(
-                around,
-                lambda other: (other["idx"] != place["idx"])
-                & distance(other).between(1, window_size - 1),
-            )
-            if binary:
-                return F.transform(others, lambda other: other["idx"])
-            return F.transform(
-                others,
-                lambda other: F.struct(
-                    other["idx"].alias("b"), weight(distance(other)).alias("weight")
-                ),
-            )
+def over_lists(of_slice: Callable, rows: Column, fields: str) -> Column:
+    """``of_slice`` over lists, by Arrow batches; gives an array of ``fields``, empty for a missing list."""
+    ship(SparkSession.active())
 
-        return bind(F.get(places, i), of_place)
+    def of_batch(batch: pa.Array) -> pa.Array:
+        return G.by_slices(of_slice, batch)
 
-    numbered = F.transform(places, lambda place, i: F.struct(place["idx"].alias("idx"), i.alias("i")))
-    found = F.transform(
-        group_sorted(numbered, "idx"),
-        lambda group: F.flatten(F.transform(group, lambda entry: near(entry["i"]))),
-    )
-    if not binary:
-        return found
-    return F.transform(
-        found,
-        lambda others: F.transform(
-            F.array_distinct(others), lambda b: F.struct(b.alias("b"), F.lit(1.0).alias("weight"))
-        ),
-    )
+    return F.arrow_udf(of_batch, f"array<struct<{fields}>>")(rows)
 
 
-def rank_terms(adjacency: Column, bases: Column, rounds: int, damping: float) -> Column:
-    """Array of ranks, one per term.
-
-    rank = (1 - damping) * base + damping * sum over links of weight / strength * rank,
-    all terms at once, a fixed number of rounds, starting from the base. Base weights are
-    scaled to sum to the number of terms.
-    """
-
-    def total(values: Column, value=lambda item: item) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda sum_, item: sum_ + value(item))
-
-    def with_shares(adjacency: Column) -> Column:
-        strength = F.transform(adjacency, lambda links_: total(links_, lambda link: link["weight"]))
-        return bind(
-            strength,
-            lambda strength: F.transform(
-                adjacency,
-                lambda links_: F.transform(
-                    links_,
-                    lambda link: F.struct(
-                        link["b"].alias("b"),
-                        (damping * link["weight"] / F.get(strength, link["b"])).alias("share"),
-                    ),
-                ),
-            ),
-        )
-
-    def rounds_over(shares: Column, base: Column) -> Column:
-        def one_round(ranks: Column, _round: Column) -> Column:
-            return F.zip_with(
-                shares,
-                base,
-                lambda links_, b: F.aggregate(
-                    links_,
-                    b * (1 - damping),
-                    lambda sum_, link: sum_ + link["share"] * F.get(ranks, link["b"]),
-                ),
-            )
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), base, one_round)
-
-    def scaled(bases: Column) -> Column:
-        return bind(
-            F.size(bases) / total(bases), lambda scale: F.transform(bases, lambda base: base * scale)
-        )
-
-    return bind(
-        bind(adjacency, with_shares),
-        lambda shares: bind(bind(bases, scaled), lambda base: rounds_over(shares, base)),
-    )
+PHRASES = "phrase: string, score: double"
 
 
 # --- TextRank -----------------------------------------------------------------------
@@ -182,61 +87,13 @@ def textrank_words(
     as they occur. ``position_bias`` favours early words: base weight 1/(pos + 1), summed.
     """
 
-    def base(group: Column) -> Column:
-        if not position_bias:
-            return F.lit(1.0)
-        return F.aggregate(group, F.lit(0.0), lambda sum_, word: sum_ + 1 / (word["pos"] + 1))
-
-    def ranked(groups: Column, places: Column) -> Column:
-        adjacency = links(places, window_size, 1, lambda distance: F.lit(1.0), binary)
-        ranks = rank_terms(adjacency, F.transform(groups, base), rounds, damping)
-
-        def word(place: Column, ranks: Column) -> Column:
-            return F.struct(
-                place["pos"].alias("pos"),
-                F.get(F.get(groups, place["idx"]), F.lit(0))["term"].alias("term"),
-                F.get(ranks, place["idx"]).alias("rank"),
-            )
-
-        return bind(ranks, lambda ranks: F.transform(places, lambda place: word(place, ranks)))
-
-    groups = group_sorted(content_words(text_col, normalize), "term")
-    return bind(
-        groups,
-        lambda groups: F.when(
-            F.size(groups) > 0, bind(occurrences(groups), lambda places: ranked(groups, places))
-        ),
-    )
+    def ranked(words: pa.Array) -> pa.Array:
+        texts = G.read(words)
+        single, rank = G.textrank(texts, window_size, position_bias, binary, rounds, damping)
+        terms = texts.terms.take(pa.array(texts.code))
+        return G.lists(texts.count, texts.doc, pos=texts.pos.astype(np.int32), term=terms, rank=rank[single.at[0]])
 
-
-def adjacent_runs(words: Column, score: Callable[[Column], Column]) -> Column:
-    """Array of (phrase, score): maximal runs of neighbouring words, equal phrases once."""
-    runs = split_where(words, lambda before, word: before["pos"] + 1 != word["pos"])
-
-    def phrase(run: Column) -> Column:
-        return F.struct(
-            F.array_join(F.transform(run, lambda word: word["term"]), " ").alias("phrase"),
-            score(run).alias("score"),
-        )
-
-    # within equal phrases the last one of the sorted group has the best score
-    equal = group_sorted(F.transform(runs, phrase), "phrase")
-    return F.transform(equal, lambda group: F.element_at(group, -1))
-
-
-def _sum_rank(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0.0), lambda sum_, word: sum_ + word["rank"])
-
-
-def best_phrases(phrases: Column, n: int) -> Column:
-    """The n best of an array of (phrase, score), by rounded score, then by phrase."""
-    ordered = F.sort_array(
-        F.transform(
-            phrases,
-            lambda p: F.struct((-_rounded(p["score"])).alias("key"), p["phrase"].alias("phrase"), p["score"].alias("score")),
-        )
-    )
-    return F.slice(ordered, 1, n)
+    return over_lists(ranked, content_words(text_col, normalize), "pos: int, term: string, rank: double")
 
 
 def phrase_rows(docs: DataFrame, phrases: Column, id_col: str) -> DataFrame:
@@ -249,9 +106,25 @@ def phrase_rows(docs: DataFrame, phrases: Column, id_col: str) -> DataFrame:
     )
 
 
-def textrank_phrases(text_col: str, topn: int, **options) -> Column:
-    words = textrank_words(text_col, **options)
-    return best_phrases(adjacent_runs(words, _sum_rank), topn)
+def textrank_phrases(
+    text_col: str,
+    topn: int,
+    window_size: int = 2,
+    position_bias: bool = False,
+    normalize: str | None = None,
+    binary: bool = True,
+    rounds: int = ROUNDS,
+    damping: float = DAMPING,
+) -> Column:
+    """Array of the best phrases, as ``keyphrases_textrank`` has them."""
+
+    def phrases(words: pa.Array) -> pa.Array:
+        texts = G.read(words)
+        single, rank = G.textrank(texts, window_size, position_bias, binary, rounds, damping)
+        every = np.ones(len(texts.doc), bool)
+        return G.best_runs(texts, rank[single.at[0]], every, False, topn, SCORE_DIGITS)
+
+    return over_lists(phrases, content_words(text_col, normalize), PHRASES)
 
 
 def keyphrases_textrank(
@@ -279,21 +152,16 @@ def keywords_ranked(
 
 def ranked_keywords(text_col: str, words: int, normalize: str | None, window_size: int = 2) -> Column:
     """Array of the best keywords, as ``keywords_ranked`` has them."""
-    ranked = textrank_words(text_col, window_size, normalize=normalize, binary=False)
 
-    def keywords(ranked: Column) -> Column:
-        terms = F.transform(
-            ranked,
-            lambda word: F.struct((-_rounded(word["rank"])).alias("key"), word["term"].alias("term")),
-        )
-        ordered = F.transform(F.sort_array(terms), lambda term: term["term"])
-        best = F.slice(F.array_distinct(ordered), 1, words)
-        return bind(
-            best, lambda best: F.filter(ranked, lambda word: F.array_contains(best, word["term"]))
-        )
+    def keywords(content: pa.Array) -> pa.Array:
+        texts = G.read(content)
+        single, rank = G.textrank(texts, window_size, False, False, ROUNDS, DAMPING)
+        chosen = np.zeros(len(rank), bool)
+        chosen[G.best(single.doc, rank, np.arange(len(rank)), words, SCORE_DIGITS)] = True
+        number = single.at[0]
+        return G.best_runs(texts, rank[number], chosen[number], True, words, SCORE_DIGITS)
 
-    phrases = adjacent_runs(bind(ranked, keywords), lambda run: _sum_rank(run) / F.size(run))
-    return best_phrases(phrases, words)
+    return over_lists(keywords, content_words(text_col, normalize), PHRASES)
 
 
 # --- SGRank -------------------------------------------------------------------------
@@ -337,45 +205,20 @@ def sgrank_weight(term: Column) -> Column:
 
 
 def sgrank_phrases(
-    weighted: Column, topn: int, window_size: int, per_pos: int, rounds: int, damping: float
+    text_col: str,
+    topn: int,
+    window_size: int,
+    ngrams: tuple[int, ...],
+    normalize: str | None,
+    rounds: int = ROUNDS,
+    damping: float = DAMPING,
 ) -> Column:
-    """The best phrases from an array of (key, gram, weight, positions); every term takes part."""
-    kept = F.sort_array(weighted)
+    """Array of the best phrases, as ``keyphrases_sgrank`` without idf has them."""
 
-    def ranked(terms: Column) -> Column:
-        groups = F.transform(
-            terms,
-            lambda term: F.transform(term["positions"], lambda pos: F.struct(pos.alias("pos"))),
-        )
-        adjacency = bind(
-            occurrences(groups),
-            lambda places: links(
-                places,
-                window_size,
-                per_pos,
-                lambda distance: F.log2(1 + F.lit(float(window_size)) / distance),
-                binary=False,
-            ),
-        )
-        ranks = rank_terms(adjacency, F.transform(terms, lambda t: t["weight"]), rounds, damping)
-        scored = F.zip_with(
-            terms, ranks, lambda t, rank: F.struct(t["gram"].alias("phrase"), rank.alias("score"))
-        )
-        return best_phrases(scored, topn)
+    def phrases(words: pa.Array) -> pa.Array:
+        return G.sgrank(G.read(words), ngrams, topn, window_size, rounds, damping, SCORE_DIGITS)
 
-    return bind(kept, lambda terms: F.when(F.size(terms) > 0, ranked(terms)))
-
-
-def _candidate(term: Column, weight: Column) -> Column:
-    return bind(
-        weight,
-        lambda weight: F.struct(
-            (-_rounded(weight)).alias("key"),
-            term["gram"].alias("gram"),
-            weight.alias("weight"),
-            term["positions"].alias("positions"),
-        ),
-    )
+    return over_lists(phrases, content_words(text_col, normalize), PHRASES)
 
 
 def keyphrases_sgrank(
@@ -398,14 +241,10 @@ def keyphrases_sgrank(
     weight as base. Without ``use_idf`` a document needs nothing but itself.
     """
     ngrams = (ngrams,) if isinstance(ngrams, int) else tuple(ngrams)
-    rule = {
-        "topn": topn, "window_size": window_size, "per_pos": len(ngrams),
-        "rounds": rounds, "damping": damping,
-    }
-    terms = phrase_ngrams(text_col, ngrams, normalize)
     if not use_idf:
-        weighted = F.transform(terms, lambda term: _candidate(term, sgrank_weight(term)))
-        return phrase_rows(docs, sgrank_phrases(weighted, **rule), id_col)
+        best = sgrank_phrases(text_col, topn, window_size, ngrams, normalize, rounds, damping)
+        return phrase_rows(docs, best, id_col)
+    terms = phrase_ngrams(text_col, ngrams, normalize)
     term = F.col("term")
     rows = docs.select(id_col, F.explode(terms).alias("term")).select(
         id_col,
@@ -426,11 +265,12 @@ def keyphrases_sgrank(
     spread = found.select(id_col, "gram", weight.alias("weight"), "positions").repartition(
         partitions, id_col
     )
-    candidate = F.struct(
-        (-_rounded(F.col("weight"))).alias("key"), "gram", "weight", "positions"
-    )
-    grouped = spread.groupBy(id_col).agg(F.collect_list(candidate).alias("weighted"))
-    return phrase_rows(grouped, sgrank_phrases(F.col("weighted"), **rule), id_col)
+    grouped = spread.groupBy(id_col).agg(F.collect_list(F.struct("gram", "weight", "positions")).alias("weighted"))
+
+    def phrases(weighted: pa.Array) -> pa.Array:
+        return G.sgrank_weighted(weighted, topn, window_size, len(ngrams), rounds, damping, SCORE_DIGITS)
+
+    return phrase_rows(grouped, over_lists(phrases, F.col("weighted"), PHRASES), id_col)
 
 
 # --- both, per document -------------------------------------------------------------
@@ -451,9 +291,7 @@ def extract_keyphrases(
     ngrams: tuple[int, ...] = (1, 2, 3),
 ) -> DataFrame:
     """All columns and ``keyphrases`` (the TextRank and the SGRank list) and ``keywords`` (ranked)."""
-    terms = phrase_ngrams(text_col, ngrams, normalize)
-    weighted = F.transform(terms, lambda term: _candidate(term, sgrank_weight(term)))
-    sgrank = sgrank_phrases(weighted, topn, window_size, len(ngrams), ROUNDS, DAMPING)
+    sgrank = sgrank_phrases(text_col, topn, window_size, ngrams, normalize)
 
     def names(phrases: Column) -> Column:
         none = F.array().cast("array<string>")
