@@ -8,17 +8,18 @@ in step.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.arrays import group_sorted
 from quillmill.functions.tokens import tokenize_words
 from quillmill.operators.features import fitted_values
-from quillmill.operators.lexicon import _as_map
 from quillmill.plans.joins import lookup_join
 from quillmill.plans.shipping import ship
 from quillmill.plans.storage import cut_lineage
@@ -26,6 +27,7 @@ from quillmill.plans.storage import cut_lineage
 # where a sentence ends
 SENTENCE_END = r"[.!?\n]+"
 MAX_TAGS = 64
+SLICE = 1 << 17  # words of texts that are decoded together
 
 
 class TagModel(NamedTuple):
@@ -54,10 +56,10 @@ def fit_tagger(annotated: DataFrame, sentence: list[str]) -> TagModel:
     and a sentence goes on behind them. An annotated table without words is an error.
     """
     rows = annotated.where(F.col("form").isNotNull() & F.col("tag").isNotNull())
-    tags = fitted_values(rows, "tag", MAX_TAGS)
+    counts = cut_lineage(rows.groupBy("form", "tag").agg(F.count(F.lit(1)).alias("n")))
+    tags = fitted_values(counts, "tag", MAX_TAGS)
     if not tags:
         raise ValueError("no annotated words")
-    counts = cut_lineage(rows.groupBy("form", "tag").agg(F.count(F.lit(1)).alias("n")))
     n_forms = counts.agg(F.count_distinct("form")).first()[0]
     per_tag = {r["tag"]: r["n"] for r in counts.groupBy("tag").agg(F.sum("n").alias("n")).collect()}
     totals = [per_tag[tag] + n_forms for tag in tags]
@@ -77,12 +79,14 @@ def _transitions(rows: DataFrame, sentence: list[str], tags: list[str]) -> tuple
 
     The words of a sentence are gathered in order: a sentence is a row anyway when it is decoded.
     """
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag"))), lambda w: w["tag"])
+    number = F.array_position(F.array(*[F.lit(tag) for tag in tags]), F.col("tag")).cast("tinyint")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", number.alias("tag")))), lambda w: w["tag"])
     lines = rows.groupBy(*sentence).agg(ordered.alias("tags"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("tags", F.lit(1), F.size("tags") - 1))
+    before = F.concat(F.array(F.lit(None).cast("tinyint")), F.slice("tags", F.lit(1), F.size("tags") - 1))
     pairs = lines.select(F.inline(F.arrays_zip(before.alias("a"), F.col("tags").alias("b"))))
     # at most one row per pair of tags
-    n = {(r["a"], r["b"]): r["n"] for r in pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    name = {None: None} | dict(enumerate(tags, 1))
+    n = {(name[r["a"]], name[r["b"]]): r["n"] for r in pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def row(a: str | None) -> list[int]:
         total = sum(n.get((a, b), 0) for b in tags) + len(tags)
@@ -125,10 +129,76 @@ def best_paths(scores: np.ndarray, sizes: np.ndarray, first: np.ndarray, followi
     return path
 
 
-def sentence_words(docs: DataFrame, id_col: str, text_col: str, words: Callable[[Column], Column]) -> DataFrame:
-    """(doc, sentence, pos, form): the words of each sentence, both numbered from 0."""
-    lines = docs.select(id_col, F.posexplode(F.split(text_col, SENTENCE_END)).alias("sentence", "_line"))
-    return lines.select(id_col, "sentence", F.posexplode(words(F.col("_line"))).alias("pos", "form"))
+def looked_up(known: pa.Array, forms: pa.Array, row: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """The scores of each form, ``row`` being its row, from the row's list of (form, scores)."""
+    flat = known.flatten()
+    entries = len(flat)
+    of = np.repeat(np.arange(len(known)), pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False))
+    coded = pa.concat_arrays([flat.field("form"), forms]).dictionary_encode()
+    key = np.concatenate([of, row]) * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key[:entries])
+    place = np.searchsorted(key[:entries][order], key[entries:])
+    held = np.append(key[:entries][order], -1)
+    table = flat.field("scores").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(unknown))
+    table = np.concatenate([table[order], unknown[None]])
+    return table[np.where(held[place] == key[entries:], place, entries)]
+
+
+def decoded(docs: DataFrame, model: TagModel, id_col: str, text_col: str, words: Callable[[Column], Column]) -> DataFrame:
+    """(doc, sentences, tags): for each row the words of its sentences, and a tag for each in one list.
+
+    Only a row's different words meet the word table; their scores come back to the row as one
+    list, and no word is shuffled once it has its tag.
+    """
+    ship(docs.sparkSession)
+    # ids may repeat, and the row number must not change when a lost task runs again
+    rows = cut_lineage(docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    sentences = F.transform(F.split(text_col, SENTENCE_END), words)
+    forms = rows.select("_row", F.explode(F.array_distinct(F.flatten(sentences))).alias("form"))
+    scored = lookup_join(forms, model.words, "form").groupBy("_row").agg(
+        F.collect_list(F.struct("form", "scores")).alias("known")
+    )
+    met = rows.select(id_col, "_row", sentences.alias("sentences")).join(scored, "_row", "left").drop("_row")
+    tags, first, following = model.tags, np.array(model.first), np.array(model.following)
+    unknown = np.array(model.unknown)
+
+    def paths(sentences: pa.Array, known: pa.Array) -> pa.Array:
+        lines = sentences.flatten()
+        forms = lines.flatten()
+        per_row = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+        row_of_line = np.repeat(np.arange(len(sentences)), per_row)
+        table = looked_up(known, forms, np.repeat(row_of_line, sizes), unknown)
+        path = best_paths(table, sizes, first, following)
+        ends = np.cumsum(np.bincount(row_of_line, sizes, len(sentences))).astype(np.int32)
+        found = pa.DictionaryArray.from_arrays(pa.array(path, pa.int32()), pa.array(tags, pa.string())).cast(pa.string())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), found)
+
+    def decode(sentences: pa.Array, known: pa.Array) -> pa.Array:
+        lines = np.cumsum(pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False))
+        words_to = np.concatenate([[0], np.cumsum(pc.list_value_length(sentences.flatten()).to_numpy(zero_copy_only=False))])
+        cuts = [0, *(np.flatnonzero(np.diff(words_to[lines] // SLICE)) + 1).tolist(), len(sentences)]
+        parts = [paths(sentences[a:b], known[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        return pa.concat_arrays(parts or [paths(sentences, known)])
+
+    return met.select(id_col, "sentences", F.arrow_udf(decode, "array<string>")("sentences", "known").alias("tags"))
+
+
+def placed_tags(sentences: Column, tags: Column) -> Column:
+    """Array of (sentence, pos, form, tag), in the order of the text."""
+    words = F.flatten(
+        F.transform(
+            sentences,
+            lambda line, s: F.transform(
+                line, lambda form, pos: F.struct(s.alias("sentence"), pos.alias("pos"), form.alias("form"))
+            ),
+        )
+    )
+    return F.zip_with(
+        words,
+        tags,
+        lambda word, tag: F.struct(word["sentence"].alias("sentence"), word["pos"].alias("pos"), word["form"].alias("form"), tag.alias("tag")),
+    )
 
 
 def tag_words(
@@ -140,47 +210,31 @@ def tag_words(
     Each row of ``docs`` is tagged on its own, also where ids repeat or are null. A missing or
     empty text has no words. Words the model does not know have the scores of a word seen never.
     """
-    ship(docs.sparkSession)
-    # ids may repeat, and the row number must not change when a lost task runs again
-    rows = cut_lineage(docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
-    placed = sentence_words(rows, "_row", text_col, words)
-    unknown = F.lit(model.unknown).cast("array<bigint>")
-    scored = lookup_join(placed, model.words, "form", "left").withColumn("scores", F.coalesce("scores", unknown))
-    entry = F.struct("pos", "form", "scores")
-    lines = scored.groupBy("_row", "sentence").agg(F.sort_array(F.collect_list(entry)).alias("_words"))
-    lines = lines.select(
-        "_row", "sentence", F.col("_words.form").alias("forms"), F.flatten("_words.scores").alias("scores")
-    )
-    tags, first, following = model.tags, np.array(model.first), np.array(model.following)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(tags, object)
-        for batch in batches:
-            forms, scores = batch.column("forms"), batch.column("scores")
-            sizes = np.diff(forms.offsets.to_numpy())
-            table = scores.flatten().to_numpy().reshape(-1, len(tags))
-            path = best_paths(table, sizes, first, following)
-            found = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(names[path], pa.string())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("sentence"), forms, found], ["_row", "sentence", "forms", "tags"]
-            )
-
-    schema = "_row bigint, sentence int, forms array<string>, tags array<string>"
-    decoded = lines.mapInArrow(decode, schema)
-    zipped = F.arrays_zip(F.col("forms").alias("form"), F.col("tags").alias("tag"))
-    placed = decoded.select("_row", "sentence", F.posexplode(zipped).alias("pos", "_word"))
-    return rows.select("_row", id_col).join(placed, "_row").select(
-        id_col, "sentence", "pos", F.col("_word.form").alias("form"), F.col("_word.tag").alias("tag")
-    )
+    found = decoded(docs, model, id_col, text_col, words)
+    return found.select(id_col, F.inline(placed_tags(F.col("sentences"), F.col("tags"))))
 
 
 def nouns_in_context(
     docs: DataFrame, model: TagModel, id_col: str = "doc_id", text_col: str = "text",
     words: Callable[[Column], Column] = tokenize_words,
 ) -> DataFrame:
-    """(doc, nouns): map word to NOUN or PROPN for each different id, by its last such place in the text."""
-    tagged = tag_words(docs, model, id_col, text_col, words).where(F.col("tag").isin("NOUN", "PROPN"))
-    placed = tagged.withColumn("start", F.struct("sentence", "pos"))
-    return _as_map(placed, docs.select(id_col).distinct(), id_col, "form", "tag", "nouns")
+    """(doc, nouns): map word to NOUN or PROPN for each different id, by its last such place in the text.
+
+    Each row keeps the last place of its nouns before rows of one id meet. A missing id has no nouns.
+    """
+    found = decoded(docs, model, id_col, text_col, words)
+    nouns = F.filter(placed_tags(F.col("sentences"), F.col("tags")), lambda w: w["tag"].isin("NOUN", "PROPN"))
+    entries = F.transform(
+        nouns, lambda w: F.struct(w["form"].alias("form"), w["sentence"].alias("sentence"), w["pos"].alias("pos"), w["tag"].alias("tag"))
+    )
+
+    def last(entries: Column) -> Column:
+        return F.transform(group_sorted(entries, "form"), lambda group: F.element_at(group, -1))
+
+    none = F.array().cast("array<struct<form:string,sentence:int,pos:int,tag:string>>")
+    rows = found.select(id_col, F.coalesce(last(entries), none).alias("_nouns"))
+    merged = rows.groupBy(id_col).agg(F.collect_list("_nouns").alias("_rows")).select(
+        id_col, F.when(F.col(id_col).isNull(), none).when(F.size("_rows") == 1, F.get("_rows", F.lit(0))).otherwise(last(F.flatten("_rows"))).alias("_nouns")
+    )
+    pairs = F.transform("_nouns", lambda w: F.struct(w["form"], w["tag"]))
+    return merged.select(id_col, F.map_from_entries(pairs).alias("nouns"))
