@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +12,11 @@ from pyspark.sql import functions as F
 
 from quillmill.operators.features import explode_tokens
 from quillmill.plans.joins import lookup_join
+from quillmill.plans.shipping import ship
 from quillmill.plans.storage import cut_lineage
 
+STEP = 1 << 14  # words whose vectors are laid out together
+
 
 def vector_lookup(vectors: DataFrame, word: str, strict: bool = False) -> DataFrame:
     """The row of one word; ``strict`` makes an unknown word an error."""
@@ -56,11 +62,63 @@ def token_vector_or_zero(token_vectors: DataFrame, dim: int) -> DataFrame:
     return token_vectors.withColumn("vector", F.coalesce("vector", zeros))
 
 
+TABLE_BYTES = 64 << 20  # of the vectors of the words that occur; more are met by joins
+
+
 def mean_vector(
     docs: DataFrame, vectors: DataFrame, tokens: Column, dim: int, id_col: str = "doc_id"
 ) -> DataFrame:
     """(doc, vector): the mean over all tokens of a text, unknown tokens counting as zeros.
 
+    Only vectors of words that occur are needed. If they are small, which is measured, they are
+    broadcast and every text is summed where it lies, so that a text and not each of its words
+    goes through a shuffle with a vector.
+    """
+    texts = docs.select(id_col, tokens.alias("_tokens"))
+    occurring = texts.select(F.explode("_tokens").alias("word")).distinct()
+    needed = cut_lineage(vectors.select("word", "vector").where("vector is not null").join(occurring, "word", "left_semi"))
+    size = needed.agg(F.sum(F.octet_length("word") + 8 * dim)).first()[0] or 0
+    if size > TABLE_BYTES:
+        return _mean_by_joins(docs, needed, tokens, dim, id_col)
+    ship(docs.sparkSession)
+    held = needed.toArrow()
+    words = held["word"].combine_chunks().dictionary_encode()
+    table = np.zeros((len(words.dictionary) + 1, dim))  # the last row is that of unknown words
+    rows = pc.list_flatten(held["vector"]).to_numpy().astype(float).reshape(-1, dim)
+    np.add.at(table, words.indices.to_numpy(zero_copy_only=False), rows)  # a word listed twice counts twice
+    kept = docs.sparkSession.sparkContext.broadcast((words.dictionary, table))
+
+    def total(tokens: pa.Array) -> pa.Array:
+        names, table = kept.value
+        coded = tokens.flatten().dictionary_encode()
+        row = pc.fill_null(pc.index_in(coded.dictionary, names), len(names)).to_numpy(zero_copy_only=False)
+        row = np.append(row, len(names))[pc.fill_null(coded.indices, len(row)).to_numpy(zero_copy_only=False)]
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        sums = np.zeros((len(sizes), dim))
+        of, known = np.repeat(np.arange(len(sizes)), sizes), row < len(names)
+        of, row = of[known], row[known]
+        for at in range(0, len(row), STEP):
+            part = of[at : at + STEP]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            sums[part[starts]] += np.add.reduceat(table[row[at : at + STEP]], starts)
+        ends = np.arange(len(sizes) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sums.ravel()))
+
+    summed = texts.where(F.size("_tokens") > 0).select(
+        id_col, F.size("_tokens").alias("size"), F.arrow_udf(total, "array<double>")("_tokens").alias("total")
+    )
+    grouped = summed.groupBy(id_col).agg(F.sum("size").alias("size"), F.collect_list("total").alias("totals"))
+    added = F.aggregate(
+        F.slice("totals", F.lit(2), F.size("totals")),
+        F.get("totals", F.lit(0)),
+        lambda a, b: F.zip_with(a, b, lambda x, y: x + y),
+    )
+    return grouped.select(id_col, F.transform(added, lambda x: x / F.col("size")).alias("vector"))
+
+
+def _mean_by_joins(docs: DataFrame, vectors: DataFrame, tokens: Column, dim: int, id_col: str) -> DataFrame:
+    """``mean_vector`` for vectors of any size.
+
     Tokens are counted per text first, so each (text, word) pair meets its vector once;
     unknown ones carry no vector and only count. Sums are combined before the shuffle.
     """
