@@ -7,7 +7,7 @@ vocabulary given by the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import quick_preprocess
@@ -25,8 +25,15 @@ def explode_tokens(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> D
 def bag_of_words(
     docs: DataFrame, n: int = 1, binary: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc, term, count) of words or n-grams; ``binary`` gives 1 for each term present."""
-    terms = docs.select(id_col, F.explode(ngrams(tokenize_words(text_col), n)).alias("term"))
+    """(doc, term, count) of words or n-grams; ``binary`` gives 1 for each term present.
+
+    Texts are dealt by id and taken apart behind the shuffle, which so carries a text and not each
+    of its terms with the id; the counts need no other.
+    """
+    # a given number of partitions, not coalesced by bytes, as a text grows into many terms
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(id_col, F.col(text_col).alias("_text")).repartition(partitions, id_col)
+    terms = texts.select(id_col, F.explode(ngrams(tokenize_words("_text"), n)).alias("term"))
     if binary:
         return terms.distinct().withColumn("count", F.lit(1).cast("bigint"))
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("count"))
@@ -91,12 +98,13 @@ def tf_idf(
 ) -> DataFrame:
     """(doc, term, tf_idf), each document scaled to length 1.
 
-    The length of a document is a sum that is aggregated before it is joined back, so no
-    document's terms are ever gathered in one place.
+    Words meet their idf once; the length of a document is a sum over its rows where they are
+    brought together, so the join is not made a second time for it. A missing id has no rows.
     """
-    # read for the counts, for the lengths and for the result, and far cheaper read than counted
-    bag = cut_lineage(bag_of_words(docs, n, id_col=id_col, text_col=text_col))
+    # read for the counts and for the result, and far cheaper read than counted
+    bag = bag_of_words(docs, n, id_col=id_col, text_col=text_col)
     if use_idf:
+        bag = cut_lineage(bag)
         # a row per term, read twice by the join: cheaper written once than counted twice
         idf = cut_lineage(idf_smooth(bag, count_docs(docs, id_col)))
         counts = idf.select("term", F.col("df").alias("n"))
@@ -104,17 +112,10 @@ def tf_idf(
         weighted = weighted.withColumn("weight", F.col("count") * F.col("idf"))
     else:
         weighted = bag.withColumn("weight", F.col("count").cast("double"))
-    weighted = weighted.select(id_col, "term", "weight")
-    norms = cut_lineage(
-        weighted.groupBy(id_col).agg(
-            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
-    scaled = salted_join(
-        weighted, norms.select(id_col, "norm"), id_col, ["term"], norms.select(id_col, "n")
-    )
-    return scaled.select(id_col, "term", (F.col("weight") / F.col("norm")).alias("tf_idf"))
+    weight = F.col("weight")
+    norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(id_col)))
+    known = weighted.where(F.col(id_col).isNotNull())
+    return known.select(id_col, "term", (weight / norm).alias("tf_idf"))
 
 
 def matrix_shape(docs: DataFrame, bag: DataFrame, id_col: str = "doc_id") -> DataFrame:
