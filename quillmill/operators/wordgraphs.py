@@ -217,7 +217,10 @@ def sgrank_weighted(
     places = flat.field("positions")
     term = np.repeat(np.arange(len(doc)), lengths(places))
     pos = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((gram[term], pos, doc[term]))
+    # of one position the heavier first: which places are among the next few goes by it, where ids repeat
+    number = np.empty(len(doc), np.int64)
+    number[np.lexsort((base, gram, -np.floor(base * 10.0**digits + 0.5), doc))] = np.arange(len(doc))
+    order = np.lexsort((number[term], pos, doc[term]))
     term, pos = term[order], pos[order]
     of, found = doc[term], []
     for k in range(1, window_size * per_pos):
