@@ -7,6 +7,7 @@ a shuffle. Only the inverse document frequency of SGRank, and the groups of vari
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.arrays import group_sorted, indexes
+from quillmill.functions.arrays import indexes
 from quillmill.functions.binding import bind
 from quillmill.functions.tokens import tokenize_words
 from quillmill.operators import wordgraphs as G
@@ -45,7 +46,7 @@ def _rounded(score: Column) -> Column:
 
 
 # --- words and graph of one text ----------------------------------------------------
-def content_words(text_col: str, normalize: str | None) -> Column:
+def content_words(text_col: Column | str, normalize: str | None) -> Column:
     """Array of (term, pos) of the words that may be part of a phrase; pos counts all words."""
     tokens = tokenize_words(text_col)
     if normalize == "lemma":
@@ -58,17 +59,22 @@ def content_words(text_col: str, normalize: str | None) -> Column:
     )
 
 
-def over_lists(of_slice: Callable, rows: Column, fields: str) -> Column:
-    """``of_slice`` over lists, by Arrow batches; gives an array of ``fields``, empty for a missing list."""
+def over_lists(of_slice: Callable, rows: Column, kind: str, known: Column | None = None) -> Column:
+    """``of_slice`` over lists, by Arrow batches; gives an array of ``kind``, empty for a missing list."""
     ship(SparkSession.active())
 
     def of_batch(batch: pa.Array) -> pa.Array:
         return G.by_slices(of_slice, batch)
 
-    return F.arrow_udf(of_batch, f"array<struct<{fields}>>")(rows)
+    def of_both(batch: pa.Array, known: pa.Array) -> pa.Array:
+        return G.by_slices(of_slice, batch, known)
 
+    if known is None:
+        return F.arrow_udf(of_batch, f"array<{kind}>")(rows)
+    return F.arrow_udf(of_both, f"array<{kind}>")(rows, known)
 
-PHRASES = "phrase: string, score: double"
+
+PHRASES = "struct<phrase: string, score: double>"
 
 
 # --- TextRank -----------------------------------------------------------------------
@@ -93,7 +99,7 @@ def textrank_words(
         terms = texts.terms.take(pa.array(texts.code))
         return G.lists(texts.count, texts.doc, pos=texts.pos.astype(np.int32), term=terms, rank=rank[single.at[0]])
 
-    return over_lists(ranked, content_words(text_col, normalize), "pos: int, term: string, rank: double")
+    return over_lists(ranked, content_words(text_col, normalize), "struct<pos: int, term: string, rank: double>")
 
 
 def phrase_rows(docs: DataFrame, phrases: Column, id_col: str) -> DataFrame:
@@ -165,45 +171,6 @@ def ranked_keywords(text_col: str, words: int, normalize: str | None, window_siz
 
 
 # --- SGRank -------------------------------------------------------------------------
-def phrase_ngrams(text_col: str, ngrams: tuple[int, ...], normalize: str | None) -> Column:
-    """Array of (gram, n, positions) of runs of n content words."""
-
-    def of_size(words: Column, n: int) -> Column:
-        starts = F.filter(
-            indexes(words),
-            lambda i: F.get(words, i + n - 1)["pos"] - F.get(words, i)["pos"] == n - 1,
-        )
-
-        def gram(i: Column) -> Column:
-            terms = F.transform(F.slice(words, i + 1, n), lambda word: word["term"])
-            return F.struct(
-                F.array_join(terms, " ").alias("gram"),
-                F.get(words, i)["pos"].alias("pos"),
-                F.lit(n).alias("n"),
-            )
-
-        return F.transform(starts, gram)
-
-    grams = bind(
-        content_words(text_col, normalize),
-        lambda words: F.concat(*[of_size(words, n) for n in ngrams]),
-    )
-    return F.transform(
-        group_sorted(grams, "gram"),
-        lambda group: F.struct(
-            F.get(group, F.lit(0))["gram"].alias("gram"),
-            F.get(group, F.lit(0))["n"].alias("n"),
-            F.transform(group, lambda g: g["pos"]).alias("positions"),
-        ),
-    )
-
-
-def sgrank_weight(term: Column) -> Column:
-    """tf * length, and earlier first occurrences first: 1/log2(pos + 2)."""
-    first = F.get(term["positions"], F.lit(0))
-    return F.size(term["positions"]) * term["n"] / F.log2(first + 2)
-
-
 def sgrank_phrases(
     text_col: str,
     topn: int,
@@ -244,33 +211,31 @@ def keyphrases_sgrank(
     if not use_idf:
         best = sgrank_phrases(text_col, topn, window_size, ngrams, normalize, rounds, damping)
         return phrase_rows(docs, best, id_col)
-    terms = phrase_ngrams(text_col, ngrams, normalize)
-    term = F.col("term")
-    rows = docs.select(id_col, F.explode(terms).alias("term")).select(
-        id_col,
-        term["gram"].alias("gram"),
-        sgrank_weight(term).alias("own_weight"),
-        term["positions"].alias("positions"),
-    )
-    # read for the counts and for the join: the texts are taken apart once
-    rows = cut_lineage(rows)
-    df = cut_lineage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-    n_docs = docs.agg(F.count_distinct(id_col).alias("n_docs"))
-    idf = df.select("gram", (F.log((1 + n_docs.scalar()) / (1 + F.col("n"))) + 1).alias("idf"))
-    found = salted_join(rows, idf, "gram", [id_col], counts=df)
-    weight = F.col("own_weight") * F.col("idf")
+
+    def names(words: pa.Array) -> pa.Array:
+        return G.gram_names(G.read(words), ngrams)
+
+    # Only the grams go to their counts, and only those that several texts hold come back; weights
+    # and places are read from the text again, which is far smaller than they are.
+    own = docs.select(id_col, F.explode(over_lists(names, content_words(text_col, normalize), "string")).alias("gram"))
+    df = cut_lineage(own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    n_docs = docs.agg(F.count_distinct(id_col)).first()[0]
+    idf = df.select("gram", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("n"))) + 1).alias("idf"))
+    shared = salted_join(own, idf, "gram", [id_col], counts=df).select(id_col, F.struct("gram", "idf").alias("known"))
     # Ranking costs far more than its input is large: a given number of partitions, which is
     # not coalesced by bytes.
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = found.select(id_col, "gram", weight.alias("weight"), "positions").repartition(
-        partitions, id_col
+    both = shared.unionByName(docs.select(id_col, F.col(text_col).alias("text")), allowMissingColumns=True)
+    grouped = both.repartition(partitions, id_col).groupBy(id_col).agg(
+        F.collect_list("text").alias("texts"), F.collect_list("known").alias("known")
     )
-    grouped = spread.groupBy(id_col).agg(F.collect_list(F.struct("gram", "weight", "positions")).alias("weighted"))
+    words = F.transform("texts", lambda text: content_words(text, normalize))
+    once = math.log((1 + n_docs) / 2) + 1
 
-    def phrases(weighted: pa.Array) -> pa.Array:
-        return G.sgrank_weighted(weighted, topn, window_size, len(ngrams), rounds, damping, SCORE_DIGITS)
+    def phrases(rows: pa.Array, known: pa.Array) -> pa.Array:
+        return G.sgrank_idf(rows, known, once, ngrams, topn, window_size, rounds, damping, SCORE_DIGITS)
 
-    return phrase_rows(grouped, over_lists(phrases, F.col("weighted"), PHRASES), id_col)
+    return phrase_rows(grouped, over_lists(phrases, words, PHRASES, F.col("known")), id_col)
 
 
 # --- both, per document -------------------------------------------------------------

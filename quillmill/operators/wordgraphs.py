@@ -54,10 +54,9 @@ def lengths(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(words: pa.Array) -> Iterator[slice]:
-    """Neighbouring texts with some ``SLICE`` words together, and one text more at most."""
-    of_text = np.cumsum(lengths(words)) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(of_text)) + 1).tolist(), len(words)]
+def slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Neighbouring texts of ``sizes`` with some ``SLICE`` words together, and one text more at most."""
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1).tolist(), len(sizes)]
     return (slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
@@ -203,27 +202,52 @@ def sgrank(
     return lists(texts.count, found.doc[top], phrase=joined(texts, found.first[top], found.n[top]), score=score[top])
 
 
-def sgrank_weighted(
-    weighted: pa.Array, topn: int, window_size: int, per_pos: int, rounds: int, damping: float, digits: int
+def gram_names(texts: Texts, sizes: tuple[int, ...]) -> pa.Array:
+    """A list per text of its different n-grams."""
+    found = grams(texts, sizes)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(found.doc, minlength=texts.count))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), joined(texts, found.first, found.n))
+
+
+def looked_up(row: np.ndarray, names: pa.Array, known: pa.Array, otherwise: float) -> np.ndarray:
+    """The idf of each name, ``row`` being its row, from the rows' lists of (gram, idf)."""
+    flat = known.flatten()
+    entries = len(flat)
+    of = np.repeat(np.arange(len(known)), lengths(known))
+    coded = pa.concat_arrays([flat.field("gram"), names]).dictionary_encode()
+    key = np.concatenate([of, row]) * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key[:entries])
+    held = np.append(key[:entries][order], -1)
+    idf = np.append(flat.field("idf").to_numpy(zero_copy_only=False)[order], otherwise)
+    place = np.searchsorted(held[:-1], key[entries:])
+    return idf[np.where(held[place] == key[entries:], place, entries)]
+
+
+def sgrank_idf(
+    rows: pa.Array, known: pa.Array, otherwise: float, sizes: tuple[int, ...], topn: int, window_size: int, rounds: int,
+    damping: float, digits: int,
 ) -> pa.Array:
-    """Lists of (phrase, score) by SGRank from lists of (gram, weight, positions).
+    """Lists of (phrase, score) by SGRank with idf, from lists of texts and lists of (gram, idf).
 
-    With at most ``per_pos`` terms at one position, those in the window are among the next few places.
+    A row has one text, or those of an id that repeats; their terms stand side by side. ``otherwise``
+    is the idf of a gram that is not listed. With at most len(sizes) terms of one text at one
+    position, those in the window are among the next few places.
     """
-    flat = weighted.flatten()
-    doc = np.repeat(np.arange(len(weighted)), lengths(weighted))
-    gram, names = numbered(flat.field("gram"))
-    base = flat.field("weight").to_numpy(zero_copy_only=False)
-    places = flat.field("positions")
-    term = np.repeat(np.arange(len(doc)), lengths(places))
-    pos = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = read(rows.flatten())
+    found = grams(texts, sizes)
+    doc = np.repeat(np.arange(len(rows)), lengths(rows))[found.doc]
+    names = joined(texts, found.first, found.n)
+    base = found.times * found.n / np.log2(texts.pos[found.first] + 2) * looked_up(doc, names, known, otherwise)
+    gram, names = numbered(names)
+    _, word = np.nonzero(found.at >= 0)
+    term, pos = found.at[found.at >= 0], texts.pos[word]
     # of one position the heavier first: which places are among the next few goes by it, where ids repeat
     number = np.empty(len(doc), np.int64)
     number[np.lexsort((base, gram, -np.floor(base * 10.0**digits + 0.5), doc))] = np.arange(len(doc))
     order = np.lexsort((number[term], pos, doc[term]))
     term, pos = term[order], pos[order]
     of, found = doc[term], []
-    for k in range(1, window_size * per_pos):
+    for k in range(1, window_size * len(sizes)):
         i = np.arange(max(len(pos) - k, 0))
         far = pos[i + k] - pos[i]
         near = (of[i] == of[i + k]) & (far >= 1) & (far < window_size) & (term[i] != term[i + k])
@@ -231,10 +255,14 @@ def sgrank_weighted(
     edges = tuple(np.concatenate([f[c] for f in found]) for c in range(3))
     score = ranks(doc, base, edges, rounds, damping)
     top = best(doc, score, gram, topn, digits)
-    return lists(len(weighted), doc[top], phrase=names.take(pa.array(gram[top])), score=score[top])
+    return lists(len(rows), doc[top], phrase=names.take(pa.array(gram[top])), score=score[top])
 
 
-def by_slices(of_slice: Callable[[pa.Array], pa.Array], rows: pa.Array) -> pa.Array:
-    """``of_slice`` over a batch of lists, a slice at a time."""
-    found = [of_slice(rows[part]) for part in slices(rows)]
-    return pa.concat_arrays(found or [of_slice(rows)])
+def by_slices(of_slice: Callable[..., pa.Array], rows: pa.Array, *more: pa.Array) -> pa.Array:
+    """``of_slice`` over a batch of lists of words, or of lists of texts, a slice at a time."""
+    sizes = lengths(rows)
+    if pa.types.is_list(rows.type.value_type):
+        of_text = np.append(0, np.cumsum(lengths(rows.flatten())))
+        sizes = np.diff(of_text[np.append(0, np.cumsum(sizes))])
+    found = [of_slice(rows[part], *(m[part] for m in more)) for part in slices(sizes)]
+    return pa.concat_arrays(found or [of_slice(rows, *more)])
