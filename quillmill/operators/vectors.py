@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillmill.operators.features import explode_tokens
 from quillmill.plans.joins import lookup_join
 from quillmill.plans.shipping import ship
-from quillmill.plans.storage import cut_lineage
+from quillmill.plans.storage import cut_lineage, new_path
 
 STEP = 1 << 14  # words whose vectors are laid out together
 
@@ -74,12 +74,15 @@ def mean_vector(
     broadcast and every text is summed where it lies, so that a text and not each of its words
     goes through a shuffle with a vector.
     """
-    texts = docs.select(id_col, tokens.alias("_tokens"))
+    # read for the words that occur and for the sums; as a table, whose columns are written compressed
+    path = new_path(docs.sparkSession, "tokens")
+    docs.select(id_col, tokens.alias("_tokens")).write.parquet(path)
+    texts = docs.sparkSession.read.parquet(path)
     occurring = texts.select(F.explode("_tokens").alias("word")).distinct()
     needed = cut_lineage(vectors.select("word", "vector").where("vector is not null").join(occurring, "word", "left_semi"))
     size = needed.agg(F.sum(F.octet_length("word") + 8 * dim)).first()[0] or 0
     if size > TABLE_BYTES:
-        return _mean_by_joins(docs, needed, tokens, dim, id_col)
+        return _mean_by_joins(texts, needed, F.col("_tokens"), dim, id_col)
     ship(docs.sparkSession)
     held = needed.toArrow()
     words = held["word"].combine_chunks().dictionary_encode()
