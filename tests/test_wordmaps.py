@@ -52,3 +52,13 @@ def test_counts_of_the_caller_are_used(texts, listed):
     counts = S.word_counts(words).where("word <> 'teh'")
     left = dict(map(tuple, S.correct_spelling(words.where("doc_id = 1"), listed, counts=counts).collect()))
     assert "teh" in left[1] and "fox" in left[1]
+
+
+def test_posts_are_enriched_without_a_join(texts, listed, monkeypatch):
+    posts = texts.withColumnRenamed("text", "clean_tweet_text")
+    near = enrich_posts(posts, listed)
+    assert "Exchange" not in plan_of(near) and "Join" not in plan_of(near)
+    found = rows(near)
+    monkeypatch.setattr(W, "TABLE_BYTES", 0)
+    assert found == rows(enrich_posts(posts, listed).select(*near.columns))
+    assert sum(found.values()) == len(TEXTS)
