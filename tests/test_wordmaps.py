@@ -62,3 +62,16 @@ def test_posts_are_enriched_without_a_join(texts, listed, monkeypatch):
     monkeypatch.setattr(W, "TABLE_BYTES", 0)
     assert found == rows(enrich_posts(posts, listed).select(*near.columns))
     assert sum(found.values()) == len(TEXTS)
+
+
+def test_lemmas_are_read_inside_the_rows(spark, texts, monkeypatch):
+    lexicon = spark.createDataFrame(
+        [("went", "go"), ("red", "-PRON-"), ("fux", None), ("runs", "run"), ("runs", "ran"), (None, "x")], "form string, lemma string"
+    )
+    near = L.lemmatize(texts, lexicon)
+    assert [by.split("#")[0] for by in shuffled_by(near)] == ["doc_id"]
+    found = rows(near)
+    assert dict(found.keys())[4].split()[2] == "go"
+    assert dict(found.keys())[1].split()[-1] == "ran"
+    monkeypatch.setattr(W, "TABLE_BYTES", 0)
+    assert found == rows(L.lemmatize(texts, lexicon))
