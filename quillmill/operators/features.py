@@ -7,6 +7,8 @@ vocabulary given by the caller.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,21 @@ def vocab_sorted_by_id(vocab: DataFrame) -> DataFrame:
     return vocab.orderBy("term_id")
 
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _place(words: DataFrame, id_col: str) -> Column:
+    """What orders words by id, a missing one first, then by position.
+
+    One number for ids that are whole numbers: its least one is found by hashing, where that of
+    pairs needs all words sorted.
+    """
+    if dict(words.dtypes)[id_col] not in INTEGERS:
+        return F.struct(id_col, "pos")
+    number = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)).cast("decimal(20,0)"))
+    return number * F.lit(Decimal(2**31)).cast("decimal(10,0)") + F.col("pos")
+
+
 def build_vocab_first_seen(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = True
 ) -> DataFrame:
@@ -59,7 +76,7 @@ def build_vocab_first_seen(
     words = explode_tokens(docs, F.split(quick_preprocess(text_col), " "), id_col)
     if not keep_empty:
         words = words.where(F.col("term") != "")
-    first = words.groupBy("term").agg(F.min(F.struct(id_col, "pos")).alias("first"))
+    first = words.groupBy("term").agg(F.min(_place(words, id_col)).alias("first"))
     return with_dense_ids(first, [F.col("first")], "term_id", start=1).select("term", "term_id")
 
 
@@ -175,9 +192,12 @@ def dense_rows(docs: DataFrame, matrix: DataFrame, vocab: DataFrame, value_col:
 def one_hot_tokens(
     docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc, pos, term, term_id): the place of the 1 for every token, null if unknown."""
+    """(doc, pos, term, term_id): the place of the 1 for every token, null if unknown.
+
+    Where the vocabulary is too large for a broadcast it is hashed, as there are far more tokens to sort.
+    """
     words = explode_tokens(docs, split_words(quick_preprocess(text_col)), id_col)
-    joined = lookup_join(words, vocab.select("term", "term_id"), "term", "left")
+    joined = lookup_join(words, vocab.select("term", "term_id").hint("shuffle_hash"), "term", "left")
     return joined.select(id_col, "pos", "term", "term_id")
 
 

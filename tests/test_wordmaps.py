@@ -75,3 +75,27 @@ def test_lemmas_are_read_inside_the_rows(spark, texts, monkeypatch):
     assert dict(found.keys())[1].split()[-1] == "ran"
     monkeypatch.setattr(W, "TABLE_BYTES", 0)
     assert found == rows(L.lemmatize(texts, lexicon))
+
+
+def test_first_places_are_found_without_sorting_the_words(spark):
+    rows = [(5, "b a b"), (-3, "c d"), (5, "d e a f"), (None, "g c"), (2**63 - 1, "z b"), (-(2**63), "y")]
+    places, aggregates = {}, {}
+    for kind in ("bigint", "string"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        vocab = FE.build_vocab_first_seen(docs)
+        places[kind] = {r.term: r.term_id for r in vocab.collect()}
+        first = FE.explode_tokens(docs, F.split("text", " ")).withColumnRenamed("term", "t")
+        aggregates[kind] = plan_of(first.groupBy("t").agg(F.min(FE._place(first, "doc_id"))))
+    assert "SortAggregate" in aggregates["string"] and "SortAggregate" not in aggregates["bigint"]
+    order = sorted(places["bigint"], key=places["bigint"].get)
+    # a missing id first; b and d stand first in the texts of id 5, but d was seen in that of -3
+    assert order == ["g", "c", "y", "d", "b", *sorted("ae", key=order.index), "f", "z"]
+    assert sorted(places["bigint"].values()) == list(range(1, len(order) + 1)) and order[-1] == "z"
+
+
+def test_vocabularies_are_hashed(spark, texts):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan_of(FE.one_hot_tokens(texts, FE.build_vocab_first_seen(texts)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
