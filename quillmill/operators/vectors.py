@@ -15,6 +15,7 @@ from quillmill.plans.joins import lookup_join
 from quillmill.plans.shipping import ship
 from quillmill.plans.storage import cut_lineage, new_path
 
+TABLE_BYTES = 64 << 20  # of vectors that are broadcast; more are met by joins
 STEP = 1 << 14  # words whose vectors are laid out together
 
 
@@ -41,12 +42,17 @@ def vectors_for_text(
     """(doc, pos, term, vector) for every token; tokens are cut at single blanks by default.
 
     ``unknown``: ``null`` keeps tokens without a vector, ``drop`` leaves them out,
-    ``error`` fails on the first.
+    ``error`` fails on the first. Vectors that are small, which is measured, are broadcast: all of
+    them, or those of words that occur. More are hashed, so the tokens are sorted in neither case.
     """
     if unknown not in ("null", "drop", "error"):
         raise ValueError("unknown must be 'null', 'drop' or 'error'")
     words = explode_tokens(docs, F.split(text_col, " ") if tokens is None else tokens, id_col)
-    table = vectors.groupBy(F.col("word").alias("term")).agg(F.min("vector").alias("vector"))  # one per word
+    one_each = vectors.groupBy(F.col("word").alias("term")).agg(F.min("vector").alias("vector"))
+    table = cut_lineage(one_each)
+    if not _is_small(table):
+        table = cut_lineage(table.join(words.select("term").distinct(), "term", "left_semi"))
+    table = F.broadcast(table) if _is_small(table) else table.hint("shuffle_hash")
     how = "inner" if unknown == "drop" else "left"
     joined = lookup_join(words, table, "term", how)
     vector = F.col("vector")
@@ -56,15 +62,18 @@ def vectors_for_text(
     return joined.select(id_col, "pos", "term", vector.alias("vector"))
 
 
+def _is_small(table: DataFrame) -> bool:
+    """Whether the vectors of a written (term, vector) table may be broadcast."""
+    cells = F.coalesce(F.size("vector"), F.lit(0))
+    return (table.agg(F.sum(F.octet_length("term") + 8 * cells)).first()[0] or 0) <= TABLE_BYTES
+
+
 def token_vector_or_zero(token_vectors: DataFrame, dim: int) -> DataFrame:
     """Zeros in place of the vector of an unknown token."""
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return token_vectors.withColumn("vector", F.coalesce("vector", zeros))
 
 
-TABLE_BYTES = 64 << 20  # of the vectors of the words that occur; more are met by joins
-
-
 def mean_vector(
     docs: DataFrame, vectors: DataFrame, tokens: Column, dim: int, id_col: str = "doc_id"
 ) -> DataFrame:

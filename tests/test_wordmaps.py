@@ -77,6 +77,27 @@ def test_lemmas_are_read_inside_the_rows(spark, texts, monkeypatch):
     assert found == rows(L.lemmatize(texts, lexicon))
 
 
+@pytest.mark.parametrize("unknown", ["null", "drop"])
+def test_tokens_are_not_sorted_for_their_vectors(spark, texts, unknown, monkeypatch):
+    vectors = spark.createDataFrame(
+        [("fox", [1.0, 2.0]), ("fox", [0.5, 9.0]), ("teh", None), ("far", [3.0, 3.0]), (None, [1.0, 1.0])],
+        "word string, vector array<float>",
+    )
+    split = F.split(F.coalesce("text", F.lit("")), " ")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = V.vectors_for_text(texts, vectors, split, unknown)
+        assert shuffled_by(near) == []
+        found = Counter((r.doc_id, r.pos, r.term, str(r.vector)) for r in near.collect())
+        monkeypatch.setattr(V, "TABLE_BYTES", 0)
+        far = V.vectors_for_text(texts, vectors, split, unknown)
+        assert "SortMergeJoin" not in plan_of(far) and "ShuffledHashJoin" in plan_of(far)
+        assert found == Counter((r.doc_id, r.pos, r.term, str(r.vector)) for r in far.collect())
+        assert found[None, 1, "fox", "[0.5, 9.0]"] == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_first_places_are_found_without_sorting_the_words(spark):
     rows = [(5, "b a b"), (-3, "c d"), (5, "d e a f"), (None, "g c"), (2**63 - 1, "z b"), (-(2**63), "y")]
     places, aggregates = {}, {}
