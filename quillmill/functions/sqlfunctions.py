@@ -42,6 +42,23 @@ def _bound(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _has(x: str, *marks: str) -> str:
+    return " or ".join(f"contains({x}, {literal(mark)})" for mark in marks)
+
+
+def _only_where(needed: str, changed: str, x: str = "x") -> str:
+    """``changed`` for texts that need it; a cheap test spares all others the work."""
+    return f"case when {needed} then {changed} else {x} end"
+
+
+def _not_ascii(x: str) -> str:
+    return f"length({x}) <> octet_length({x})"
+
+
+def _each_word(changed: str) -> str:
+    return f"array_join(transform(split(x, ' '), word -> {changed}), ' ')"
+
+
 def _references(x: str) -> str:
     names = "map(" + ", ".join(f"{literal(a)}, {literal(b)}" for a, b in P.HTML_NAMES.items()) + ")"
     known = "decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32')"
@@ -69,22 +86,25 @@ def _held(start: str, end: str, x: str) -> str:
 
 
 def _html() -> str:
-    page = "x"
+    page = "whole"
     for start, end in P.HTML_HIDDEN_KINDS:
         page = _held(start, end, page)
-    page = _plain_replace(_replace_all(page, P.HTML_HIDDEN, P.TEXT_BREAK), P.HTML_HELD, "<")
+    unhidden = _only_where(f"rlike(whole, {literal(P.HTML_HIDDEN_START)})", _replace_all(page, P.HTML_HIDDEN, P.TEXT_BREAK), "whole")
+    page = _plain_replace(_bound("x", "whole", unhidden), P.HTML_HELD, "<")
     marked = _replace_all(_plain_replace(page, ">", ">" + P.TEXT_BREAK), P.HTML_TAG, "$1$2")
-    trimmed = _replace_all("node", rf"^[{P.SPACE}]+|[{P.SPACE}]+$")
-    text = _references(_plain_replace(marked, ">" + P.TEXT_BREAK, ">"))
+    cut = _only_where(_has("x", "<"), _plain_replace(marked, ">" + P.TEXT_BREAK, ">"))
+    text = _bound(cut, "cut", _only_where(_has("cut", "&"), _references("cut"), "cut"))
+    trimmed = f"btrim(node, {literal(P.SPACES)})"
     nodes = f"transform(split({text}, {literal(P.TEXT_BREAK)}), node -> {trimmed})"
-    return f"array_join(filter({nodes}, node -> node <> ''), ' ')"
+    joined = f"array_join(filter({nodes}, node -> node <> ''), ' ')"
+    return _only_where(_has("x", "<", "&", P.TEXT_BREAK), joined, f"btrim(x, {literal(P.SPACES)})")
 
 
 def _contractions() -> str:
     expanded = _chain("word", contraction_rules(), _replace_all)
-    marked = f"contains(word, {literal(chr(39))}) or contains(word, '’')"
-    word = f"case when {marked} then {expanded} else word end"
-    return f"array_join(transform(split(x, ' '), word -> {word}), ' ')"
+    word = _only_where(_has("word", "'", "’"), expanded, "word")
+    # no rule looks across a blank, so only the words that have an apostrophe are searched
+    return _only_where(_has("x", "'", "’"), _each_word(word))
 
 
 def _lemma() -> str:
@@ -102,19 +122,22 @@ def _lemma() -> str:
 
 def function_bodies() -> dict[str, tuple[str, str]]:
     """name -> (result type, expression over ``x``)."""
-    accents = f"translate(x, {literal(P.ACCENTS_FROM)}, {literal(P.ACCENTS_TO)})"
+    accents = f"translate(word, {literal(P.ACCENTS_FROM)}, {literal(P.ACCENTS_TO)})"
+    plain = _chain(accents, P.LETTER_SPELLINGS.items(), _plain_replace)
     strings = {
         "remove_html_udf": _html(),
-        "remove_accented_chars_udf": _chain(accents, P.LETTER_SPELLINGS.items(), _plain_replace),
-        "remove_tabs_udf": r"translate(x, '\t\r\n', '   ')",
-        "remove_blanks_udf": _replace_all("x", " +", " "),
+        "remove_accented_chars_udf": _only_where(
+            _not_ascii("x"), _each_word(_only_where(_not_ascii("word"), plain, "word"))
+        ),
+        "remove_tabs_udf": _only_where(_has("x", "\t", "\r", "\n"), _replace_all("x", "[\t\r\n]", " ")),
+        "remove_blanks_udf": _replace_all("x", " {2,}", " "),
         "remove_digits_udf": _replace_all("x", P.DIGITS),
-        "remove_all_punctuation_udf": f"translate(x, {literal(P.PUNCTUATION)}, '')",
+        "remove_all_punctuation_udf": _replace_all("x", P.PUNCTUATION_RUN),
         "remove_special_characters_udf": _replace_all("x", P.NOT_LETTER_DIGIT),
-        "ascii_to_string_udf": _replace_all("x", P.NOT_ASCII_OR_QUESTION),
+        "ascii_to_string_udf": _only_where(_not_ascii("x"), _replace_all("x", P.NOT_ASCII_OR_QUESTION), "replace(x, '?', '')"),
         "to_lower_udf": "lower(x)",
-        "remove_url_udf": _replace_all("x", P.URL_ONCE),
-        "remove_email_address_udf": _replace_all("x", P.EMAIL_ONCE),
+        "remove_url_udf": _only_where(_has("x", "://"), _replace_all("x", P.URL_ONCE)),
+        "remove_email_address_udf": _only_where(_has("x", "@"), _replace_all("x", P.EMAIL_ONCE)),
         "expand_contractions_udf": _contractions(),
         "get_base_word_udf": _lemma(),
     }

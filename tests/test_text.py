@@ -243,3 +243,33 @@ def test_hosts_of_any_number_of_dots(spark):
     assert values(spark, odd, X.remove_url("t")) == [re.sub(URL, "", t) for t in odd]
     register_functions(spark)
     assert values(spark, [many, *odd], F.expr("remove_url_udf(t)")) == [" rest", *[re.sub(URL, "", t) for t in odd]]
+
+
+def test_sql_names_spare_texts_that_need_no_work():
+    """Each costly step of the SQL names is behind the cheap test that its column has."""
+    from quillmill.functions.sqlfunctions import function_bodies
+
+    bodies = {name: body for name, (_, body) in function_bodies().items()}
+    for name in ("remove_url", "remove_html", "remove_accented_chars", "ascii_to_string", "remove_email_address",
+                 "expand_contractions"):
+        assert bodies[f"{name}_udf"].startswith("case when "), name
+    assert bodies["remove_html_udf"].count("rlike(whole") == 1
+
+
+def test_guarded_steps_change_all_that_they_did(spark):
+    texts = [
+        "é", "  café   naïve  ", "áb ßæ x", "a <!-- b --> c", "a <SCRIPT x>y</script > z",
+        "<b>x</b>&amp;lt; &eacute;\x85", "x￿<b>", "a < b & c", "\x01 a \x01", "　x ", "s http://a.b/c ftps://d.e www://f.g!",
+        "hhttps://a.b xssh://c.d", "m@a.bc @x", "don’t 'tis", "a  b   c", "",
+    ]
+    register_functions(spark)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    names = ["remove_url", "remove_html", "remove_accented_chars", "ascii_to_string", "remove_email_address",
+             "expand_contractions", "remove_blanks", "clean_text"]
+    for name in names:
+        found = rows.select("t", getattr(X, name)("t").alias("column"), F.expr(f"{name}_udf(t)").alias("sql")).collect()
+        assert [r.sql for r in found] == [r["column"] for r in found], name
+    plain = {r.t: r.x for r in rows.select("t", X.remove_accented_chars("t").alias("x")).collect()}
+    assert plain[texts[1]] == "  cafe   naive  " and plain[texts[2]] == "ab ssae x"
+    cut = {r.t: r.x for r in rows.select("t", X.remove_url("t").alias("x")).collect()}
+    assert cut[texts[10]] == "s  ftps://d.e !" and cut[texts[11]] == "h x"
