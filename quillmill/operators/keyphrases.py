@@ -2,7 +2,8 @@
 
 The word graph of a text never reaches beyond the text: words are read by native expressions,
 and the graphs of a few texts at a time are ranked in Arrow batches (``wordgraphs``), without
-a shuffle. Only the inverse document frequency of SGRank, and the groups of variants, are joins.
+a shuffle. Only the inverse document frequency of SGRank, whose n-grams are counted over all
+chunks of texts, and the groups of variants go from text to text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from quillmill.functions.tokens import tokenize_words
 from quillmill.operators import wordgraphs as G
 from quillmill.operators.lexicon import lemma_of_word
 from quillmill.plans.components import components
-from quillmill.plans.joins import salted_join
 from quillmill.plans.shipping import ship
 from quillmill.plans.storage import cut_lineage
 
@@ -36,6 +36,7 @@ those through to too under until up very was we were what when where which while
 with would you your yours yourself yourselves
 """.split()
 
+CHUNK_BYTES = 16 << 20  # of texts whose n-grams are counted together
 ROUNDS = 10
 DAMPING = 0.85
 SCORE_DIGITS = 8  # scores are compared after rounding, so that equal ones tie on every engine
@@ -46,32 +47,41 @@ def _rounded(score: Column) -> Column:
 
 
 # --- words and graph of one text ----------------------------------------------------
-def content_words(text_col: Column | str, normalize: str | None) -> Column:
-    """Array of (term, pos) of the words that may be part of a phrase; pos counts all words."""
+def normal_words(text_col: Column | str, normalize: str | None) -> Column:
     tokens = tokenize_words(text_col)
     if normalize == "lemma":
-        tokens = F.transform(tokens, lemma_of_word)
-    elif normalize is not None:
+        return F.transform(tokens, lemma_of_word)
+    if normalize is not None:
         raise ValueError(f"unknown normalize {normalize!r}: use None or 'lemma'")
-    placed = F.transform(tokens, lambda term, pos: F.struct(term.alias("term"), pos.alias("pos")))
-    return F.filter(
-        placed, lambda word: ~word["term"].isin(STOP_WORDS) & word["term"].rlike(r"\p{L}")
+    return tokens
+
+
+def is_content(term: Column) -> Column:
+    return ~term.isin(STOP_WORDS) & term.rlike(r"\p{L}")
+
+
+def content_words(text_col: Column | str, normalize: str | None) -> Column:
+    """Array of (term, pos) of the words that may be part of a phrase; pos counts all words."""
+    placed = F.transform(
+        normal_words(text_col, normalize), lambda term, pos: F.struct(term.alias("term"), pos.alias("pos"))
     )
+    return F.filter(placed, lambda word: is_content(word["term"]))
+
 
+def joined_words(text_col: Column | str, normalize: str | None) -> Column:
+    """The words of ``content_words`` joined by blanks; any other word is empty there, so places are kept."""
+    tokens = normal_words(text_col, normalize)
+    return F.array_join(F.transform(tokens, lambda term: F.when(is_content(term), term).otherwise("")), " ")
 
-def over_lists(of_slice: Callable, rows: Column, kind: str, known: Column | None = None) -> Column:
+
+def over_lists(of_slice: Callable, rows: Column, kind: str) -> Column:
     """``of_slice`` over lists, by Arrow batches; gives an array of ``kind``, empty for a missing list."""
     ship(SparkSession.active())
 
     def of_batch(batch: pa.Array) -> pa.Array:
         return G.by_slices(of_slice, batch)
 
-    def of_both(batch: pa.Array, known: pa.Array) -> pa.Array:
-        return G.by_slices(of_slice, batch, known)
-
-    if known is None:
-        return F.arrow_udf(of_batch, f"array<{kind}>")(rows)
-    return F.arrow_udf(of_both, f"array<{kind}>")(rows, known)
+    return F.arrow_udf(of_batch, f"array<{kind}>")(rows)
 
 
 PHRASES = "struct<phrase: string, score: double>"
@@ -212,30 +222,45 @@ def keyphrases_sgrank(
         best = sgrank_phrases(text_col, topn, window_size, ngrams, normalize, rounds, damping)
         return phrase_rows(docs, best, id_col)
 
-    def names(words: pa.Array) -> pa.Array:
-        return G.gram_names(G.read(words), ngrams)
-
-    # Only the grams go to their counts, and only those that several texts hold come back; weights
-    # and places are read from the text again, which is far smaller than they are.
-    own = docs.select(id_col, F.explode(over_lists(names, content_words(text_col, normalize), "string")).alias("gram"))
-    df = cut_lineage(own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    n_docs = docs.agg(F.count_distinct(id_col)).first()[0]
-    idf = df.select("gram", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("n"))) + 1).alias("idf"))
-    shared = salted_join(own, idf, "gram", [id_col], counts=df).select(id_col, F.struct("gram", "idf").alias("known"))
-    # Ranking costs far more than its input is large: a given number of partitions, which is
-    # not coalesced by bytes.
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = shared.unionByName(docs.select(id_col, F.col(text_col).alias("text")), allowMissingColumns=True)
-    grouped = both.repartition(partitions, id_col).groupBy(id_col).agg(
-        F.collect_list("text").alias("texts"), F.collect_list("known").alias("known")
-    )
-    words = F.transform("texts", lambda text: content_words(text, normalize))
-    once = math.log((1 + n_docs) / 2) + 1
-
-    def phrases(rows: pa.Array, known: pa.Array) -> pa.Array:
-        return G.sgrank_idf(rows, known, once, ngrams, topn, window_size, rounds, damping, SCORE_DIGITS)
-
-    return phrase_rows(grouped, over_lists(phrases, words, PHRASES, F.col("known")), id_col)
+    spark = docs.sparkSession
+    ship(spark)
+    size = docs.agg(F.count_distinct(id_col).alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    n_docs = size["n"]
+    # a given number of partitions, not coalesced by bytes, as much is done to a text behind the shuffle
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size["bytes"] or 0) / CHUNK_BYTES))
+    # Texts are dealt once, to chunks of whole ids, and read there twice: for their n-grams' counts, which
+    # a chunk adds up before they go out, and for their ranks, when the totals are back.
+    dealt = docs.select(
+        F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias("_chunk"), id_col,
+        joined_words(text_col, normalize).alias("_words"),
+    ).repartition(chunks, "_chunk")
+    rows = dealt.groupBy("_chunk", id_col).agg(F.collect_list("_words").alias("_words"))
+
+    def read(table: pa.Table) -> tuple[G.Texts, np.ndarray]:
+        words = table["_words"].combine_chunks()
+        return G.read_joined(words.flatten()), G.lengths(words)
+
+    def counted(table: pa.Table) -> pa.Table:
+        found = G.gram_counts(*read(table), ngrams, chunks)
+        chunk = table["_chunk"].slice(0, 1).combine_chunks().take(pa.array([0] * len(found["part"]), pa.int64()))
+        return pa.table({"_chunk": chunk, "part": pa.array(found["part"], pa.int32()), "size": pa.array(found["size"], pa.int32()), "held": pa.array(found["held"], pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        held = G.total_counts(table["size"].to_pylist(), table["held"].to_pylist())
+        return table.set_column(3, "held", pa.array(held, pa.binary()))
+
+    def ranked(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        totals = totals.sort_by("part")
+        counts = [G.unpacked(h, n, np.uint64)[0] for h, n in zip(totals["held"].to_pylist(), totals["size"].to_pylist())]
+        counts = np.concatenate([np.empty(0, np.uint64), *counts])
+        best = G.sgrank_idf(*read(texts), counts, n_docs, ngrams, topn, window_size, rounds, damping, SCORE_DIGITS)
+        return texts.select([id_col]).append_column("_best", best)
+
+    parts = "_chunk int, part int, size int, held binary"
+    totals = rows.groupBy("_chunk").applyInArrow(counted, parts).groupBy("part").applyInArrow(summed, parts)
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = rows.groupBy("_chunk").cogroup(totals.groupBy("_chunk")).applyInArrow(ranked, f"`{id_col}` {kind}, _best array<{PHRASES}>")
+    return phrase_rows(found, F.col("_best"), id_col)
 
 
 # --- both, per document -------------------------------------------------------------

@@ -9,6 +9,7 @@ word by word; no letter of a term sorts before the blank, so that is the order o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 15  # words
+FACTORS = np.array([0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd numbers that mix the digests of words
+PHRASE = pa.struct([("phrase", pa.string()), ("score", pa.float64())])
 
 
 class Texts(NamedTuple):
@@ -202,43 +205,135 @@ def sgrank(
     return lists(texts.count, found.doc[top], phrase=joined(texts, found.first[top], found.n[top]), score=score[top])
 
 
-def gram_names(texts: Texts, sizes: tuple[int, ...]) -> pa.Array:
-    """A list per text of its different n-grams."""
-    found = grams(texts, sizes)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(found.doc, minlength=texts.count))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), joined(texts, found.first, found.n))
-
-
-def looked_up(row: np.ndarray, names: pa.Array, known: pa.Array, otherwise: float) -> np.ndarray:
-    """The idf of each name, ``row`` being its row, from the rows' lists of (gram, idf)."""
-    flat = known.flatten()
-    entries = len(flat)
-    of = np.repeat(np.arange(len(known)), lengths(known))
-    coded = pa.concat_arrays([flat.field("gram"), names]).dictionary_encode()
-    key = np.concatenate([of, row]) * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(key[:entries])
-    held = np.append(key[:entries][order], -1)
-    idf = np.append(flat.field("idf").to_numpy(zero_copy_only=False)[order], otherwise)
-    place = np.searchsorted(held[:-1], key[entries:])
-    return idf[np.where(held[place] == key[entries:], place, entries)]
+def read_joined(lines: pa.Array) -> Texts:
+    """As ``read``, from words joined by blanks; a word left out is empty there and keeps its place."""
+    parts = pc.split_pattern(lines, " ")
+    flat, sizes = parts.flatten(), lengths(parts)
+    pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = pc.not_equal(flat, "")
+    code, terms = numbered(flat.filter(kept))
+    held = kept.to_numpy(zero_copy_only=False)
+    return Texts(len(lines), np.repeat(np.arange(len(lines)), sizes)[held], pos[held], code, terms)
+
+
+def row_slices(texts: Texts, per_row: np.ndarray) -> Iterator[tuple[np.ndarray, Texts]]:
+    """Slices of neighbouring rows: the number of texts of each, and these texts; those of one row stay together."""
+    of_text = np.repeat(np.arange(len(per_row)), per_row)
+    ends = np.append(0, np.cumsum(per_row))
+    for part in slices(np.bincount(of_text[texts.doc], minlength=len(per_row))):
+        first, last = ends[part.start], ends[part.stop]
+        a, b = np.searchsorted(texts.doc, (first, last))
+        own = Texts(int(last - first), texts.doc[a:b] - first, texts.pos[a:b], texts.code[a:b], texts.terms)
+        yield per_row[part], own
+
+
+def digests(terms: pa.Array) -> np.ndarray:
+    """128 bits of each term, as two numbers."""
+    found = b"".join(blake2b(term, digest_size=16).digest() for term in terms.cast(pa.binary()).to_pylist())
+    return np.frombuffer(found, "<u8").reshape(-1, 2)
+
+
+def gram_digests(texts: Texts, found: Grams, of_term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """80 bits of each n-gram, from the digests of its words in order: 64, by which it is dealt, and 16 more."""
+    high, low = np.zeros(len(found.n), np.uint64), np.zeros(len(found.n), np.uint64)
+    for k in range(int(found.n.max(initial=0))):
+        here = np.flatnonzero(found.n > k)
+        word = of_term[texts.code[found.first[here] + k]]
+        high[here] = (high[here] ^ (high[here] >> np.uint64(32))) * FACTORS[0] + word[:, 0]
+        low[here] = (low[here] ^ (low[here] >> np.uint64(32))) * FACTORS[1] + word[:, 1]
+    return high, (low >> np.uint64(48)).astype(np.uint16)
+
+
+def numbered_digests(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different digest, in their order, and the number of every one's digest."""
+    order = np.lexsort((low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length, byte by byte of equal weight, compressed."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpacked(held: bytes, size: int, *types: type) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for t in types]
+    flat = np.frombuffer(pa.decompress(held, size * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    ends = np.cumsum(widths) * size
+    planes = [flat[end - w * size : end].reshape(w, size) for end, w in zip(ends, widths)]
+    return [np.ascontiguousarray(p.T).view(t).reshape(-1) for p, t in zip(planes, types)]
+
+
+def gram_counts(texts: Texts, per_row: np.ndarray, sizes: tuple[int, ...], parts: int) -> dict[str, list]:
+    """How many texts hold each n-gram: a row per part of the digests, with their differences in order."""
+    of_term = digests(texts.terms)
+    found = [gram_digests(t, grams(t, sizes), of_term) for _, t in row_slices(texts, per_row)]
+    high, low = (np.concatenate([f[c] for f in found] or [np.empty(0, (np.uint64, np.uint16)[c])]) for c in (0, 1))
+    first, number = numbered_digests(high, low)
+    high, low, times = high[first], low[first], np.bincount(number, minlength=len(first)).astype(np.uint64)
+    part = ((high >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    rows = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+    return {
+        "part": [int(part[r.start]) for r in rows],
+        "size": [r.stop - r.start for r in rows],
+        "held": [packed(np.diff(high[r], prepend=np.uint64(0)), low[r], times[r]) for r in rows],
+    }
+
+
+def total_counts(sizes: list[int], held: list[bytes]) -> list[bytes]:
+    """The counts of all rows of one part added up, and given back to each row in its order."""
+    rows = [unpacked(h, size, np.uint64, np.uint16, np.uint64) for size, h in zip(sizes, held)]
+    high, low, times = (np.concatenate([r[c] for r in rows]) for c in range(3)) if rows else ([],) * 3
+    high = np.concatenate([np.cumsum(r[0], dtype=np.uint64) for r in rows]) if rows else high
+    first, number = numbered_digests(high, low)
+    total = np.zeros(len(first), np.uint64)
+    np.add.at(total, number, times)
+    ends = np.cumsum([0, *sizes])
+    return [packed(total[number[a:b]]) for a, b in zip(ends, ends[1:])]
 
 
 def sgrank_idf(
-    rows: pa.Array, known: pa.Array, otherwise: float, sizes: tuple[int, ...], topn: int, window_size: int, rounds: int,
-    damping: float, digits: int,
+    texts: Texts, per_row: np.ndarray, counts: np.ndarray, count: int, sizes: tuple[int, ...], topn: int, window_size: int,
+    rounds: int, damping: float, digits: int,
 ) -> pa.Array:
-    """Lists of (phrase, score) by SGRank with idf, from lists of texts and lists of (gram, idf).
+    """Lists of (phrase, score) by SGRank with idf, a list per row; ``per_row`` is the number of texts of each.
 
-    A row has one text, or those of an id that repeats; their terms stand side by side. ``otherwise``
-    is the idf of a gram that is not listed. With at most len(sizes) terms of one text at one
-    position, those in the window are among the next few places.
+    ``counts`` says how many texts hold each different n-gram, in the order of their digests,
+    and ``count`` how many documents there are. A row has one text, or those of an id that repeats;
+    their terms stand side by side.
     """
-    texts = read(rows.flatten())
-    found = grams(texts, sizes)
-    doc = np.repeat(np.arange(len(rows)), lengths(rows))[found.doc]
-    names = joined(texts, found.first, found.n)
-    base = found.times * found.n / np.log2(texts.pos[found.first] + 2) * looked_up(doc, names, known, otherwise)
-    gram, names = numbered(names)
+    of_term = digests(texts.terms)
+    parts = [(t, own, grams(t, sizes)) for own, t in row_slices(texts, per_row)]
+    found = [gram_digests(t, g, of_term) for t, _, g in parts]
+    high, low = (np.concatenate([f[c] for f in found] or [np.empty(0, (np.uint64, np.uint16)[c])]) for c in (0, 1))
+    first, number = numbered_digests(high, low)
+    if len(first) != len(counts):
+        raise ValueError(f"{len(counts)} counts for {len(first)} different n-grams")
+    idf = (np.log((1.0 + count) / (1.0 + counts)) + 1)[number]
+    ends = np.cumsum([0, *(len(f[0]) for f in found)])
+    lists_ = [
+        _sgrank_idf(t, own, g, idf[a:b], sizes, topn, window_size, rounds, damping, digits)
+        for (t, own, g), a, b in zip(parts, ends, ends[1:])
+    ]
+    return pa.concat_arrays(lists_) if lists_ else pa.array([], pa.list_(PHRASE))
+
+
+def _sgrank_idf(
+    texts: Texts, per_row: np.ndarray, found: Grams, idf: np.ndarray, sizes: tuple[int, ...], topn: int,
+    window_size: int, rounds: int, damping: float, digits: int,
+) -> pa.Array:
+    """With at most len(sizes) terms of one text at one position, those in the window are among the next few places."""
+    doc = np.repeat(np.arange(len(per_row)), per_row)[found.doc]
+    base = found.times * found.n / np.log2(texts.pos[found.first] + 2) * idf
+    gram = np.zeros(len(doc), np.int64)
+    for k in range(max(sizes)):
+        code = np.where(k < found.n, texts.code[np.minimum(found.first + k, len(texts.code) - 1)] + 1, 0) if len(doc) else gram
+        gram = np.unique(gram * (len(texts.terms) + 1) + code, return_inverse=True)[1]
     _, word = np.nonzero(found.at >= 0)
     term, pos = found.at[found.at >= 0], texts.pos[word]
     # of one position the heavier first: which places are among the next few goes by it, where ids repeat
@@ -246,23 +341,19 @@ def sgrank_idf(
     number[np.lexsort((base, gram, -np.floor(base * 10.0**digits + 0.5), doc))] = np.arange(len(doc))
     order = np.lexsort((number[term], pos, doc[term]))
     term, pos = term[order], pos[order]
-    of, found = doc[term], []
+    of, met = doc[term], []
     for k in range(1, window_size * len(sizes)):
         i = np.arange(max(len(pos) - k, 0))
         far = pos[i + k] - pos[i]
         near = (of[i] == of[i + k]) & (far >= 1) & (far < window_size) & (term[i] != term[i + k])
-        found.append((term[i][near], term[i + k][near], np.log2(1 + window_size / far[near])))
-    edges = tuple(np.concatenate([f[c] for f in found]) for c in range(3))
+        met.append((term[i][near], term[i + k][near], np.log2(1 + window_size / far[near])))
+    edges = tuple(np.concatenate([m[c] for m in met]) for c in range(3))
     score = ranks(doc, base, edges, rounds, damping)
     top = best(doc, score, gram, topn, digits)
-    return lists(len(rows), doc[top], phrase=names.take(pa.array(gram[top])), score=score[top])
+    return lists(len(per_row), doc[top], phrase=joined(texts, found.first[top], found.n[top]), score=score[top])
 
 
-def by_slices(of_slice: Callable[..., pa.Array], rows: pa.Array, *more: pa.Array) -> pa.Array:
-    """``of_slice`` over a batch of lists of words, or of lists of texts, a slice at a time."""
-    sizes = lengths(rows)
-    if pa.types.is_list(rows.type.value_type):
-        of_text = np.append(0, np.cumsum(lengths(rows.flatten())))
-        sizes = np.diff(of_text[np.append(0, np.cumsum(sizes))])
-    found = [of_slice(rows[part], *(m[part] for m in more)) for part in slices(sizes)]
-    return pa.concat_arrays(found or [of_slice(rows, *more)])
+def by_slices(of_slice: Callable[..., pa.Array], rows: pa.Array) -> pa.Array:
+    """``of_slice`` over a batch of lists of words, a slice at a time."""
+    found = [of_slice(rows[part]) for part in slices(lengths(rows))]
+    return pa.concat_arrays(found or [of_slice(rows)])

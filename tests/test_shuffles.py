@@ -4,6 +4,8 @@ import io
 import re
 from contextlib import redirect_stdout
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from quillmill.operators import features as FE
 from quillmill.operators import keyphrases as K
 from quillmill.operators import tagging as TG
 from quillmill.operators import vectors as V
+from quillmill.operators import wordgraphs as G
 
 
 def plan_of(df):
@@ -76,3 +79,36 @@ def test_grams_meet_their_counts_without_places(texts, monkeypatch):
     alone = K.keyphrases_sgrank(texts.where("doc_id = 4"), use_idf=True).collect()
     plain = K.keyphrases_sgrank(texts.where("doc_id = 4"), use_idf=False).collect()
     assert [(r.phrase, round(r.score, 9)) for r in alone] == [(r.phrase, round(r.score, 9)) for r in plain]
+
+
+def test_grams_are_counted_in_chunks_of_texts(texts, monkeypatch):
+    found = K.keyphrases_sgrank(texts, topn=50, use_idf=True)
+    dealt = set(re.findall(r"Exchange hashpartitioning\((\w+)", plan_of(found)))
+    assert dealt == {"_chunk", "part"} and "MergeJoin" not in plan_of(found)
+    rows = sorted(found.collect(), key=str)
+    monkeypatch.setattr(K, "CHUNK_BYTES", 1)
+    apart = K.keyphrases_sgrank(texts, topn=50, use_idf=True)
+    assert len(set(re.findall(r"_chunk#\d+, (\d+)\), REPARTITION", plan_of(apart)))) == 1
+    assert sorted(apart.collect(), key=str) == rows
+
+
+def test_chunks_agree_on_counts():
+    lists = [["red fox red  dog", "red cat"], [], ["red fox", "", "  "], ["old red fox", "red fox red fox"]]
+    chunks = [G.read_joined(pa.array(lines, pa.string())) for lines in lists]
+    per_row = [np.ones(len(lines), np.int64) for lines in lists]
+    sent = [G.gram_counts(t, n, (1, 2, 3), 4) for t, n in zip(chunks, per_row)]
+    assert sent[1] == {"part": [], "size": [], "held": []}
+    back = {}
+    for part in range(4):
+        rows = [(c, i) for c, s in enumerate(sent) for i, p in enumerate(s["part"]) if p == part]
+        held = G.total_counts([sent[c]["size"][i] for c, i in rows], [sent[c]["held"][i] for c, i in rows])
+        back |= dict(zip(rows, held))
+    for c, (texts, lines) in enumerate(zip(chunks, lists)):
+        total = [G.unpacked(back[c, i], n, np.uint64)[0] for i, n in enumerate(sent[c]["size"])]
+        found = G.grams(texts, (1, 2, 3))
+        names = G.joined(texts, found.first, found.n).to_pylist()
+        first, number = G.numbered_digests(*G.gram_digests(texts, found, G.digests(texts.terms)))
+        assert len(first) == len(set(names)) == sum(map(len, total))
+        held = {name: int(np.concatenate(total)[k]) for name, k in zip(names, number)}
+        every = [f" {line} " for lines in lists for line in lines]
+        assert held == {name: sum(f" {name} " in line for line in every) for name in set(names)}
