@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillmill.functions.arrays import indexes
 from quillmill.functions.binding import bind
@@ -258,8 +259,8 @@ def keyphrases_sgrank(
 
     parts = "_chunk int, part int, size int, held binary"
     totals = rows.groupBy("_chunk").applyInArrow(counted, parts).groupBy("part").applyInArrow(summed, parts)
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.groupBy("_chunk").cogroup(totals.groupBy("_chunk")).applyInArrow(ranked, f"`{id_col}` {kind}, _best array<{PHRASES}>")
+    best_of = StructType([rows.schema[id_col], *StructType.fromDDL(f"_best array<{PHRASES}>").fields])
+    found = rows.groupBy("_chunk").cogroup(totals.groupBy("_chunk")).applyInArrow(ranked, best_of)
     return phrase_rows(found, F.col("_best"), id_col)
 
 
