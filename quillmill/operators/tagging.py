@@ -8,7 +8,9 @@ in step.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+import math
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,18 +18,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillmill.functions.arrays import group_sorted
 from quillmill.functions.tokens import tokenize_words
 from quillmill.operators.features import fitted_values
 from quillmill.plans.joins import lookup_join
 from quillmill.plans.shipping import ship
-from quillmill.plans.storage import cut_lineage
+from quillmill.plans.storage import written
 
 # where a sentence ends
 SENTENCE_END = r"[.!?\n]+"
 MAX_TAGS = 64
-SLICE = 1 << 17  # words of texts that are decoded together
+LETTER = 32  # a tag number and this is the code of a letter
+SLICE = 1 << 17  # words of lines that are decoded together
+CHUNK_BYTES = 8 << 20  # of texts whose words meet the word table together
 
 
 class TagModel(NamedTuple):
@@ -56,32 +61,84 @@ def fit_tagger(annotated: DataFrame, sentence: list[str]) -> TagModel:
     and a sentence goes on behind them. An annotated table without words is an error.
     """
     rows = annotated.where(F.col("form").isNotNull() & F.col("tag").isNotNull())
-    counts = cut_lineage(rows.groupBy("form", "tag").agg(F.count(F.lit(1)).alias("n")))
+    counts = rows.groupBy("form", "tag").agg(F.count(F.lit(1)).alias("n"))
+    found = written(counts.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("n")), "forms")
+    counts = found.select(F.explode("n").alias("tag", "n"))
     tags = fitted_values(counts, "tag", MAX_TAGS)
     if not tags:
         raise ValueError("no annotated words")
-    n_forms = counts.agg(F.count_distinct("form")).first()[0]
+    n_forms = found.count()
     per_tag = {r["tag"]: r["n"] for r in counts.groupBy("tag").agg(F.sum("n").alias("n")).collect()}
     totals = [per_tag[tag] + n_forms for tag in tags]
-    found = counts.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("n"))
     scores = [
         _score(F.coalesce(F.try_element_at("n", F.lit(tag)), F.lit(0)) + 1, F.lit(total))
         for tag, total in zip(tags, totals, strict=True)
     ]
     return TagModel(
-        tags, cut_lineage(found.select("form", F.array(*scores).alias("scores"))),
+        tags, found.select("form", F.array(*scores).alias("scores")),
         [_thousandths(1, total) for total in totals], *_transitions(rows, sentence, tags),
     )
 
 
+def neighbours(rows: pa.Table, keys: list[str], whole: bool) -> np.ndarray:
+    """Whether each row but the first has the sentence of the row before and, if places are ``whole``, the next place."""
+    same = np.full(max(len(rows) - 1, 0), whole)
+    try:
+        for key in keys:
+            column = rows[key].combine_chunks()
+            one, other = column[:-1], column[1:]
+            both = pc.or_(pc.fill_null(pc.equal(one, other), False), pc.and_(one.is_null(), other.is_null()))
+            same &= both.to_numpy(zero_copy_only=False)
+        if whole:
+            pos = rows["pos"].combine_chunks().cast(pa.int64())
+            far = pc.subtract(pos[1:], pos[:-1])  # wraps around
+            same &= pc.fill_null(pc.equal(far, 1), False).to_numpy(zero_copy_only=False)
+    except pa.ArrowNotImplementedError:  # keys that cannot be compared here
+        same[:] = False
+    return same
+
+
+def _tags_in_order(rows: DataFrame, sentence: list[str], number: Column) -> DataFrame:
+    """``tags``: the tag numbers of each sentence by place, then number.
+
+    Only runs are shuffled: the first place and a letter per tag of words that follow each other here
+    as in their sentence.
+    """
+    ship(rows.sparkSession)
+    place = rows.schema["pos"].dataType
+    whole = place.typeName() in ("byte", "short", "integer", "long")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            start = np.flatnonzero(np.append(True, ~neighbours(table, sentence, whole)))[: len(table)]
+            letters = (table["tag"].to_numpy() + LETTER).astype(np.uint8)
+            ends = np.append(start, len(letters)).astype(np.int32)
+            tags = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(letters.tobytes()))
+            yield from table.drop_columns(["tag"]).take(pa.array(start)).append_column("tags", tags).to_batches()
+
+    marked = rows.select(*sentence, "pos", number.alias("tag"))
+    kinds = StructType([marked.schema[c] for c in [*sentence, "pos"]]).add("tags", "string")
+    lines = marked.mapInArrow(runs, kinds).repartition(*sentence).groupBy(*sentence)
+
+    def apart(run: Column) -> Column:
+        def word(letter: Column, i: Column) -> Column:
+            pos = (run["pos"] + i).cast(place) if whole else run["pos"]
+            return F.struct(pos.alias("pos"), (F.ascii(letter) - LETTER).cast("tinyint").alias("tag"))
+
+        return F.transform(F.split(run["tags"], ""), word)
+
+    placed = F.sort_array(F.flatten(F.transform("runs", apart)))
+    return lines.agg(F.collect_list(F.struct("pos", "tags")).alias("runs")).select(F.transform(placed, lambda w: w["tag"]).alias("tags"))
+
+
 def _transitions(rows: DataFrame, sentence: list[str], tags: list[str]) -> tuple[list[int], list[list[int]]]:
     """Scores of each tag at the start of a sentence, and of each behind each.
 
     The words of a sentence are gathered in order: a sentence is a row anyway when it is decoded.
     """
     number = F.array_position(F.array(*[F.lit(tag) for tag in tags]), F.col("tag")).cast("tinyint")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", number.alias("tag")))), lambda w: w["tag"])
-    lines = rows.groupBy(*sentence).agg(ordered.alias("tags"))
+    lines = _tags_in_order(rows, sentence, number)
     before = F.concat(F.array(F.lit(None).cast("tinyint")), F.slice("tags", F.lit(1), F.size("tags") - 1))
     pairs = lines.select(F.inline(F.arrays_zip(before.alias("a"), F.col("tags").alias("b"))))
     # at most one row per pair of tags
@@ -129,59 +186,83 @@ def best_paths(scores: np.ndarray, sizes: np.ndarray, first: np.ndarray, followi
     return path
 
 
-def looked_up(known: pa.Array, forms: pa.Array, row: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """The scores of each form, ``row`` being its row, from the row's list of (form, scores)."""
-    flat = known.flatten()
-    entries = len(flat)
-    of = np.repeat(np.arange(len(known)), pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False))
-    coded = pa.concat_arrays([flat.field("form"), forms]).dictionary_encode()
-    key = np.concatenate([of, row]) * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(key[:entries])
-    place = np.searchsorted(key[:entries][order], key[entries:])
-    held = np.append(key[:entries][order], -1)
-    table = flat.field("scores").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(unknown))
-    table = np.concatenate([table[order], unknown[None]])
-    return table[np.where(held[place] == key[entries:], place, entries)]
+def looked_up(known: pa.Array, forms: pa.Array, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scores of the different forms, from a list of (form, scores), and the number of each form among them."""
+    coded = forms.dictionary_encode(null_encoding="encode")
+    table = known.field("scores").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(unknown))
+    table = np.concatenate([table, unknown[None]])
+    place = pc.fill_null(pc.index_in(coded.dictionary, known.field("form")), len(known)).to_numpy(zero_copy_only=False)
+    return table[place], coded.indices.to_numpy(zero_copy_only=False)
 
 
-def decoded(docs: DataFrame, model: TagModel, id_col: str, text_col: str, words: Callable[[Column], Column]) -> DataFrame:
-    """(doc, sentences, tags): for each row the words of its sentences, and a tag for each in one list.
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    Only a row's different words meet the word table; their scores come back to the row as one
-    list, and no word is shuffled once it has its tag.
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+
+def decoded(
+    docs: DataFrame, model: TagModel, id_col: str, text_col: str, words: Callable[[Column], Column], whole_ids: bool
+) -> DataFrame:
+    """(doc, sentences, tags): for each text of a row the words of its sentences, and a tag for each in one list.
+
+    With ``whole_ids`` all texts of an id are one row, else a row has the one text it had.
+    Texts are dealt once, to chunks by id and text, or by id. Only a chunk's different
+    words meet the word table; their scores come back to the chunk as one list, and no word is
+    shuffled once it has its tag.
     """
-    ship(docs.sparkSession)
-    # ids may repeat, and the row number must not change when a lost task runs again
-    rows = cut_lineage(docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
-    sentences = F.transform(F.split(text_col, SENTENCE_END), words)
-    forms = rows.select("_row", F.explode(F.array_distinct(F.flatten(sentences))).alias("form"))
-    scored = lookup_join(forms, model.words, "form").groupBy("_row").agg(
+    spark = docs.sparkSession
+    ship(spark)
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    # a given number of partitions, not coalesced by bytes, as much is done to a text behind the shuffle
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(partitions, math.ceil((size["bytes"] or 0) / CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64(id_col) if whole_ids else F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int")
+    entry = F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    dealt = docs.select(chunk.alias("_chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(partitions, "_chunk")
+    texts = dealt.select("_chunk", "id", F.array("text").alias("texts"))
+    if whole_ids:
+        texts = dealt.groupBy("_chunk", "id").agg(F.collect_list("text").alias("texts"))
+    # a chunk is a row; where very many rows are alike it is several
+    most = 4 * math.ceil((size["n"] + 1) / partitions)
+    part = F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / most)
+    rows = texts.withColumn("_part", part).groupBy("_chunk", "_part").agg(F.collect_list(F.struct("id", "texts")).alias("_docs"))
+    none = F.array().cast("array<array<string>>")
+
+    def lines_of(text: Column) -> Column:
+        return F.coalesce(F.transform(F.split(text, SENTENCE_END), words), none)
+
+    sentences = F.transform("_docs", lambda d: F.transform(d["texts"], lines_of))
+    forms = rows.select("_chunk", F.explode(F.array_distinct(F.flatten(F.flatten(F.flatten(sentences))))).alias("form")).distinct()
+    scored = lookup_join(forms, model.words, "form").groupBy("_chunk").agg(
         F.collect_list(F.struct("form", "scores")).alias("known")
     )
-    met = rows.select(id_col, "_row", sentences.alias("sentences")).join(scored, "_row", "left").drop("_row")
+    read = rows.select("_chunk", F.transform("_docs", lambda d: d["id"]).alias("_ids"), sentences.alias("sentences"))
+    met = read.join(scored, "_chunk", "left")
     tags, first, following = model.tags, np.array(model.first), np.array(model.following)
     unknown = np.array(model.unknown)
 
-    def paths(sentences: pa.Array, known: pa.Array) -> pa.Array:
-        lines = sentences.flatten()
-        forms = lines.flatten()
-        per_row = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)
-        sizes = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
-        row_of_line = np.repeat(np.arange(len(sentences)), per_row)
-        table = looked_up(known, forms, np.repeat(row_of_line, sizes), unknown)
-        path = best_paths(table, sizes, first, following)
-        ends = np.cumsum(np.bincount(row_of_line, sizes, len(sentences))).astype(np.int32)
-        found = pa.DictionaryArray.from_arrays(pa.array(path, pa.int32()), pa.array(tags, pa.string())).cast(pa.string())
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), found)
+    def paths(texts: pa.Array, known: pa.Array) -> pa.Array:
+        lines = texts.flatten()
+        table, code = looked_up(known, lines.flatten(), unknown)
+        sizes, per_text = _lengths(lines), _lengths(texts)
+        lines_to, words_to = np.append(0, np.cumsum(per_text)), np.append(0, np.cumsum(sizes))
+        # lines are taken some thousand words at a time
+        cuts = [0, *(np.flatnonzero(np.diff(words_to[1:] // SLICE)) + 1).tolist(), len(sizes)]
+        path = [best_paths(table[code[words_to[a] : words_to[b]]], sizes[a:b], first, following) for a, b in itertools.pairwise(cuts)]
+        named = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(path), pa.int32()), pa.array(tags, pa.string()))
+        return _lists(np.diff(words_to[lines_to]), named.cast(pa.string()))
 
-    def decode(sentences: pa.Array, known: pa.Array) -> pa.Array:
-        lines = np.cumsum(pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False))
-        words_to = np.concatenate([[0], np.cumsum(pc.list_value_length(sentences.flatten()).to_numpy(zero_copy_only=False))])
-        cuts = [0, *(np.flatnonzero(np.diff(words_to[lines] // SLICE)) + 1).tolist(), len(sentences)]
-        parts = [paths(sentences[a:b], known[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        return pa.concat_arrays(parts or [paths(sentences, known)])
+    def decode(chunks: pa.Array, known: pa.Array) -> pa.Array:
+        nothing = known.type.value_type
+        each = [paths(chunk.values.flatten(), k.values if k.is_valid else pa.array([], nothing)) for chunk, k in zip(chunks, known, strict=True)]
+        by_text = pa.concat_arrays(each or [pa.array([], pa.list_(pa.string()))])
+        return _lists(_lengths(chunks), _lists(_lengths(chunks.flatten()), by_text))
 
-    return met.select(id_col, "sentences", F.arrow_udf(decode, "array<string>")("sentences", "known").alias("tags"))
+    found = met.withColumn("tags", F.arrow_udf(decode, "array<array<array<string>>>")("sentences", "known"))
+    return found.select(F.inline(F.arrays_zip(F.col("_ids").alias(id_col), F.col("sentences"), F.col("tags"))))
 
 
 def placed_tags(sentences: Column, tags: Column) -> Column:
@@ -210,8 +291,8 @@ def tag_words(
     Each row of ``docs`` is tagged on its own, also where ids repeat or are null. A missing or
     empty text has no words. Words the model does not know have the scores of a word seen never.
     """
-    found = decoded(docs, model, id_col, text_col, words)
-    return found.select(id_col, F.inline(placed_tags(F.col("sentences"), F.col("tags"))))
+    found = decoded(docs, model, id_col, text_col, words, False)
+    return found.select(id_col, F.inline(placed_tags(F.get("sentences", F.lit(0)), F.get("tags", F.lit(0)))))
 
 
 def nouns_in_context(
@@ -220,21 +301,17 @@ def nouns_in_context(
 ) -> DataFrame:
     """(doc, nouns): map word to NOUN or PROPN for each different id, by its last such place in the text.
 
-    Each row keeps the last place of its nouns before rows of one id meet. A missing id has no nouns.
+    A missing id has no nouns.
     """
-    found = decoded(docs, model, id_col, text_col, words)
-    nouns = F.filter(placed_tags(F.col("sentences"), F.col("tags")), lambda w: w["tag"].isin("NOUN", "PROPN"))
-    entries = F.transform(
-        nouns, lambda w: F.struct(w["form"].alias("form"), w["sentence"].alias("sentence"), w["pos"].alias("pos"), w["tag"].alias("tag"))
-    )
+    named = docs.withColumn(text_col, F.when(F.col(id_col).isNotNull(), F.col(text_col)))
+    found = decoded(named, model, id_col, text_col, words, True)
 
-    def last(entries: Column) -> Column:
-        return F.transform(group_sorted(entries, "form"), lambda group: F.element_at(group, -1))
+    def nouns_of(sentences: Column, tags: Column) -> Column:
+        nouns = F.filter(placed_tags(sentences, tags), lambda w: w["tag"].isin("NOUN", "PROPN"))
+        return F.transform(
+            nouns, lambda w: F.struct(w["form"].alias("form"), w["sentence"].alias("sentence"), w["pos"].alias("pos"), w["tag"].alias("tag"))
+        )
 
-    none = F.array().cast("array<struct<form:string,sentence:int,pos:int,tag:string>>")
-    rows = found.select(id_col, F.coalesce(last(entries), none).alias("_nouns"))
-    merged = rows.groupBy(id_col).agg(F.collect_list("_nouns").alias("_rows")).select(
-        id_col, F.when(F.col(id_col).isNull(), none).when(F.size("_rows") == 1, F.get("_rows", F.lit(0))).otherwise(last(F.flatten("_rows"))).alias("_nouns")
-    )
-    pairs = F.transform("_nouns", lambda w: F.struct(w["form"], w["tag"]))
-    return merged.select(id_col, F.map_from_entries(pairs).alias("nouns"))
+    nouns = group_sorted(F.flatten(F.zip_with("sentences", "tags", nouns_of)), "form")
+    pairs = F.transform(nouns, lambda group: F.struct(F.element_at(group, -1)["form"], F.element_at(group, -1)["tag"]))
+    return found.select(id_col, F.map_from_entries(pairs).alias("nouns"))

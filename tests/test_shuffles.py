@@ -71,6 +71,45 @@ def test_tagged_words_are_not_shuffled(spark, texts):
     }
 
 
+def test_words_of_a_chunk_meet_the_word_table_once(spark, texts, monkeypatch):
+    annotated = spark.createDataFrame(
+        [(0, 0, "red", "ADJ"), (0, 1, "fox", "NOUN"), (1, 0, "red", "ADJ"), (1, 1, "dog", "NOUN")],
+        "s int, pos int, form string, tag string",
+    )
+    model = TG.fit_tagger(annotated, ["s"])
+    many = texts.unionByName(spark.range(300).selectExpr("7 as doc_id", "'red dog. red fox' as text"))
+    for ask in (TG.tag_words, TG.nouns_in_context):
+        found = ask(many, model)
+        assert set(re.findall(r"Exchange hashpartitioning\((\w+)", plan_of(found))) - {"form"} == {"_chunk"}
+        rows = sorted(found.collect(), key=str)
+        with monkeypatch.context() as small:
+            small.setattr(TG, "CHUNK_BYTES", 1)
+            assert sorted(ask(many, model).collect(), key=str) == rows
+    assert TG.tag_words(many, model).where("doc_id = 7").groupBy("tag").count().count() == 2
+    nouns = {r.doc_id: r.nouns for r in found.collect()}
+    assert nouns[7] == {"dog": "NOUN", "fox": "NOUN"} and nouns[None] == nouns[2] == nouns[3] == {}
+
+
+def test_only_runs_of_tags_are_shuffled(spark):
+    places = [(1, i) for i in range(40)] + [(1, 7), (2, 300), (2, 299), (2, None), (None, 0), (None, 1), (3, 2**31 - 1), (3, -5), (3, 5)]
+    words = [(s, p, i % 3 + 1) for i, (s, p) in enumerate(places)]
+    rows = spark.createDataFrame(words, "s int, pos int, tag int").coalesce(1)
+    expected = {}
+    for s, p, t in words:
+        expected.setdefault(s, []).append((p is not None, p, t))
+    expected = sorted([t for _, _, t in sorted(own, key=lambda w: (w[0], w[1] or 0, w[2]))] for own in expected.values())
+    for kind in ("int", "bigint", "double", "string"):
+        padded = F.format_string("%011d", F.col("pos").cast("bigint") + 5)
+        place = F.when(F.col("pos").isNotNull(), padded) if kind == "string" else F.col("pos").cast(kind)
+        cast = rows.withColumn("pos", place)
+        found = TG._tags_in_order(cast, ["s"], F.col("tag").cast("tinyint"))
+        assert "MapInArrow" in plan_of(found)
+        assert sorted(r.tags for r in found.collect()) == expected
+    table = rows.toArrow()
+    assert TG.neighbours(table, ["s"], True).sum() == 39 + 1  # runs of 40 and of two words, else single ones
+    assert not TG.neighbours(table, ["s"], False).any()
+
+
 def test_grams_meet_their_counts_without_places(texts, monkeypatch):
     found = K.keyphrases_sgrank(texts, topn=50, use_idf=True)
     assert "positions" not in plan_of(found)
